@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from tessera.llm import licenses, quality
+from tessera.llm import bpe, chosen_path, licenses, mixing, quality, sharding, token_counts, topk
 
 
 def queries():
-    found = (licenses.op4_license_scan, quality.op5_quality_rules)
+    found = (
+        token_counts.op2_token_counts,
+        mixing.op3_mixing,
+        licenses.op4_license_scan,
+        quality.op5_quality_rules,
+        topk.op6_exact_top_k,
+        bpe.op7_bpe_encode_decode,
+        chosen_path.op8_ngram_jaccard_join,
+        sharding.op9_sharding,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op4_license_scan": licenses.SQL, "op5_quality_rules": quality.SQL}
+    return {"op4_license_scan": licenses.SQL, "op5_quality_rules": quality.SQL, "op6_exact_top_k": topk.SQL, "op8_ngram_jaccard_join": chosen_path.SQL}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chosen_path, licenses, mixing, quality, sharding, token_counts, topk
+from tessera.llm import bpe, chosen_path, language_id, licenses, mixing, quality, sharding, token_counts, topk
 
 
 def queries():
     found = (
+        language_id.op1_language_id,
         token_counts.op2_token_counts,
         mixing.op3_mixing,
         licenses.op4_license_scan,

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm._common import crc_mod, documents, slices
 
@@ -303,12 +304,11 @@ def training_sample(df: DataFrame, text: str, label: str, per_language: int = DO
     return texts, labels
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
-    """One row per row of df: id, lang_pred, score, and with `spans` the stretches of words in one language: (start, end, lang), in characters."""
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", spans: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """One row per row of df: id, lang_pred, score, the columns of `carry`, and with `spans` the stretches of words in one language: (start, end, lang), in characters."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages x BUCKETS numbers
     budget = max(50_000, SLICE_CELLS // max(1, len(model.languages)))
-    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -338,10 +338,13 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
                         cut = [lo, *(np.flatnonzero(np.diff(each[lo:hi])) + lo + 1).tolist(), hi]
                         found.append([{"start": int(w.starts[a] - w.text_start[d]), "end": int(w.ends[b - 1] - w.text_start[d]), "lang": names[each[a]]} for a, b in zip(cut, cut[1:])])
                     out.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-                yield pa.RecordBatch.from_arrays(out, ["id", "lang_pred", "score", "spans"][: len(out)])
+                yield pa.RecordBatch.from_arrays([*out, *part.columns[2:]], [x.name for x in schema])
 
-    schema = f"id {kind}, lang_pred string, score double" + ", spans array<struct<start: int, end: int, lang: string>>" * spans
-    out = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
+    fields = [T.StructField("id", df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    if spans:
+        fields.append(T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))))
+    schema = T.StructType([*fields, *[df.schema[c] for c in carry or []]])
+    out = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"), *(carry or [])).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
 
 

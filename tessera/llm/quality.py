@@ -133,28 +133,47 @@ def cutoffs(good: DataFrame, strata: DataFrame, max_false_rejection: float = MAX
     return safe.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("value"))).alias(f"cut_{r}") for r in RULES])
 
 
-def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", stratum: str = "lang", carry: list[str] | None = None, max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
-    """Counts, base_failed, stratum, cutoffs and kept for every row; `carry` names further columns to bring along.
+def _good_ids(labels: DataFrame, id_col: str) -> DataFrame:
+    return labels.filter(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("q")).filter("q = 1").select("__id")
 
-    The counts are staged once, as calibration and judging both read them.
-    """
-    carry = [c for c in (carry or []) if c != id_col]
-    part = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(stratum).cast("string"), F.lit("und")).alias("stratum"), F.struct(F.lit(1).alias("__"), *carry).alias("__carry"), F.col(text).alias("__text"))
-    counts = text_counts(part, "__text").withColumn("base_failed", base_failed())
-    counts = staged(counts.select("*", *[c.alias(r) for r, c in rule_values().items()]), "quality")
-    good_ids = labels.filter(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("q")).filter("q = 1").select("__id")
-    good = counts.filter(~F.col("base_failed")).join(good_ids, "__id", "left_semi")
-    strata = counts.select("stratum").distinct()
-    cuts = cutoffs(good, strata, max_false_rejection, delta)
-    if strata.count() <= BROADCAST_STRATA:
-        cuts = F.broadcast(cuts)
-    out = counts.join(cuts, "stratum", "left")
+
+def _stratum(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("und")).alias("stratum")
+
+
+def _verdict(counts: DataFrame, cuts: DataFrame, n_strata: int) -> DataFrame:
+    """Add cutoffs and kept."""
+    out = counts.join(F.broadcast(cuts) if n_strata <= BROADCAST_STRATA else cuts, "stratum", "left")
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
-    return out.select(
-        F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), "stratum", *[f"cut_{r}" for r in RULES], *[F.col(f"__carry.{c}").alias(c) for c in carry]
-    )
+    return out.withColumn("kept", ~F.col("base_failed") & ~rejected)
+
+
+def _counted(part: DataFrame) -> DataFrame:
+    counts = text_counts(part, "__text").withColumn("base_failed", base_failed())
+    return counts.select("*", *[c.alias(r) for r, c in rule_values().items()])
+
+
+def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", stratum: str = "lang", max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
+    """One row per row of df: id, counts, base_failed, kept, stratum and cutoffs.
+
+    The counts, without texts, are staged once, as calibration and judging both read them.
+    """
+    counts = staged(_counted(df.select(F.col(id_col).alias("__id"), _stratum(stratum), F.col(text).alias("__text"))), "quality")
+    good = counts.filter(~F.col("base_failed")).join(_good_ids(labels, id_col), "__id", "left_semi")
+    strata = counts.select("stratum").distinct()
+    out = _verdict(counts, cutoffs(good, strata, max_false_rejection, delta), strata.count())
+    return out.select(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", *[f"cut_{r}" for r in RULES])
+
+
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", stratum: str = "lang", max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
+    """The rows of df that are kept, with the columns of df. Calibration reads the labelled rows only, so that no text is written."""
+    labelled = df.select(F.col(id_col).alias("__id"), _stratum(stratum), F.col(text).alias("__text")).join(_good_ids(labels, id_col), "__id", "left_semi")
+    strata = df.select(_stratum(stratum)).distinct()
+    cuts = staged(cutoffs(_counted(labelled).filter(~F.col("base_failed")), strata, max_false_rejection, delta), "cutoffs")
+    rows = df.select(F.struct(*df.columns).alias("__row"), _stratum(stratum), F.col(text).alias("__text"))
+    return _verdict(_counted(rows), cuts, strata.count()).filter("kept").select("__row.*")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

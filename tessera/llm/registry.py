@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chosen_path, language_id, licenses, mixing, quality, sharding, token_counts, topk
+from tessera.llm import attention_lm, bpe, chosen_path, language_id, licenses, mixing, quality, sharding, token_counts, topk
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         bpe.op7_bpe_encode_decode,
         chosen_path.op8_ngram_jaccard_join,
         sharding.op9_sharding,
+        attention_lm.op10_attention_lm,
     )
     return {f.__name__: f for f in found}
 

@@ -219,15 +219,15 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str] | dict[str, Column],
         c = left[f"__l{i}"].eqNullSafe(right[f"__k{i}"]) if null_safe else left[f"__l{i}"] == right[f"__k{i}"]
         cond = c if cond is None else cond & c
     out = left.join(right, cond, "left")
-    made = {v: (F.coalesce(F.col(f"__v{i}"), F.lit(d)) if d is not None else F.col(f"__v{i}")) for i, (v, d) in enumerate(values.items())}
+    made = {v: (F.coalesce(F.col(f"__v{i}"), F.lit(d).cast(table.schema[v].dataType)) if d is not None else F.col(f"__v{i}")) for i, (v, d) in enumerate(values.items())}
     return out.select(*[F.col(c) for c in df.columns if c not in made], *[e.alias(v) for v, e in made.items()])
 
 
 def skew_kurtosis(n: Column, skew: Column, kurt: Column) -> tuple[Column, Column]:
     """Bias-corrected skewness and excess kurtosis from Spark's population moments."""
     n = n.cast("double")
-    g1 = F.when(n > 2, skew * F.sqrt(n * (n - 1)) / (n - 2))
-    g2 = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurt + 6))
+    g1 = F.when(n > 2, F.try_divide(skew * F.sqrt(n * (n - 1)), n - 2))
+    g2 = F.when(n > 3, F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * kurt + 6))
     return g1, g2
 
 

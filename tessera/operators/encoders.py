@@ -82,7 +82,8 @@ class HashingEncoder(Operator):
         if self.output == "sparse":
             counts = F.transform(F.array_sort(F.array_distinct("__b")), lambda b: F.struct(b.cast("int").alias("i"), F.size(F.filter("__b", lambda x: x == b)).cast("double").alias("n")))
             return out.withColumn("hash_features", F.map_from_entries(counts)).drop("__b")
-        return add(out, {f"hash_{i}": F.size(F.filter("__b", lambda x, i=i: x == i)).cast("double") for i in range(self.n_features)}).drop("__b")
+        hits = lambda i: F.size(F.filter("__b", lambda x: x == i)).cast("double")
+        return add(out, {f"hash_{i}": hits(i) for i in range(self.n_features)}).drop("__b")
 
 
 def binary_target(df: DataFrame, label: str, positive_class=None, task: str | None = None) -> tuple[Column, str]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import ConfigurationError, MissingBackendError
 from tessera.operators.base import Operator, add, chosen, number, numeric_columns, scalars
+from tessera.sources.staging import stage
 
 
 def fitted_scale(df: DataFrame, cols: list[str], scale: bool) -> dict[str, list[float]]:
@@ -214,18 +215,19 @@ class ClusteringFeatureExtractor(Operator):
         xs = scaled(cols, state["scale"])
         # equal points are one weighted point
         pts = df.select(*[x.alias(f"x{i}") for i, x in enumerate(xs)]).groupBy(*[f"x{i}" for i in range(len(cols))]).agg(F.count(F.lit(1)).alias("w"))
-        pts = pts.withColumn("id", F.xxhash64(*[f"x{i}" for i in range(len(cols))])).persist()
+        pts = pts.withColumn("id", F.xxhash64(*[f"x{i}" for i in range(len(cols))]))
+        pts = stage(pts, "points")
         pairs = self._near(pts, pts, len(cols))
-        core = pairs.groupBy("a").agg(F.sum("wb").alias("n")).filter(F.col("n") >= self.min_samples).select(F.col("a").alias("id"))
+        core = stage(pairs.groupBy("a").agg(F.sum("wb").alias("n")).filter(F.col("n") >= self.min_samples).select(F.col("a").alias("id")), "core")
         if core.count() > self.max_core_points:
             raise ConfigurationError("too many core points for a state table", limit=self.max_core_points)
         label = core.withColumn("label", F.col("id"))
         links = pairs.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b").select("a", "b")
-        links = links.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else links.persist()
+        links = stage(links, "links")
         while True:
             least = links.join(label, links.b == label.id).groupBy("a").agg(F.min("label").alias("m"))
             new = label.join(least, label.id == least.a, "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
-            new = new.persist()
+            new = stage(new, "labels")
             moved = new.join(label.withColumnRenamed("label", "old"), "id").filter("label != old").limit(1).count()
             label = new
             if not moved:

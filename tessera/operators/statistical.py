@@ -1,7 +1,5 @@
 """Row statistics, z-scores, outliers, quantile bins and missing-value patterns."""
 
-from __future__ import annotations
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,16 +25,16 @@ def row_statistic(stat: str, xs: list[Column]) -> Column:
     if stat == "range":
         return F.array_max(values) - F.array_min(values)
     if stat == "std":
-        return F.when(n > 1, F.sqrt(power(2) / (n - 1)))
+        return F.when(n > 1, F.sqrt(F.try_divide(power(2), n - 1)))
     if stat == "median":
         s = F.array_sort(values)
         lo, hi = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
         return F.when(n > 0, (lo + hi) / 2)
-    m2 = power(2) / n
+    m2 = F.try_divide(power(2), n)
     if stat == "skew":
-        return F.when((n > 2) & (m2 > 0), skew_kurtosis(n, F.try_divide(power(3) / n, F.pow(m2, F.lit(1.5))), F.lit(0.0))[0])
+        return F.when((n > 2) & (m2 > 0), skew_kurtosis(n, F.try_divide(F.try_divide(power(3), n), F.pow(m2, F.lit(1.5))), F.lit(0.0))[0])
     if stat in ("kurtosis", "kurt"):
-        return F.when((n > 3) & (m2 > 0), skew_kurtosis(n, F.lit(0.0), F.try_divide(power(4) / n, m2 * m2) - 3)[1])
+        return F.when((n > 3) & (m2 > 0), skew_kurtosis(n, F.lit(0.0), F.try_divide(F.try_divide(power(4), n), m2 * m2) - 3)[1])
     raise ConfigurationError("unknown row statistic", statistic=stat)
 
 
@@ -133,12 +131,11 @@ class OutlierDetector(Operator):
 
     def _forest_score(self, state) -> Column:
         import numpy as np
+        import pandas as pd
 
-        cols, trees = state["columns"], state["trees"]
-
-        def paths(*series):
-            import pandas as pd
+        trees = state["trees"]
 
+        def paths(*series: pd.Series) -> pd.Series:
             x = np.stack([s.to_numpy(float) for s in series], axis=1)
             out = np.zeros(len(x))
 
@@ -157,7 +154,7 @@ class OutlierDetector(Operator):
                 walk(t, np.arange(len(x)))
             return pd.Series(np.exp2(-out / max(len(trees), 1) / state["norm"]))
 
-        return F.pandas_udf(paths, "double", F.PandasUDFType.SCALAR)(*[F.coalesce(number(c), F.lit(state["median"][c] or 0.0)) for c in cols])
+        return F.pandas_udf(paths, "double")(*[F.coalesce(number(c), F.lit(state["median"][c] or 0.0)) for c in state["columns"]])
 
     def apply(self, df, state, tables):
         if self.method == "isolation_forest":

@@ -257,20 +257,23 @@ class TfidfVectorizer(Operator):
         x = F.lower(text(self.column))
         if self.char_ngrams:
             padded = F.transform(tokens(x), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-            grams = [F.flatten(F.transform(padded, lambda w, n=n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n))))) for n in (3, 4, 5)]
-            return F.concat(*grams)
+
+            def pieces(n):
+                return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))))
+
+            return F.concat(*[pieces(n) for n in (3, 4, 5)])
         w = F.filter(F.split(x, r"\W+"), lambda t: F.length(t) > 1)
         if self.remove_stopwords:
             stop = F.array(*[F.lit(s) for s in STOPWORDS])
             w = F.filter(w, lambda t: ~F.array_contains(stop, t))
-        lo, hi = self.ngram_range
-        made = []
-        for n in range(lo, hi + 1):
+
+        def grams(n):
             if n == 1:
-                made.append(w)
-            else:
-                made.append(F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i, n=n: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>")))
-        return F.concat(*made)
+                return w
+            return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+        lo, hi = self.ngram_range
+        return F.concat(*[grams(n) for n in range(lo, hi + 1)])
 
     def learn(self, df):
         n = df.count()

@@ -70,7 +70,7 @@ def items(t, *cols):
 # --- aggregates and joins ---------------------------------------------------
 
 
-@q("SELECT o_orderkey, o_custkey, avg(o_totalprice) OVER w AS o_totalprice_mean, sum(o_totalprice) OVER w AS o_totalprice_sum, coalesce(stddev_samp(o_totalprice) OVER w, 0.0) AS o_totalprice_std, max(o_totalprice) OVER w AS o_totalprice_max, min(o_totalprice) OVER w AS o_totalprice_min, CAST(count(*) OVER w AS BIGINT) AS o_custkey_count FROM orders WINDOW w AS (PARTITION BY o_custkey)", "o_totalprice_mean o_totalprice_sum o_totalprice_std o_totalprice_max o_totalprice_min", 3)
+@q("SELECT o_orderkey, o_custkey, avg(o_totalprice) OVER w AS o_totalprice_mean, sum(o_totalprice) OVER w AS o_totalprice_sum, coalesce(stddev_samp(o_totalprice) OVER w, 0.0) AS o_totalprice_std, max(o_totalprice) OVER w AS o_totalprice_max, min(o_totalprice) OVER w AS o_totalprice_min, CAST(count(*) OVER w AS BIGINT) AS o_custkey_count FROM orders WINDOW w AS (PARTITION BY o_custkey)", "o_totalprice_mean o_totalprice_sum o_totalprice_std o_totalprice_max o_totalprice_min")
 def groupby_stats_orders(t):
     op = ag.GroupByStatsTransformer("o_custkey", ["o_totalprice"], ["mean", "sum", "std", "max", "min"])
     return op.fit_transform(t("orders").select("o_orderkey", "o_custkey", "o_totalprice")).drop("o_totalprice")
@@ -84,7 +84,7 @@ def groupby_multi_key(t):
     return a.join(b, ["l_returnflag", "l_linestatus"])
 
 
-@q("SELECT c_custkey, a AS ORD_o_totalprice_min, b AS ORD_o_totalprice_max, c AS ORD_o_totalprice_mean, d AS ORD_o_totalprice_sum FROM customer LEFT JOIN (SELECT o_custkey, min(o_totalprice) AS a, max(o_totalprice) AS b, avg(o_totalprice) AS c, sum(o_totalprice) AS d FROM orders GROUP BY 1) o ON c_custkey = o_custkey", "ORD_o_totalprice_min ORD_o_totalprice_max ORD_o_totalprice_mean ORD_o_totalprice_sum", 3)
+@q("SELECT c_custkey, a AS ORD_o_totalprice_min, b AS ORD_o_totalprice_max, c AS ORD_o_totalprice_mean, d AS ORD_o_totalprice_sum FROM customer LEFT JOIN (SELECT o_custkey, min(o_totalprice) AS a, max(o_totalprice) AS b, avg(o_totalprice) AS c, sum(o_totalprice) AS d FROM orders GROUP BY 1) o ON c_custkey = o_custkey", "ORD_o_totalprice_min ORD_o_totalprice_max ORD_o_totalprice_mean ORD_o_totalprice_sum")
 def relational_aggregate(t):
     op = ag.RelationalAggregate(child=t("orders").select("o_custkey", "o_totalprice"), parent_key="c_custkey", child_key="o_custkey", prefix="ORD_")
     return op.fit_transform(t("customer").select("c_custkey"))
@@ -127,7 +127,7 @@ def rolling_mean_group(t):
     return out(wn.RollingWindowTransformer(["value"], 5, ["mean", "sum", "min", "max"], "user_id", ["ts", "event_id"]).fit_transform(events(t)))
 
 
-@q(f"SELECT event_id, CASE WHEN count(s) OVER w >= 2 THEN quantile_cont(s, 0.5) OVER w END AS value_roll_4_median, CASE WHEN count(s) OVER w >= 2 THEN stddev_samp(s) OVER w END AS value_roll_4_std, CASE WHEN count(s) OVER w >= 2 THEN var_samp(s) OVER w END AS value_roll_4_var FROM {_LAG} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)", "value_roll_4_median value_roll_4_std value_roll_4_var", 4)
+@q(f"SELECT event_id, CASE WHEN count(s) OVER w >= 2 THEN quantile_cont(s, 0.5) OVER w END AS value_roll_4_median, CASE WHEN count(s) OVER w >= 2 THEN stddev_samp(s) OVER w END AS value_roll_4_std, CASE WHEN count(s) OVER w >= 2 THEN var_samp(s) OVER w END AS value_roll_4_var FROM {_LAG} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)", "value_roll_4_median value_roll_4_std value_roll_4_var")
 def rolling_median_group(t):
     return out(wn.RollingWindowTransformer(["value"], 4, ["median", "std", "var"], "user_id", ["ts", "event_id"], min_periods=2).fit_transform(events(t)))
 
@@ -137,7 +137,7 @@ def rolling_centered(t):
     return out(wn.RollingWindowTransformer(["value"], 5, "mean", "user_id", ["ts", "event_id"], min_periods=1, center=True).fit_transform(events(t)))
 
 
-@q("SELECT o_orderkey, sum(o_totalprice) OVER f AS o_totalprice_expanding_sum, avg(o_totalprice) OVER f AS o_totalprice_expanding_mean, max(o_totalprice) OVER f AS o_totalprice_expanding_max, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS o_totalprice_expanding_count FROM orders WINDOW f AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "o_totalprice_expanding_sum o_totalprice_expanding_mean o_totalprice_expanding_max", 3)
+@q("SELECT o_orderkey, sum(o_totalprice) OVER f AS o_totalprice_expanding_sum, avg(o_totalprice) OVER f AS o_totalprice_expanding_mean, max(o_totalprice) OVER f AS o_totalprice_expanding_max, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS o_totalprice_expanding_count FROM orders WINDOW f AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "o_totalprice_expanding_sum o_totalprice_expanding_mean o_totalprice_expanding_max")
 def expanding_sum_group(t):
     d = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     return wn.ExpandingWindowTransformer(["o_totalprice"], ["sum", "mean", "max", "count"], "o_custkey", ["o_orderdate", "o_orderkey"]).fit_transform(d).drop("o_custkey", "o_orderdate", "o_totalprice")
@@ -217,7 +217,7 @@ def risk_metrics(t):
 _RFM = "k AS (SELECT o_custkey AS k, CAST(floor((epoch_us((SELECT max(o_orderdate) FROM orders)) - epoch_us(max(o_orderdate))) / 86400000000) AS BIGINT) AS recency, CAST(count(o_totalprice) AS BIGINT) AS frequency, sum(o_totalprice) AS monetary_total, avg(o_totalprice) AS monetary_avg FROM orders GROUP BY 1), e AS (SELECT list_distinct([quantile_cont(recency, 0.2), quantile_cont(recency, 0.4), quantile_cont(recency, 0.6), quantile_cont(recency, 0.8)]) AS e, min(recency) AS lo, max(recency) AS hi FROM k), s AS (SELECT k.*, CAST(5 - len(list_filter(e.e, lambda x: k.recency > x AND x > e.lo AND x < e.hi)) AS INTEGER) AS recency_score, CAST(greatest(1, ceil((row_number() OVER (ORDER BY frequency, k) - 1) * 5.0 / (count(*) OVER () - 1))) AS INTEGER) AS frequency_score, CAST(greatest(1, ceil((row_number() OVER (ORDER BY monetary_total, k) - 1) * 5.0 / (count(*) OVER () - 1))) AS INTEGER) AS monetary_score FROM k, e)"
 
 
-@q(f"WITH {_RFM} SELECT o_orderkey, recency, frequency, monetary_total, monetary_avg, recency_score, frequency_score, monetary_score, recency_score * 100 + frequency_score * 10 + monetary_score AS rfm_score, CASE WHEN recency_score <= 2 AND frequency_score <= 2 THEN 'Lost' WHEN recency_score >= 4 AND frequency_score >= 4 AND monetary_score >= 4 THEN 'Champions' WHEN frequency_score >= 4 THEN 'Loyal' WHEN monetary_score >= 4 THEN 'Big Spenders' WHEN recency_score <= 2 AND frequency_score >= 3 THEN 'At Risk' ELSE 'Other' END AS rfm_segment FROM orders LEFT JOIN s ON o_custkey = k", "monetary_total monetary_avg", 3)
+@q(f"WITH {_RFM} SELECT o_orderkey, recency, frequency, monetary_total, monetary_avg, recency_score, frequency_score, monetary_score, recency_score * 100 + frequency_score * 10 + monetary_score AS rfm_score, CASE WHEN recency_score <= 2 AND frequency_score <= 2 THEN 'Lost' WHEN recency_score >= 4 AND frequency_score >= 4 AND monetary_score >= 4 THEN 'Champions' WHEN frequency_score >= 4 THEN 'Loyal' WHEN monetary_score >= 4 THEN 'Big Spenders' WHEN recency_score <= 2 AND frequency_score >= 3 THEN 'At Risk' ELSE 'Other' END AS rfm_segment FROM orders LEFT JOIN s ON o_custkey = k", "monetary_total monetary_avg")
 def rfm_segments(t):
     op = do.EcommerceRFM("o_custkey", "o_orderdate", "o_totalprice", create_segments=True)
     return op.fit_transform(t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")).drop("o_custkey", "o_orderdate", "o_totalprice")
@@ -271,7 +271,7 @@ def target_loo(t):
     return en.LeaveOneOutTargetEncoder(cols=["event_type"]).fit_transform(labelled_events(t)).drop("event_type", "y")
 
 
-@q(f"WITH s AS (SELECT *, event_id % 5 AS f FROM {_EVY}), o AS (SELECT event_id, sum(y) OVER (PARTITION BY event_type) - sum(y) OVER (PARTITION BY event_type, f) AS s, count(y) OVER (PARTITION BY event_type) - count(y) OVER (PARTITION BY event_type, f) AS n FROM s) SELECT event_id, (s + 20 * (SELECT avg(y) FROM s)) / (n + 20) AS event_type_te FROM o", "event_type_te")
+@q(f"WITH s AS (SELECT *, event_id % 5 AS f FROM {_EVY}), o AS (SELECT event_id, sum(y) OVER (PARTITION BY event_type) - sum(y) OVER (PARTITION BY event_type, f) AS s, count(y) OVER (PARTITION BY event_type) - count(y) OVER (PARTITION BY event_type, f) AS n FROM s) SELECT event_id, (s + 20 * (SELECT avg(y) FROM s)) / (n + 20) AS event_type_te FROM o", "event_type_te", 9)
 def target_oof(t):
     return en.OutOfFoldTargetEncoder(cols=["event_type"], fold_col="event_id", row_id="event_id").fit_transform(labelled_events(t)).drop("event_type", "y")
 
@@ -870,7 +870,7 @@ def smote(t):
 # --- end to end -------------------------------------------------------------
 
 
-@q("WITH g AS (SELECT o_custkey, avg(o_totalprice) AS m, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1) SELECT c_custkey, m AS ORD_o_totalprice_mean, s AS ORD_o_totalprice_sum, count(*) OVER (PARTITION BY c_mktsegment) / CAST(count(*) OVER () AS DOUBLE) AS c_mktsegment_freq, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER () AS c_acctbal_zscore, " + ", ".join(f"CAST(c_mktsegment = '{x}' AS INTEGER) AS c_mktsegment_{x}" for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer LEFT JOIN g ON c_custkey = o_custkey", "ORD_o_totalprice_mean ORD_o_totalprice_sum c_mktsegment_freq c_acctbal_zscore", 3)
+@q("WITH g AS (SELECT o_custkey, avg(o_totalprice) AS m, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1) SELECT c_custkey, m AS ORD_o_totalprice_mean, s AS ORD_o_totalprice_sum, count(*) OVER (PARTITION BY c_mktsegment) / CAST(count(*) OVER () AS DOUBLE) AS c_mktsegment_freq, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER () AS c_acctbal_zscore, " + ", ".join(f"CAST(c_mktsegment = '{x}' AS INTEGER) AS c_mktsegment_{x}" for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer LEFT JOIN g ON c_custkey = o_custkey", "ORD_o_totalprice_mean ORD_o_totalprice_sum c_mktsegment_freq c_acctbal_zscore")
 def flagship_customer_features(t):
     """Customers with order aggregates, encodings and scores, one plan."""
     d = t("customer").select("c_custkey", "c_mktsegment", "c_acctbal")
@@ -890,12 +890,11 @@ def auto_features(t):
     return made
 
 
-@q()
+@q("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, sum(value) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY ALL", "total least most")
 def stream_windows(t):
     """Hourly windows of the events, read as a stream with a watermark, up to now."""
     from tessera.streaming import ops
 
     d = t("events")
-    spark = d.sparkSession
-    path = d.inputFiles()[0].rsplit("/", 1)[0]
-    return ops.run_once(ops.windowed_stats(ops.read_parquet_stream(spark, f"{path}/events.parquet" if not path.endswith("events.parquet") else path, d), "ts", "value", ["event_type"]), "stream_windows", "complete")
+    w = ops.run_once(ops.windowed_stats(ops.read_parquet_stream(d), "ts", "value", ["event_type"]), "stream_windows", "complete")
+    return w.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "n", "total", "least", "most")

@@ -5,15 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.base import FittedModel
 
 
-def read_parquet_stream(spark: SparkSession, path: str, like: DataFrame, max_files: int = 100) -> DataFrame:
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_parquet_stream(table: DataFrame, max_files: int = 100) -> DataFrame:
+    """The files of a Parquet table as a stream: its folder, or for a single file the folder it lies in and its name."""
+    files = table.inputFiles()
+    folders = {f.rsplit("/", 1)[0] for f in files}
+    if len(folders) != 1:
+        raise ValueError("a stream needs a table in one folder")
+    r = table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", max_files)
+    if len(files) == 1:
+        r = r.option("pathGlobFilter", files[0].rsplit("/", 1)[1])
+    return r.parquet(folders.pop())
 
 
 def transform_stream(model: FittedModel, stream: DataFrame) -> DataFrame:

@@ -35,7 +35,8 @@ TEMPLATES = {
     "template:mit": "Released under the MIT License",
     "template:reserved": "All rights reserved",
 }
-THRESHOLD = 0.8
+#: At 0.8 a line of one Creative Commons licence would meet the template of another, which differs in one of seven words.
+THRESHOLD = 0.9
 MAX_TEMPLATES = 1000
 
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import SPACE, documents, staged
+from tessera.llm._common import documents, staged
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Default targets: present token shares to these powers, made to sum to 1, which damps the largest values.
@@ -31,6 +31,8 @@ TEMPER = {"source": 0.7, "lang": 0.6, "topic": 0.8}
 BUDGET = 0.5
 ROUNDS = 200
 TOLERANCE = 1e-10
+#: Of the staged table, whose rounds cost jobs.
+TABLE_TOLERANCE = 1e-6
 DRIVER_CELLS = 200_000
 BROADCAST_CELLS = 200_000
 SEED = 17
@@ -123,7 +125,7 @@ def rake_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None, bu
     return cells.sparkSession.createDataFrame(out, "source string, lang string, topic string, weight double, probability double")
 
 
-def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE, keep_every: int = 5) -> DataFrame:
+def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float, rounds: int = ROUNDS, tolerance: float = TABLE_TOLERANCE, keep_every: int = 1) -> DataFrame:
     """As rake_cells, for any number of cells: the cells stay a table, which is staged every few rounds."""
     spark = cells.sparkSession
     fit = staged(cells.withColumn("fitted", F.col("tokens").cast("double")), "rake")
@@ -153,7 +155,7 @@ def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, bu
     low, high = 0.0, 1.0
     while kept(high) < budget * total * (1 - 1e-12) and high < 1e12:
         low, high = high, high * 4
-    for _ in range(60):
+    for _ in range(40):
         mid = (low + high) / 2
         low, high = (mid, high) if kept(mid) < budget * total else (low, mid)
     return fit.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"))

@@ -253,24 +253,31 @@ class TfidfVectorizer(Operator):
 
     defaults = {"column": None, "max_features": 20_000, "ngram_range": (1, 2), "char_ngrams": False, "remove_stopwords": False, "min_df": 1, "use_hashing": False, "hashing_features": 16_384, "output": "tfidf"}
 
-    def terms(self) -> Column:
+    def with_words(self, df: DataFrame) -> DataFrame:
+        """Add __w, words as a column of its own, so that n-grams don't split the text again for each place."""
         x = F.lower(text(self.column))
         if self.char_ngrams:
-            padded = F.transform(tokens(x), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-
-            def pieces(n):
-                return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))))
-
-            return F.concat(*[pieces(n) for n in (3, 4, 5)])
+            return df.withColumn("__w", F.transform(tokens(x), lambda w: F.concat(F.lit(" "), w, F.lit(" "))))
         w = F.filter(F.split(x, r"\W+"), lambda t: F.length(t) > 1)
         if self.remove_stopwords:
             stop = F.array(*[F.lit(s) for s in STOPWORDS])
             w = F.filter(w, lambda t: ~F.array_contains(stop, t))
+        return df.withColumn("__w", w)
 
+    def terms(self) -> Column:
+        w = F.col("__w")
+        if self.char_ngrams:
+
+            def pieces(n):
+                return F.flatten(F.transform(w, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))))
+
+            return F.concat(*[pieces(n) for n in (3, 4, 5)])
         def grams(n):
             if n == 1:
                 return w
-            return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+            m = F.greatest(F.size(w) - n + 1, F.lit(0))
+            shifted = F.arrays_zip(*[F.slice(w, F.when(m > 0, k + 1).otherwise(1), m).alias(f"w{k}") for k in range(n)])
+            return F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(n)]))
 
         lo, hi = self.ngram_range
         return F.concat(*[grams(n) for n in range(lo, hi + 1)])
@@ -279,14 +286,14 @@ class TfidfVectorizer(Operator):
         n = df.count()
         if self.use_hashing:
             return {"n": n}, {}
-        d = df.select(F.explode(F.array_distinct(self.terms())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= self.min_df)
+        d = self.with_words(df).select(F.explode(F.array_distinct(self.terms())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= self.min_df)
         top = d.orderBy(F.desc("df"), "term").limit(self.max_features)
         t = top.withColumn("idf", F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
         return {"n": n, "rows": self.max_features}, {"vocabulary": t}
 
     def apply(self, df, state, tables):
         d = df.withColumn("__r", F.monotonically_increasing_id())
-        rows = d.select("__r", F.explode(self.terms()).alias("term"))
+        rows = self.with_words(d).select("__r", F.explode(self.terms()).alias("term"))
         if self.use_hashing:
             rows = rows.withColumn("term", F.pmod(F.hash("term"), F.lit(self.hashing_features)).cast("string"))
         tf = rows.groupBy("__r", "term").agg(F.count(F.lit(1)).alias("tf"))

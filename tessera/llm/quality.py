@@ -69,7 +69,10 @@ def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
         lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    return d.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # The condition always holds. An id that counts rows keeps filters above this projection: pushed below it, they would
+    # copy the sorted array into the functions that run on each of its elements, and sort it again for each.
+    repeats = F.when(F.monotonically_increasing_id() >= 0, F.coalesce(covered, F.lit(0)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return d.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeats.alias("n_repeat_words"))
 
 
 def base_failed() -> Column:

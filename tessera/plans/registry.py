@@ -628,7 +628,7 @@ def nlp_stats(t):
     return tx.NLPTextStatistics("text", include_readability=False).fit_transform(t("documents").select("doc_id", "text")).drop("text")
 
 
-@q(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), w AS (SELECT doc_id, CAST(len(w) AS DOUBLE) AS n, greatest(1.0, len(regexp_extract_all(x, '[.!?]+'))) AS s, CAST(length(array_to_string(w, '')) AS DOUBLE) AS l, CAST(coalesce(list_sum(v), 0) AS DOUBLE) AS y FROM (SELECT doc_id, x, w, list_transform(w, lambda t: greatest(1, len(regexp_extract_all(lower(t), '[aeiouy]+')))) AS v FROM (SELECT doc_id, x, list_filter(regexp_split_to_array(x, '[^A-Za-z'']+'), lambda t: t <> '') AS w FROM d))) SELECT doc_id, CASE WHEN n > 0 THEN 206.835 - 1.015 * n / s - 84.6 * y / nullif(n, 0) ELSE 0.0 END AS text_flesch_reading_ease, CASE WHEN n > 0 THEN 0.39 * n / s + 11.8 * y / nullif(n, 0) - 15.59 ELSE 0.0 END AS text_flesch_kincaid_grade, CASE WHEN n > 0 THEN 4.71 * l / nullif(n, 0) + 0.5 * n / s - 21.43 ELSE 0.0 END AS text_automated_readability_index FROM w""", "text_flesch_reading_ease text_flesch_kincaid_grade text_automated_readability_index", 5)
+@q(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), w AS (SELECT doc_id, CAST(len(w) AS DOUBLE) AS n, greatest(1.0, len(regexp_extract_all(x, '[.!?]+'))) AS s, CAST(length(array_to_string(w, '')) AS DOUBLE) AS l, CAST(coalesce(list_sum(v), 0) AS DOUBLE) AS y FROM (SELECT doc_id, x, w, list_transform(w, lambda t: greatest(1, len(regexp_extract_all(lower(t), '[aeiouy]+')))) AS v FROM (SELECT doc_id, x, list_filter(regexp_split_to_array(x, '[^A-Za-z'']+'), lambda t: t <> '') AS w FROM d))) SELECT doc_id, CASE WHEN n > 0 THEN 206.835 - 1.015 * n / s - 84.6 * y / nullif(n, 0) ELSE 0.0 END AS text_flesch_reading_ease, CASE WHEN n > 0 THEN 0.39 * n / s + 11.8 * y / nullif(n, 0) - 15.59 ELSE 0.0 END AS text_flesch_kincaid_grade, CASE WHEN n > 0 THEN 4.71 * l / nullif(n, 0) + 0.5 * n / s - 21.43 ELSE 0.0 END AS text_automated_readability_index FROM w""", "text_flesch_reading_ease text_flesch_kincaid_grade text_automated_readability_index", 8)
 def readability(t):
     m = ("flesch_reading_ease", "flesch_kincaid_grade", "automated_readability_index")
     return tx.ReadabilityScoreExtractor(["text"], m).fit_transform(t("documents").select("doc_id", "text")).drop("text")

@@ -53,6 +53,27 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 
 
+def most_frequent(counts: DataFrame, n: str, entries: int) -> DataFrame:
+    """Rows of the largest n, at most `entries` of them: those over a bound read off a histogram of logarithms.
+
+    A limit over a sort would have each task send that many rows to the driver.
+    """
+    step = lambda: F.floor(F.ln(F.col(n)) * 16).cast("int")
+    left, bound = entries, None
+    for r in sorted(counts.groupBy(step().alias("b")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):  # a few hundred rows
+        left -= r.k
+        if left < 0:
+            break
+        bound = r.b
+    return counts.filter(step() >= bound) if bound is not None else counts.limit(0)
+
+
+def hash_sample(df: DataFrame, text: str, rows: int, total: int) -> DataFrame:
+    """About four times `rows` of `total` rows, by a hash of the text, so that little is left to sort for the least `rows`."""
+    share = min(1.0, 4 * rows / max(total, 1))
+    return df if share >= 1 else df.filter(F.pmod(F.xxhash64(F.col(text), F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+
+
 def slices(batch, text_at: int, max_chars: int = 1_000_000):
     """Cut an Arrow batch into slices of about max_chars of text; a longer text is a slice of its own."""
     import numpy as np

@@ -14,7 +14,7 @@ together, products are chained per document, and then messages within chunks.
 This is exact, and a long document costs no more per word than a short one.
 
 The model is fitted on at most DOCS_PER_LANGUAGE labelled documents of each
-language (those of least text hash), the documented bound of this classifier.
+language (by text hash), the documented bound of this classifier.
 
 Nulls and edge cases: a null text, or one without letters, is "und" with score
 0; a null language isn't learned from; without labelled text all are "und";
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._common import crc_mod, documents, slices
+from tessera.llm._common import crc_mod, documents, hash_sample, slices
 
 DOCS_PER_LANGUAGE = 300
 MAX_LANGUAGES = 200
@@ -293,12 +293,13 @@ def fit(texts: list[str], labels: list[str], seed: int = 5) -> Model:
 def training_sample(df: DataFrame, text: str, label: str, per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """At most per_language rows of each label, those of least text hash; a few thousand rows whatever the input."""
     rows = df.filter(F.col(text).rlike(r"\p{L}") & F.col(label).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"))
-    found = [r.l for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES + 1).collect()]
+    found = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES + 1).collect()}
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     texts, labels = [], []
     for x in sorted(found):
-        for r in rows.filter(F.col("l") == x).select("t").orderBy(F.xxhash64("t"), "t").limit(per_language).collect():
+        own = hash_sample(rows.filter(F.col("l") == x).select("t"), "t", per_language, found[x])
+        for r in own.orderBy(F.xxhash64("t"), "t").limit(per_language).collect():
             texts.append(r.t)
             labels.append(x)
     return texts, labels

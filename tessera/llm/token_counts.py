@@ -3,10 +3,11 @@
 One pass over the texts finds each document's pre-token frequencies. Frequent
 pre-tokens (the head) are counted beforehand and joined from a dictionary of at
 most HEAD_ENTRIES that is broadcast; all others (the tail) leave the pass as
-(pre-token, frequency) lists, are counted once per distinct pre-token of the
-whole corpus, joined by hash and summed per document. Which pre-tokens are in
-the head comes from a sample of HEAD_DOCUMENTS documents and changes no result,
-only how many rows the shuffle carries.
+(pre-token, frequency) lists, are dealt by pre-token in one shuffle, where the
+sorted stream counts each distinct pre-token of the corpus once and gives the
+product with each document's frequency, and are summed per document. Which
+pre-tokens are in the head comes from one in HEAD_SAMPLE documents (by hash of
+the text) and changes no result, only how many rows the shuffle carries.
 
 Nulls and edge cases: a null or empty text has 0 bytes and 0 tokens; a special
 string of the vocabulary is one token; documents of any length are counted
@@ -18,47 +19,63 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
-from tessera.llm._common import documents, slices, staged
+from tessera.llm._common import documents, most_frequent, slices, staged
 
-HEAD_ENTRIES = 200_000
-HEAD_DOCUMENTS = 4_000
+HEAD_ENTRIES = 400_000
+HEAD_SAMPLE = 8
+FLUSH_ENTRIES = 200_000
 UNIT_CACHE = 200_000
 LIMIT = 512
 
 
-def head_dictionary(df: DataFrame, text: str, path: str, documents_: int, entries: int) -> dict[str, int]:
-    """Pieces of the most frequent pre-tokens in a bounded sample: rows of least hash of the text."""
+def head_pretokens(df: DataFrame, text: str, path: str, sample: int, entries: int) -> list[str]:
+    """The most frequent pre-tokens of one in `sample` texts: counted in tasks, then over tasks, and the top taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, seen = bpe.load(path), Counter()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["k", "n"])
+            seen.clear()
+            return batch
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 for segment in tokenizer.segments(t):
                     if segment not in tokenizer.special:
                         seen.update(tokenizer.pretokens(segment))
-        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["k", "n"])
+                if len(seen) > FLUSH_ENTRIES:
+                    yield out()
+        yield out()
 
-    sample = df.filter(F.length(text) > 0).select(text).orderBy(F.xxhash64(text), F.octet_length(text)).limit(documents_)
-    counted = sample.mapInArrow(run, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "k").limit(entries)
-    return {r.k: 0 for r in counted.select("k").collect()}
+    part = df.select(F.col(text).cast("string").alias("t")).filter((F.length("t") > 0) & (F.pmod(F.xxhash64("t"), F.lit(sample)) == 0))
+    counted = part.mapInArrow(run, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).filter("n > 1")
+    return [r.k for r in most_frequent(staged(counted, "head-counts"), "n", entries).select("k").collect()]
 
 
-def count_pieces(distinct: DataFrame, pretoken: str, path: str) -> DataFrame:
-    """Add n_pieces to rows that each hold a distinct pre-token."""
+def count_pieces(tail: DataFrame, path: str) -> DataFrame:
+    """(row, n) from (row, k, n): n times the pieces of k. Rows are dealt and sorted by k, so that each distinct k is counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = bpe.load(path)
+        last, pieces = None, 0
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(tokenizer.pieces(x)) for x in words], pa.int64())], [pretoken, "n_pieces"])
+            each = batch.column(1).dictionary_encode()
+            sizes = []
+            for k in each.dictionary.to_pylist():
+                if k != last:
+                    last, pieces = k, len(tokenizer.pieces(k))
+                sizes.append(pieces)
+            n = np.array(sizes, np.int64)[each.indices.to_numpy()] * batch.column(2).to_numpy() if len(sizes) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["row", "n"])
 
-    return distinct.select(pretoken).mapInArrow(run, f"{pretoken} string, n_pieces long")
+    return tail.select("row", "k", "n").repartition("k").sortWithinPartitions("k").mapInArrow(run, "row long, n long")
 
 
 class _Units:
@@ -95,12 +112,12 @@ class _Units:
         return n, tail
 
 
-def count_tokens(df: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, head_entries: int = HEAD_ENTRIES, head_documents: int = HEAD_DOCUMENTS) -> DataFrame:
+def count_tokens(df: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, head_entries: int = HEAD_ENTRIES, head_sample: int = HEAD_SAMPLE) -> DataFrame:
     """One row per row of df: id, n_bytes, n_tokens."""
     path = path or bpe.vocabulary_path()
     spark = df.sparkSession
-    head = head_dictionary(df, text, path, head_documents, head_entries)
     tokenizer = bpe.load(path)
+    head = head_pretokens(df, text, path, head_sample, head_entries)
     head = spark.sparkContext.broadcast({k: len(tokenizer.pieces(k)) for k in head})  # each distinct head pre-token once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +138,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text: str = "text", path
     rows = rows.mapInArrow(run, f"id {id_type}, n_bytes long, head long, keys array<string>, times array<int>").withColumn("row", F.monotonically_increasing_id())
     rows = staged(rows, "token-frequencies")
     tail = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("k"), F.col("x.times").alias("n"))
-    pieces = count_pieces(tail.select("k").distinct(), "k", path)
-    sums = tail.join(pieces, "k").groupBy("row").agg(F.sum(F.col("n") * F.col("n_pieces")).alias("tail"))
+    sums = count_pieces(tail, path).groupBy("row").agg(F.sum("n").alias("tail"))
     out = rows.select("row", "id", "n_bytes", "head").join(sums, "row", "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("head") + F.coalesce("tail", F.lit(0))).alias("n_tokens"))
 

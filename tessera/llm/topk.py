@@ -34,7 +34,7 @@ from tessera.llm._common import staged
 
 TREE_ROWS = 4096
 QUERY_BLOCK = 1024
-LEAF = 64
+LEAF = 256
 FANOUT = 16
 PAGE_SCHEMA = "tree int, page int, leaf boolean, children array<int>, radii array<double>, to_parent array<double>, ids array<long>, vectors binary"
 EXACT = 2.0**52
@@ -116,7 +116,11 @@ class Tree:
             if leaf:
                 part = m[keep, :-1]
                 scores = (part @ q[:-1]).astype(np.int64) if fits else part.astype(np.int64) @ exact
-                for s, i in zip(scores.tolist(), ids[keep].tolist()):
+                own_ids = ids[keep]
+                if len(best) == k:  # equal scores stay: the smaller id wins
+                    better = scores >= best[0][0]
+                    scores, own_ids = scores[better], own_ids[better]
+                for s, i in zip(scores.tolist(), own_ids.tolist()):
                     if len(best) < k:
                         heapq.heappush(best, (s, -i))
                     elif (s, -i) > best[0]:

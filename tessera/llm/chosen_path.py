@@ -4,10 +4,13 @@ Texts become sets of hashed shingles (five words, A-Z lower-cased; a shorter
 text is one shingle of all its words), and sets a row of SIZE sampled tokens
 (min-hashes). From the root, each run walks down a tree: a node's path picks a
 position, and sets with the same token there share a child. START tokens are
-taken at once; buckets over BUCKET sets are split further, up to MAX_DEPTH
-tokens, with more than one child now and then, which makes up for pairs that
-part. Small buckets are compared by brute force on the sampled tokens. The
-number of runs follows from the target recall at the threshold.
+taken at once. Small buckets are compared by brute force on the sampled tokens.
+In a bucket over BUCKET sets, those close to its pivot are linked to it; if few
+are left, or at MAX_DEPTH tokens, all pairs with one of those are compared, in
+cells. Other large buckets are split further, with more than one child now and
+then. The number of runs follows from the target recall at the threshold and
+the chance that a pair stays together down to the deepest level reached; sets
+of buckets that were split take part in as many more runs as that demands.
 
 What the buckets find are candidate groups; their links are then verified on
 the full sets, all pairs of a group in cells of bounded size, so that results
@@ -38,15 +41,15 @@ from tessera.llm.components import connected_components
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Chance that a pair at the threshold meets in a bucket.
+#: Chance that a pair at the threshold becomes a candidate.
 RECALL = 0.99999
 SIZE = 64
 START = 2
 STEP = 2
 MAX_DEPTH = 8
 BUCKET = 200
-#: Pairs whose sampled tokens agree less than this are no candidates: over four standard deviations below the threshold.
-CANDIDATE = 0.59
+#: About as many sets of each side in a cell of a large bucket; with more that aren't near its pivot, it is split.
+CELL_SETS = 1000
 #: Most sets, and most shingles, of a block in verification.
 BLOCK_SETS = 1000
 BLOCK_SHINGLES = 1_000_000
@@ -103,47 +106,86 @@ def walk(paths: np.ndarray, tokens: np.ndarray, steps: int) -> np.ndarray:
     return paths
 
 
+def children(paths: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Paths STEP tokens longer, and the row of each; a path has a second child, along another position, with chance 1/threshold**STEP - 1."""
+    with np.errstate(over="ignore"):
+        fork = mix(paths + np.uint64(77))
+    also = np.flatnonzero((fork >> np.uint64(11)).astype(np.float64) / 2**53 < min(1.0, threshold**-STEP - 1))
+    return np.concatenate([walk(paths, tokens, STEP), walk(fork[also], tokens[also], STEP)]), np.concatenate([np.arange(len(tokens)), also])
+
+
+def _agreements(threshold: float) -> list[float]:
+    """Chances that 0 to SIZE sampled tokens of a pair at the threshold agree."""
+    return [math.comb(SIZE, m) * threshold**m * (1 - threshold) ** (SIZE - m) for m in range(SIZE + 1)]
+
+
+def candidate_matches(threshold: float, recall: float) -> int:
+    """Sampled tokens in which a candidate pair agrees at least; a quarter of the allowed misses have fewer."""
+    below = 0.0
+    for m, x in enumerate(_agreements(threshold)):
+        below += x
+        if below > (1 - recall) / 4:
+            return m
+    return SIZE
+
+
+def survival(agreement: float, threshold: float, depth: int) -> float:
+    """Chance that a run keeps a pair with this share of equal tokens together on some path of `depth` tokens."""
+    second, below, step = min(1.0, threshold**-STEP - 1), 1.0, agreement**STEP
+    for _ in range(START, depth, STEP):
+        below = 1 - (1 - step * below) * (1 - second * step * below)
+    return agreement**START * below
+
+
 def runs_for(threshold: float, recall: float, depth: int = START) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
+    """Runs after which a quarter of the allowed misses never met in a bucket of this depth, over all outcomes of the sampling."""
+    least = candidate_matches(threshold, recall)
+    each = [(x, survival(m / SIZE, threshold, depth)) for m, x in enumerate(_agreements(threshold)) if m >= least]
+    return next(n for n in range(1, 100_000) if sum(x * (1 - p) ** n for x, p in each) <= (1 - recall) / 4)
 
 
-def _sign(df: DataFrame, id_col: str, text: str, n_runs: int) -> DataFrame:
-    """id, key (of the whole text), copies' shared sample and start paths."""
+def _sign(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id, key (of the whole text), number of shingles and their sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = mix(np.arange(1, n_runs + 1, dtype=np.uint64))
         for batch in batches:
             for part in slices(batch, 2):
                 sets = [shingles(t) for t in part.column(2).to_pylist()]
                 tokens = [sampled(s) if len(s) else None for s in sets]
-                live = [k for k, t in enumerate(tokens) if t is not None]
-                paths: list = [None] * len(sets)
-                if live:
-                    m = np.stack([tokens[k] for k in live])
-                    ways = np.stack([walk(np.full(len(live), r), m, START) for r in roots], axis=1).view(np.int64)
-                    for k, w in zip(live, ways):
-                        paths[k] = w
-                arrays = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([None if t is None else t.tobytes() for t in tokens], pa.binary()), pa.array(paths, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "key", "n", "tokens", "paths"])
+                arrays = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([None if t is None else t.tobytes() for t in tokens], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "key", "n", "tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, key binary, n long, tokens binary, paths array<long>")
+    return rows.mapInArrow(run, f"id {kind}, key binary, n long, tokens binary")
+
 
+def _matrix(tokens: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(tokens.to_pylist()), np.uint32).reshape(-1, SIZE)
 
-def _deeper(rows: DataFrame) -> DataFrame:
-    """(path, key, tokens) with paths STEP tokens longer; a path has a second child, along another position, with chance 1/threshold**STEP - 1."""
-    second = min(1.0, THRESHOLD**-STEP - 1)
+
+def _starts(reps: DataFrame, first: int, last: int) -> DataFrame:
+    """(path, key) of START tokens in runs number first to last - 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _matrix(batch.column(1))
+            for r in mix(np.arange(first + 1, last + 1, dtype=np.uint64)):
+                path = walk(np.full(len(m), r), m, START)
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0)], ["path", "key"])
+
+    return reps.select("key", "tokens").mapInArrow(run, "path long, key binary")
+
+
+def _deeper(rows: DataFrame, threshold: float) -> DataFrame:
+    """(path, key, tokens) of the paths' children."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = batch.column(0).to_numpy().view(np.uint64)
-            m = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, SIZE)
-            with np.errstate(over="ignore"):
-                fork = mix(paths + np.uint64(77))
-            also = np.flatnonzero((fork >> np.uint64(11)).astype(np.float64) / 2**53 < second)
-            out = np.concatenate([walk(paths, m, STEP), walk(fork[also], m[also], STEP)])
-            take = pa.array(np.concatenate([np.arange(len(m)), also]))
+            m = _matrix(batch.column(2))
+            out, take = children(paths, m, threshold)
+            take = pa.array(take)
             yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), batch.column(1).take(take), batch.column(2).take(take)], ["path", "key", "tokens"])
 
     return rows.select("path", "key", "tokens").mapInArrow(run, "path long, key binary, tokens binary")
@@ -192,20 +234,20 @@ def _parts(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def _brute_force(rows: DataFrame) -> DataFrame:
+def _brute_force(rows: DataFrame, least: int) -> DataFrame:
     """Candidate edges (a, b) of buckets: pairs of close samples, as a spanning forest of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 1):
             path = table.column(0).to_numpy()
             keys = table.column(1).to_pylist()
-            m = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint32).reshape(-1, SIZE)
+            m = _matrix(table.column(2))
             start = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]])
             size = np.diff(start)
             a: list[bytes] = []
             b: list[bytes] = []
             two = start[:-1][size == 2]
-            for i in two[(m[two] == m[two + 1]).mean(axis=1) >= CANDIDATE].tolist():
+            for i in two[(m[two] == m[two + 1]).sum(axis=1) >= least].tolist():
                 a.append(keys[i])
                 b.append(keys[i + 1])
             for i, n in zip(start[:-1][size > 2].tolist(), size[size > 2].tolist()):
@@ -213,7 +255,7 @@ def _brute_force(rows: DataFrame) -> DataFrame:
                 same = np.zeros((n, n), np.int32)
                 for k in range(SIZE):
                     same += part[:, k, None] == part[None, :, k]
-                root = _parts(same >= CANDIDATE * SIZE)
+                root = _parts(same >= least)
                 for x in np.flatnonzero(root != np.arange(n)).tolist():
                     a.append(keys[i + x])
                     b.append(keys[i + root[x]])
@@ -222,31 +264,66 @@ def _brute_force(rows: DataFrame) -> DataFrame:
     return rows.select("path", "key", "tokens").repartition("path").sortWithinPartitions("path", "key").mapInArrow(run, "a binary, b binary")
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """Edges between reps (key, tokens, paths) that buckets bring together."""
-    rows = reps.select(F.explode("paths").alias("path"), "key")
-    edges = None
-    depth = START
+def _beside_pivot(large: DataFrame, least: int) -> DataFrame:
+    """(path, key, tokens, size, pivot, near): whether the set is a candidate with its bucket's pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = (_matrix(batch.column(2)) == _matrix(batch.column(5))).sum(axis=1) >= least
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(near)], ["path", "key", "tokens", "size", "pivot", "near"])
+
+    return large.select("path", "key", "tokens", "size", "pivot", "pivot_tokens").mapInArrow(run, "path long, key binary, tokens binary, size long, pivot binary, near boolean")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """(path, key, tokens) of cells in which every pair of a bucket meets, but for pairs near its pivot, which are linked by that."""
+    blocks = lambda n: F.ceil(n / CELL_SETS).cast("int")
+    rows = rows.withColumn("apart", blocks(F.col("rest"))).withColumn("near_blocks", blocks(F.col("size") - F.col("rest")))
+    h = F.xxhash64("key", F.lit(3))
+    rows = rows.withColumn("block", F.when(F.col("near"), F.col("apart") + F.pmod(h, F.col("near_blocks"))).otherwise(F.pmod(h, F.col("apart"))).cast("int"))
+    all_blocks = F.col("apart") + F.col("near_blocks")
+    others = F.when(F.col("near"), F.sequence(F.lit(0), F.col("apart") - 1)).otherwise(F.sequence(F.lit(0), all_blocks - 1))
+    each = rows.withColumn("other", F.explode(others)).filter((F.col("other") != F.col("block")) | (all_blocks == 1))
+    return each.select(F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("path"), "key", "tokens")
+
+
+def _round(reps: DataFrame, first: int, last: int, threshold: float, least: int) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Edges from runs number first to last - 1; keys of buckets that had to be split, and the deepest level reached."""
+    rows, edges, split, depth = _starts(reps, first, last), [], None, START
     while True:
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("pivot")).filter("size > 1")
-        shared = rows.join(sizes, "path")
+        pivots = reps.select(F.col("key").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
+        large = staged(sizes.filter(F.col("size") > BUCKET).join(pivots, "pivot"), "large")
+        shared = rows.join(sizes.filter(F.col("size") <= BUCKET).select("path"), "path")
         shared = shared if "tokens" in rows.columns else shared.join(reps.select("key", "tokens"), "key")
-        shared = staged(shared.select("path", "key", "tokens", "size", "pivot"), "buckets")
-        found = _brute_force(shared.filter(F.col("size") <= BUCKET))
-        edges = found if edges is None else edges.unionByName(found)
-        large = shared.filter(F.col("size") > BUCKET)
+        edges.append(staged(_brute_force(shared, least), "small-buckets"))
         if large.isEmpty():
-            return edges
-        if depth >= MAX_DEPTH:
-            break
-        rows = staged(_deeper(large).dropDuplicates(["path", "key"]), "paths")
+            return edges, split, depth
+        shared = rows.join(large, "path")
+        shared = shared if "tokens" in rows.columns else shared.join(reps.select("key", "tokens"), "key")
+        shared = staged(_beside_pivot(shared, least), "beside-pivot")
+        linked = shared.filter(F.col("near") & (F.col("key") != F.col("pivot"))).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+        edges.append(staged(linked.distinct(), "pivot-links"))
+        rest = shared.groupBy("path").agg(F.count(F.when(~F.col("near"), 1)).alias("rest"))
+        shared = shared.join(staged(rest.filter("rest > 0"), "rest"), "path")
+        done = F.lit(True) if depth >= MAX_DEPTH else F.col("rest") <= CELL_SETS
+        edges.append(staged(_brute_force(_cells(shared.filter(done)), least), "cells"))
+        larger = shared.filter(~done)
+        if depth >= MAX_DEPTH or larger.isEmpty():
+            return edges, split, depth
+        split = staged(larger.select("key").distinct(), "split") if split is None else split
+        rows = staged(_deeper(larger, threshold).dropDuplicates(["path", "key"]), "paths")
         depth += STEP
-    # sets that still share a large bucket agree in MAX_DEPTH tokens: compared in parts, each with the bucket's pivot
-    chunks = F.ceil(F.col("size") / BUCKET).cast("int")
-    part = large.select(F.xxhash64("path", F.pmod(F.xxhash64("key"), chunks)).alias("path"), "key", "tokens")
-    pivots = large.filter(F.col("key") == F.col("pivot")).select("path", "key", "tokens", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("c"))
-    pivots = pivots.select(F.xxhash64("path", F.col("c").cast("long")).alias("path"), "key", "tokens")
-    return edges.unionByName(_brute_force(part.unionByName(pivots).dropDuplicates(["path", "key"])))
+
+
+def candidate_edges(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Edges between reps (key, tokens) that buckets bring together."""
+    least = candidate_matches(threshold, recall)
+    edges, _, _ = _round(reps, 0, runs_for(threshold, recall), threshold, least)
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    return out
 
 
 def _shared_counts(sets: list[np.ndarray], rare: int = 16, width: int = 2048) -> np.ndarray:
@@ -321,9 +398,9 @@ def _verify(cells: DataFrame, threshold: float) -> DataFrame:
 
 def join(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: id, key (of its text), class_key (null without words), class_id, n_links, n_copies and class_size."""
-    signed = staged(_sign(df, id_col, text, runs_for(threshold, recall)), "signed")
-    reps = staged(signed.filter("tokens IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("paths").alias("paths")), "representatives")
-    groups = staged(connected_components(candidate_edges(reps), "a", "b"), "candidates").withColumnRenamed("node", "key").withColumnRenamed("root", "group_key")
+    signed = staged(_sign(df, id_col, text), "signed")
+    reps = staged(signed.filter("tokens IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "representatives")
+    groups = staged(connected_components(candidate_edges(reps, threshold, recall), "a", "b"), "candidates").withColumnRenamed("node", "key").withColumnRenamed("root", "group_key")
     members = groups.join(reps.select("key", "copies", "n"), "key")
     blocks = members.groupBy("group_key").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = staged(members.join(blocks, "group_key").select("key", "copies", F.xxhash64("group_key").alias("group"), "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")), "members")

@@ -232,6 +232,19 @@ def test_join_of_a_large_group(spark, monkeypatch):
     check_join(spark, [near(i % 90) for i in range(120)] + [" ".join(reversed(BASE))])
 
 
+def test_join_of_short_copies_among_long_quotes(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BUCKET", 5)
+    monkeypatch.setattr(chosen_path, "MAX_DEPTH", 2)
+    monkeypatch.setattr(chosen_path, "CELL_SETS", 8, raising=False)
+    r = random.Random(5)
+    own = lambda n: [f"u{r.random()}" for _ in range(n)]
+    texts = []
+    for p in range(12):
+        passage = [f"p{p}w{i}" for i in range(40)]
+        texts += [" ".join([*passage, *own(45)]) for _ in range(60)] + [" ".join([*passage, *own(3)]) for _ in range(2)]
+    check_join(spark, texts)
+
+
 def test_join_on_edges(spark, docs, empty):
     out = chosen_path.join(docs)
     assert out.count() == len(TEXTS)

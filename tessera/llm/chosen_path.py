@@ -317,9 +317,21 @@ def _round(reps: DataFrame, first: int, last: int, threshold: float, least: int)
 
 
 def candidate_edges(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Edges between reps (key, tokens) that buckets bring together."""
+    """Edges between reps (key, tokens) that buckets bring together.
+
+    A pair that a bucket of START tokens kept together is found, or both its sets were in buckets that were split: those
+    sets alone need the runs of deeper levels.
+    """
     least = candidate_matches(threshold, recall)
-    edges, _, _ = _round(reps, 0, runs_for(threshold, recall), threshold, least)
+    done, goal = 0, runs_for(threshold, recall)
+    edges, pool = [], reps
+    while done < goal:
+        found, split, depth = _round(pool, done, goal, threshold, least)
+        edges += found
+        done = goal
+        if pool is reps and split is not None:
+            pool = staged(reps.join(split, "key", "left_semi").select("key", "tokens"), "pool")
+        goal = max(goal, runs_for(threshold, recall, depth))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)

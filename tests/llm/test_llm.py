@@ -245,6 +245,37 @@ def test_join_of_short_copies_among_long_quotes(spark, monkeypatch):
     check_join(spark, texts)
 
 
+@pytest.mark.parametrize("depth", [2, 4, 8])
+def test_runs_meet_the_recall_at_every_depth(depth):
+    rng, pairs, recall = np.random.default_rng(8), 3000, 0.99
+    a = rng.integers(0, 2**32, (pairs, chosen_path.SIZE), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 2**32, a.shape, dtype=np.uint32))
+    met = np.zeros(pairs, bool)
+    for root in range(1, chosen_path.runs_for(0.8, recall, depth) + 1):
+        sides = []
+        for m in (a, b):
+            at, path = np.arange(pairs), chosen_path.walk(np.full(pairs, chosen_path.mix(np.uint64(root))), m, chosen_path.START)
+            for _ in range(chosen_path.START, depth, chosen_path.STEP):
+                path, row = chosen_path.children(path, m[at], 0.8)
+                at = at[row]
+            sides.append(set(zip(at.tolist(), path.tolist())))
+        met[[i for i, _ in sides[0] & sides[1]]] = True
+    met &= (a == b).sum(axis=1) >= chosen_path.candidate_matches(0.8, recall)
+    assert 1 - met.mean() <= 1 - recall
+
+
+def test_split_buckets_get_the_runs_of_their_depth(spark, monkeypatch):
+    rounds = []
+    one = chosen_path._round
+    monkeypatch.setattr(chosen_path, "BUCKET", 5)
+    monkeypatch.setattr(chosen_path, "CELL_SETS", 5)
+    monkeypatch.setattr(chosen_path, "_round", lambda reps, first, last, *a: rounds.append((first, last, *(out := one(reps, first, last, *a))[2:])) or out)
+    words = " ".join(f"p{i}" for i in range(40))
+    check_join(spark, [f"{words} " + " ".join(f"u{n}x{i}" for i in range(45)) for n in range(60)])
+    deepest = max(depth for _, _, depth in rounds)
+    assert deepest > chosen_path.START and max(last for _, last, _ in rounds) >= chosen_path.runs_for(chosen_path.THRESHOLD, chosen_path.RECALL, deepest)
+
+
 def test_join_on_edges(spark, docs, empty):
     out = chosen_path.join(docs)
     assert out.count() == len(TEXTS)

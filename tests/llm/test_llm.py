@@ -419,6 +419,10 @@ def test_gradients():
         assert g[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-4)
 
 
+def test_sizes_of_the_network():
+    assert (lm.WIDTH, lm.HIDDEN, lm.CONTEXT, lm.STRIDE) == (32, 64, 16, 32)
+
+
 def test_windows_score_each_place_once_and_alone():
     counts = np.random.default_rng(0).integers(0, 50, 50_258).astype(float)
     v = lm.Vocabulary.build(counts, [*bpe.load(bpe.vocabulary_path()).bytes_of, b""])

@@ -464,6 +464,25 @@ def test_base_scores(spark, docs, monkeypatch, head):
     assert model.n_tokens == n and all(math.isfinite(r.score) and r.score < 0 for r in out)
 
 
+def test_the_network_sees_every_window_of_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TRAIN_WINDOWS", 100)
+    r = random.Random(2)
+    texts = [" ".join(r.choice(BASE) for _ in range(20)) for _ in range(1700)]
+    d = spark.createDataFrame([(t,) for t in [*texts, *texts[:1] * 900]], "text string")
+    seen = []
+    trained = lm._trained_apart
+    workers = []
+    monkeypatch.setattr(lm, "_trained_apart", lambda *a: workers.append(a[0].select("worker").distinct().count()) or seen.append((out := trained(*a))[1]) or out)
+    model = lm.fit(d, lm.word_counts(d))
+    ids = lm.Subwords(model.path)
+    inputs, first, target, live, _ = lm.windows([ids.ids(lm.words_of(t)) for t in sorted(set(texts))], model.vocabulary)
+    assert len(seen) > 1 and min(workers) > 1 and sum(seen) == len(inputs)
+    start = lm.Network()
+    start.set_prior(model.vocabulary.log_class)
+    loss = [n.gradients(inputs, first, model.vocabulary.class_of[target], live)[0] for n in (start, model.network)]
+    assert loss[1] < loss[0]
+
+
 def test_no_training_texts(spark, docs):
     counts = lm.staged(lm.word_counts(docs.limit(0)), "t")
     out = lm.score(docs, lm.fit(docs.limit(0), counts), counts).collect()

@@ -68,12 +68,6 @@ def most_frequent(counts: DataFrame, n: str, entries: int) -> DataFrame:
     return counts.filter(step() >= bound) if bound is not None else counts.limit(0)
 
 
-def hash_sample(df: DataFrame, text: str, rows: int, total: int) -> DataFrame:
-    """About four times `rows` of `total` rows, by a hash of the text, so that little is left to sort for the least `rows`."""
-    share = min(1.0, 4 * rows / max(total, 1))
-    return df if share >= 1 else df.filter(F.pmod(F.xxhash64(F.col(text), F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-
-
 def slices(batch, text_at: int, max_chars: int = 1_000_000):
     """Cut an Arrow batch into slices of about max_chars of text; a longer text is a slice of its own."""
     import numpy as np

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._common import crc_mod, documents, hash_sample, slices
+from tessera.llm._common import crc_mod, documents, slices, staged
 
 DOCS_PER_LANGUAGE = 300
 MAX_LANGUAGES = 200
@@ -291,18 +291,22 @@ def fit(texts: list[str], labels: list[str], seed: int = 5) -> Model:
 
 
 def training_sample(df: DataFrame, text: str, label: str, per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """At most per_language rows of each label, those of least text hash; a few thousand rows whatever the input."""
-    rows = df.filter(F.col(text).rlike(r"\p{L}") & F.col(label).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"))
-    found = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES + 1).collect()}
+    """At most per_language distinct texts of each label, those of least hash; a few thousand texts whatever the input and its copies."""
+    rows = df.filter(F.col(text).rlike(r"\p{L}") & F.col(label).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"), F.xxhash64(text).alias("h"))
+    distinct = staged(rows.select("l", "h").distinct(), "text-hashes")
+    found = {r.l: r.n for r in distinct.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES + 1).collect()}
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
-    texts, labels = [], []
-    for x in sorted(found):
-        own = hash_sample(rows.filter(F.col("l") == x).select("t"), "t", per_language, found[x])
-        for r in own.orderBy(F.xxhash64("t"), "t").limit(per_language).collect():
-            texts.append(r.t)
-            labels.append(x)
-    return texts, labels
+    last = {}
+    for x, n in found.items():
+        least = distinct.filter(F.col("l") == x).orderBy("h").limit(per_language) if n > per_language else distinct.filter(F.col("l") == x)
+        last[x] = least.agg(F.max("h")).first()[0]
+    if not last:
+        return [], []
+    bounds = F.broadcast(df.sparkSession.createDataFrame(sorted(last.items()), "l string, last long"))
+    chosen = rows.join(bounds, "l").filter(F.col("h") <= F.col("last")).groupBy("l", "h").agg(F.min("t").alias("t")).collect()
+    chosen.sort(key=lambda r: (r.l, r.h))
+    return [r.t for r in chosen], [r.l for r in chosen]
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", spans: bool = False, carry: list[str] | None = None) -> DataFrame:

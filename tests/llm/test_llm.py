@@ -389,6 +389,15 @@ def test_held_out_languages(spark, language_model, docs, empty):
     assert {x.lang_pred for x in language_id.predict(docs, language_id.fit([], [])).collect()} == {"und"}
 
 
+def test_training_texts_are_distinct_and_copies_hide_no_language(spark):
+    few = [(f"alpha beta {i}", "xx") for i in range(12)]
+    many = [(f"gamma delta {i}", "yy") for i in range(40)]
+    d = spark.createDataFrame([*few * 900, *many, *many[:1] * 20_000], "text string, lang string")
+    got = list(zip(*language_id.training_sample(d, "text", "lang", 15)))
+    assert len(set(got)) == len(got)
+    assert Counter(x for _, x in got) == {"xx": 12, "yy": 15}
+
+
 def test_switches_are_spans(spark, language_model):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     a, b = (d.filter(F.col("lang") == x).filter(F.length("text") > 300).select(F.substring("text", 1, 300)).first()[0] for x in ("de", "es"))

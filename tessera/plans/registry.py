@@ -777,7 +777,7 @@ def rfe(t):
 @q()
 def boruta(t):
     d = _quality(t)
-    return _scores(d, se.BorutaSelector(label_col="y", max_iter=3, n_estimators=10).fit(d).state["scores"])
+    return _scores(d, se.BorutaSelector(label_col="y").fit(d).state["scores"])
 
 
 @q()

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tessera.operators import selection as se
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 OWN = sorted(k for k in SQL if not k.startswith("op") and k != "pipeline")
@@ -46,5 +47,13 @@ def test_query_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_boruta_runs_enough_rounds_to_decide(spark, sf_dir, monkeypatch):
+    fitted = []
+    fit = se.BorutaSelector.fit
+    monkeypatch.setattr(se.BorutaSelector, "fit", lambda self, df: fitted.append(fit(self, df)) or fitted[-1])
+    assert QUERIES["boruta"](spark, sf_dir).count() > 0
+    assert set(fitted[0].state["status"].values()) & {"confirmed", "rejected"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

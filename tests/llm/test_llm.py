@@ -375,7 +375,7 @@ def test_forward_backward():
 @pytest.fixture(scope="module")
 def language_model(spark, sf_dir):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    return language_id.fit(*language_id.training_sample(d.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1), "text", "lang", 60))
+    return language_id.fit(d.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1), per_language=60)
 
 
 def test_held_out_languages(spark, language_model, docs, empty):
@@ -386,16 +386,47 @@ def test_held_out_languages(spark, language_model, docs, empty):
     r = by_text(language_id.predict(docs, language_model), docs, ["lang_pred", "score"])
     assert len(rows) == len(TEXTS) and r[""].lang_pred == "und" and r["   \n\t"].score == 0 and r[TEXTS[4]].lang_pred != "und"
     assert language_id.predict(empty, language_model).count() == 0
-    assert {x.lang_pred for x in language_id.predict(docs, language_id.fit([], [])).collect()} == {"und"}
+    assert {x.lang_pred for x in language_id.predict(docs, language_id.fit(empty)).collect()} == {"und"}
 
 
 def test_training_texts_are_distinct_and_copies_hide_no_language(spark):
     few = [(f"alpha beta {i}", "xx") for i in range(12)]
     many = [(f"gamma delta {i}", "yy") for i in range(40)]
     d = spark.createDataFrame([*few * 900, *many, *many[:1] * 20_000], "text string, lang string")
-    got = list(zip(*language_id.training_sample(d, "text", "lang", 15)))
+    got = [(r.t, r.l) for r in language_id.training_texts(d, "text", "lang", 15).collect()]
     assert len(set(got)) == len(got)
     assert Counter(x for _, x in got) == {"xx": 12, "yy": 15}
+    assert {r.l for r in language_id.training_texts(d, "text", "lang", 15, max_languages=1).collect()} == {"yy"}
+
+
+def test_a_long_text_is_chained_over_blocks(spark, language_model, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.length("text").between(2000, 2500)).orderBy("doc_id").limit(12)
+    text = "\n".join(r.text for r in d.collect())
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    whole = language_id.predict(one, language_model, spans=True).first()
+    best, score, spans = language_id._found(language_model, text, 700)
+    assert language_model.languages[best] == whole.lang_pred and score == pytest.approx(whole.score, abs=1e-6)
+    assert [(a, b, language_model.languages[y]) for a, b, y in spans] == [tuple(s) for s in whole.spans]
+    assert len(language_id._blocks("x" * 100, 30)) == 4 and "".join(p for _, p in language_id._blocks(text, 700)) == text
+
+
+def test_op1_query_against_word_by_word_messages(spark, sf_dir):
+    """The registered query's rows, against log-space forward-backward of single texts with a model fitted anew."""
+    rows = {r.doc_id: r for r in entry.queries()["op1_language_id"](spark, sf_dir).collect()}
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    m = language_id.fit(d.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    texts = {r.doc_id: r.text for r in d.select("doc_id", "text").collect()}
+    assert rows.keys() == texts.keys()
+    for i, t in list(texts.items())[:40]:
+        s = m.emissions(language_id.Words([t])).astype(float)
+        a, b, tr = s.copy(), np.zeros_like(s), m.transitions.astype(float)
+        for k in range(1, len(s)):
+            a[k] = np.logaddexp.reduce(a[k - 1][:, None] + tr, axis=0) + s[k]
+        for k in range(len(s) - 2, -1, -1):
+            b[k] = np.logaddexp.reduce(tr + (s[k + 1] + b[k + 1])[None], axis=1)
+        p = np.exp(a + b - np.logaddexp.reduce(a + b, axis=1, keepdims=True)).mean(axis=0)
+        assert rows[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        assert rows[i].lang_pred == m.languages[p.argmax()] and rows[i].score == pytest.approx(p.max(), abs=1e-4)
 
 
 def test_switches_are_spans(spark, language_model):
@@ -511,7 +542,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
         if name == "quality_rules":
             want = ids(quality.judge(now, labels).filter("kept"))
         elif name == "language_id":
-            m = language_id.fit(*language_id.training_sample(now, "text", "lang"))
+            m = language_id.fit(now)
             want = ids(language_id.predict(now, m).filter("lang_pred != 'und' AND score >= 0.5"))
         elif name == "near_duplicates":
             rows = sorted((r.doc_id, r.text) for r in now.collect())
@@ -537,6 +568,6 @@ def test_pipeline_on_edges(spark, docs, empty, tmp_path):
 
 
 def test_extra_columns_clash_with_nothing(docs):
-    model = language_id.fit(["ein kleiner Hund", "a small dog"], ["de", "en"])
+    model = language_id.fit(docs.select(F.lit("ein kleiner Hund").alias("text"), F.lit("de").alias("lang")).unionByName(docs.select(F.lit("a small dog").alias("text"), F.lit("en").alias("lang"))))
     for out in (licenses.scan(docs), quality.judge(docs, docs.select("doc_id", F.lit(1).alias("quality"))), sharding.shard(docs), mixing.mix(docs), chosen_path.join(docs), language_id.predict(docs, model), token_counts.count_tokens(docs)):
         assert out.count() == len(TEXTS)

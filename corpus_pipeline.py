@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a clear language go; lang becomes the predicted one."""
-    model = language_id.fit(*language_id.training_sample(docs, "text", "lang"))
+    model = language_id.fit(docs)
     rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.struct(*docs.columns).alias("__row"))
     found = language_id.predict(rows, model, "__id", "__text", carry=["__row"])
     found = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))

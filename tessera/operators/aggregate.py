@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.errors import InputValidationError
 from tessera.operators.base import Operator, add, chosen, key, lookup, number, numeric_columns, scalars, skew_kurtosis, string_columns
 from tessera.operators.encoders import binary_target
+from tessera.operators.order import medians
 
 FUNCTIONS = {
     "mean": F.avg,
@@ -167,7 +168,7 @@ def value_counts(df: DataFrame, c: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, max_features: int = 60) -> DataFrame:
     """(a, b, r) for a < b in column order, of the columns of most variance, medians for nulls: two jobs."""
     cols = chosen(df, columns, numeric_columns(df))
-    v = scalars(df, {**{("m", c): F.percentile(number(c), F.lit(0.5)) for c in cols}, **{("v", c): F.var_samp(number(c)) for c in cols}})
+    v = {**{("m", c): x for c, x in medians(df, {c: number(c) for c in cols}).items()}, **{("v", c): x for c, x in scalars(df, {c: F.var_samp(number(c)) for c in cols}).items()}}
     top = set(sorted(cols, key=lambda c: -(v["v", c] or 0.0))[:max_features])
     cols = [c for c in cols if c in top]
     x = {c: F.coalesce(number(c), F.lit(v["m", c])) for c in cols}

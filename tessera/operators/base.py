@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import InputValidationError, SecurityError, TesseraError
+from tessera.sources.files import read_text, write_text
 
 #: State tables up to this many rows are broadcast.
 BROADCAST_ROWS = 100_000
@@ -109,31 +109,33 @@ class FittedModel(Model):
         return [c for c in out if c not in df.columns] or out
 
     def save(self, path: str) -> None:
-        """Tables as Parquet, numbers as JSON, beside a checksum of the JSON: no pickles."""
-        os.makedirs(path, exist_ok=True)
+        """Tables as Parquet, fitted MLlib pipelines in their own format, numbers as JSON beside a checksum of it: no pickles."""
+        spark = SparkSession.active()
+        tables = [n for n, t in self.tables.items() if isinstance(t, DataFrame)]
         for name, t in self.tables.items():
-            t.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
-        body = json.dumps({"operator": type(self.operator).__name__, "params": self.operator.params_dict(), "state": self.state, "tables": sorted(self.tables)}, sort_keys=True, default=str)
-        with open(f"{path}/model.json", "w") as f:
-            f.write(body)
-        with open(f"{path}/model.json.sha256", "w") as f:
-            f.write(hashlib.sha256(body.encode()).hexdigest())
+            if name in tables:
+                t.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+            else:
+                t.write().overwrite().save(f"{path}/{name}.pipeline")
+        body = json.dumps({"operator": type(self.operator).__name__, "params": self.operator.params_dict(), "state": self.state, "tables": sorted(tables), "pipelines": sorted(set(self.tables) - set(tables))}, sort_keys=True, default=str)
+        write_text(spark, f"{path}/model.json", body)
+        write_text(spark, f"{path}/model.json.sha256", hashlib.sha256(body.encode()).hexdigest())
 
     @staticmethod
     def load(spark: SparkSession, path: str, verify_checksum: bool = True) -> FittedModel:
-        with open(f"{path}/model.json") as f:
-            body = f.read()
+        body = read_text(spark, f"{path}/model.json")
         if verify_checksum:
             try:
-                with open(f"{path}/model.json.sha256") as f:
-                    wanted = f.read().strip()
+                wanted = read_text(spark, f"{path}/model.json.sha256").strip()
             except FileNotFoundError as e:
                 raise SecurityError("no checksum", path=path) from e
             if hashlib.sha256(body.encode()).hexdigest() != wanted:
                 raise SecurityError("checksum differs", path=path)
         d = json.loads(body)
         cls = OPERATORS.get(d["operator"])
-        return FittedModel(cls(**d["params"]), d["state"], {n: spark.read.parquet(f"{path}/{n}.parquet") for n in d["tables"]})
+        tables = {n: spark.read.parquet(f"{path}/{n}.parquet") for n in d["tables"]}
+        pipelines = {n: PipelineModel.load(f"{path}/{n}.pipeline") for n in d.get("pipelines", [])}
+        return FittedModel(cls(**d["params"]), d["state"], {**tables, **pipelines})
 
 
 # --- helpers ---------------------------------------------------------------
@@ -195,10 +197,6 @@ def scalars(df: DataFrame, exprs: dict[str, Column]) -> dict:
     return dict(zip(exprs, row))
 
 
-def quantiles(c: Column, qs: list[float]) -> Column:
-    return F.percentile(c, F.array(*[F.lit(float(q)) for q in qs]))
-
-
 def add(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """Columns added (or replaced) in projections of bounded size."""
     items = list(new.items())

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import FeatureEngineeringError, InputValidationError
-from tessera.operators.base import Operator, add, chosen, is_numeric, number, numeric_columns, quantiles, scalars, string_columns
+from tessera.operators.base import Operator, add, chosen, is_numeric, number, lookup, numeric_columns, scalars, string_columns
+from tessera.operators.neighbors import in_cells
+from tessera.operators.order import exact_quantiles, medians
+from tessera.sources.staging import stage
 
 MISSING = "__MISSING__"
 
@@ -87,7 +90,7 @@ class WinsorizerTransformer(Operator):
 
     def learn(self, df):
         cols = chosen(df, self.columns, numeric_columns(df))
-        return {"bounds": {c: list(v) for c, v in scalars(df, {c: quantiles(number(c), list(self.percentiles)) for c in cols}).items() if v}}, {}
+        return {"bounds": {c: v for c, v in exact_quantiles(df, {c: (number(c), list(self.percentiles)) for c in cols}).items() if v}}, {}
 
     def apply(self, df, state, tables):
         clip = lambda c, lo, hi: F.when(number(c).isNotNull(), F.least(F.greatest(number(c), F.lit(lo)), F.lit(hi)))
@@ -108,8 +111,8 @@ class MedianImputer(Operator):
 
     def learn(self, df):
         cols = chosen(df, self.columns, numeric_columns(df))
-        v = scalars(df, {**{f"m:{c}": F.percentile(number(c), F.lit(0.5)) for c in cols}, **{f"n:{c}": F.count(F.when(number(c).isNull(), 1)) for c in cols}})
-        return {"medians": {c: v[f"m:{c}"] for c in cols}, "nulls": [c for c in cols if v[f"n:{c}"]]}, {}
+        nulls = scalars(df, {c: F.count(F.when(number(c).isNull(), 1)) for c in cols})
+        return {"medians": medians(df, {c: number(c) for c in cols}), "nulls": [c for c in cols if nulls[c]]}, {}
 
     def apply(self, df, state, tables):
         flags = {f"{c}_missing": number(c).isNull().cast("int") for c in state["nulls"]} if self.add_indicators else {}
@@ -135,47 +138,63 @@ class CategoricalImputer(Operator):
 
 
 class KNNImputer(Operator):
-    """The mean of the k nearest rows of a bounded sample that have the value; distance over columns both rows have."""
+    """The mean of the k nearest fitted rows that have the value, among all of them; distance over columns both rows have, scaled up to all.
 
-    defaults = {"columns": None, "n_neighbors": 5, "max_fit_rows": 2000, "random_state": 42}
+    Distinct rows with gaps are the queries; they meet the fitted rows in cells of bounded size. Fitted rows that share no
+    column with a row come last, and of equally near ones those of smaller values first.
+    """
+
+    defaults = {"columns": None, "n_neighbors": 5}
 
     def learn(self, df):
         cols = chosen(df, self.columns, numeric_columns(df))
-        rows = df.select(*[number(c).alias(c) for c in cols])
-        rows = rows.orderBy(F.xxhash64(*cols, F.lit(self.random_state)), *cols).limit(self.max_fit_rows)  # a bounded sample, whatever the input
-        return {"columns": cols, "sample": [list(r) for r in rows.collect()]}, {}
+        some = F.lit(False)
+        for c in cols:
+            some = some | number(c).isNotNull()
+        fitted = stage(df.filter(some).select(*[number(c).alias(f"c{i}") for i, c in enumerate(cols)]), "knn")
+        return {"columns": cols, "rows": fitted.count()}, {"fitted": fitted}
 
     def apply(self, df, state, tables):
         import numpy as np
         import pandas as pd
 
-        cols, k = state["columns"], self.n_neighbors
-        sample = df.sparkSession.sparkContext.broadcast(np.array(state["sample"], float).reshape(-1, len(cols)))
+        cols, k, n = state["columns"], self.n_neighbors, len(state["columns"])
+        names = [f"c{i}" for i in range(n)]
+        typed = add(df, {c: number(c) for c in cols})
+        gap = F.lit(False)
+        for c in cols:
+            gap = gap | F.col(c).isNull()
+        asked = typed.select(*[F.col(c).alias(x) for c, x in zip(cols, names)], gap.alias("gap")).filter("gap").drop("gap").distinct()
+        asked = stage(asked.withColumn("id", F.monotonically_increasing_id()), "knn-asked")
 
-        def run(parts):
-            ref = sample.value
+        def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            x, ref, ids = left[names].to_numpy(float), right[names].to_numpy(float), left["id"].to_numpy()
             have = ~np.isnan(ref)
             filled = np.where(have, ref, 0.0)
-            for pdf in parts:
-                x = pdf[cols].to_numpy(float, copy=True)
-                for i in np.flatnonzero(np.isnan(x).any(axis=1)):
-                    own = ~np.isnan(x[i])
-                    both = have & own
-                    n = both.sum(axis=1)
-                    d = ((filled - np.where(own, x[i], 0.0)) ** 2 * both).sum(axis=1)
-                    d = np.where(n > 0, d * len(cols) / np.maximum(n, 1), np.inf)
-                    for j in np.flatnonzero(~own):
-                        ok = np.flatnonzero(have[:, j])
-                        if len(ok):
-                            near = ok[np.argsort(d[ok], kind="stable")[:k]]
-                            x[i, j] = ref[near, j].mean()
-                out = pdf.copy()
-                for j, c in enumerate(cols):
-                    out[c] = pd.Series(x[:, j], index=pdf.index)
-                yield out
-
-        typed = add(df, {c: number(c) for c in cols})
-        return typed.mapInPandas(run, typed.schema)
+            out = []
+            for lo in range(0, len(x) if len(ref) else 0, 64):
+                part = x[lo : lo + 64]
+                own = ~np.isnan(part)
+                d, shared = np.zeros((len(part), len(ref))), np.zeros((len(part), len(ref)))
+                for j in range(n):
+                    both = own[:, j, None] & have[None, :, j]
+                    d += np.where(both, (filled[None, :, j] - np.where(own[:, j], part[:, j], 0.0)[:, None]) ** 2, 0.0)
+                    shared += both
+                d = np.where(shared > 0, d * n / np.maximum(shared, 1), np.inf)
+                for i, j in zip(*np.nonzero(~own)):
+                    at = np.flatnonzero(have[:, j])
+                    if len(at) > k:
+                        at = at[d[i, at] <= np.partition(d[i, at], k - 1)[k - 1]]
+                    at = at[np.lexsort((ref[at, j], d[i, at]))[:k]]
+                    out += [(ids[lo + i], int(j), d[i, a], ref[a, j]) for a in at]
+            return pd.DataFrame(out, columns=["id", "j", "d", "v"]).astype({"id": "int64", "j": "int32", "d": "float64", "v": "float64"})
+
+        found = in_cells(asked, tables["fitted"], asked.count(), state["rows"], nearest, "id long, j int, d double, v double")
+        best = found.withColumn("rank", F.row_number().over(Window.partitionBy("id", "j").orderBy("d", "v"))).filter(F.col("rank") <= k)
+        means = best.groupBy("id").agg(*[F.avg(F.when(F.col("j") == i, F.col("v"))).alias(f"f{i}") for i in range(n)])
+        fills = asked.join(means, "id").drop("id")
+        out = lookup(typed, fills, {x: F.col(c) for c, x in zip(cols, names)}, {f"f{i}": None for i in range(n)})
+        return add(out, {c: F.coalesce(F.col(c), F.col(f"f{i}")) for i, c in enumerate(cols)}).select(*df.columns)
 
 
 class IterativeImputer(Operator):
@@ -275,8 +294,10 @@ class MinMaxScaler(_Scaler):
 
 
 class RobustScaler(_Scaler):
-    def parts(self, x):
-        return F.percentile(x, F.lit(0.5)), F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))
+    def learn(self, df):
+        cols = chosen(df, self.columns, numeric_columns(df))
+        v = exact_quantiles(df, {c: (number(c), [0.25, 0.5, 0.75]) for c in cols})
+        return {"scale": {c: [q[1], (q[2] - q[0]) or 1.0] if q else [0.0, 1.0] for c, q in v.items()}}, {}
 
 
 class MaxAbsScaler(_Scaler):

@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.base import Operator, add, lookup, number, scalars
+from tessera.operators.base import Operator, add, lookup, number
+from tessera.operators.order import exact_quantiles, numbered
 from tessera.operators.windows import ema, ordered
+from tessera.sources.staging import stage
 
 
 class FinanceTechnicalIndicators(Operator):
@@ -94,16 +96,17 @@ class EcommerceRFM(Operator):
     def _scores(self, t):
         from tessera.operators.numeric import distinct_edges
 
-        e = scalars(t, {"e": F.percentile("recency", F.array(*[F.lit(i / 5) for i in range(6)]))})["e"]
+        t = stage(t, "rfm")
+        e = exact_quantiles(t, {"e": (number("recency"), [i / 5 for i in range(6)])})["e"]
         edges = distinct_edges(e) if e else [0.0, 1.0]
         bin_ = F.lit(0)
         for x in edges[1:-1]:
             bin_ = bin_ + (F.col("recency") > x).cast("int")
         t = t.withColumn("recency_score", F.lit(5) - bin_)
         # first-rank quintiles from the rank of (value, key): a range-partitioned numbering, no single sorted task
+        n = F.lit(t.count())
         for name, c in (("frequency_score", "frequency"), ("monetary_score", "monetary_total")):
             t = numbered(t, [c, "k"], "__r")
-            n = F.lit(t.count())
             t = t.withColumn(name, F.when(n > 1, F.greatest(F.lit(1), F.ceil((F.col("__r") - 1) * 5 / F.greatest(n - 1, F.lit(1))).cast("int"))).otherwise(1)).drop("__r")
         r, f, m = F.col("recency_score"), F.col("frequency_score"), F.col("monetary_score")
         t = t.withColumn("rfm_score", r * 100 + f * 10 + m)
@@ -119,15 +122,6 @@ class EcommerceRFM(Operator):
         return lookup(df, t, {"k": F.col(self.customer_col)}, {c: None for c in t.columns if c != "k"}, state["rows"], null_safe=False)
 
 
-def numbered(df, by: list[str], out: str, parts: int = 64):
-    """Number rows 1, 2, ... in an order: within range partitions, after the counts of those before."""
-    d = df.repartitionByRange(parts, *by).withColumn("__p", F.spark_partition_id())
-    n = d.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    first = n.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))  # one row per part
-    own = Window.partitionBy("__p").orderBy(*by)
-    return d.withColumn(out, F.row_number().over(own)).join(F.broadcast(first), "__p").withColumn(out, F.col(out) + F.col("__o")).drop("__p", "__o")
-
-
 class HealthcareVitalSigns(Operator):
     defaults = {"weight_col": "weight_kg", "height_col": "height_cm", "sbp_col": "sbp", "dbp_col": "dbp", "heart_rate_col": "heart_rate", "age_col": None}
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import InputValidationError
 from tessera.operators.base import Operator, add, chosen, key, lookup, number, scalars, string_columns
+from tessera.operators.order import medians
 
 
 def per_category(df: DataFrame, cols: list[str], aggs: dict[str, Column], **inputs: Column) -> DataFrame:
@@ -78,12 +79,13 @@ class HashingEncoder(Operator):
         return F.array(*[md5_bucket(F.concat(F.lit(f"{c}="), key(c), F.lit(f":{self.seed}")), self.n_features) for c in cols])
 
     def apply(self, df, state, tables):
+        if self.output != "sparse":
+            at = {f"__b{k}": md5_bucket(F.concat(F.lit(f"{c}="), key(c), F.lit(f":{self.seed}")), self.n_features) for k, c in enumerate(state["cols"])}
+            hits = lambda i: sum(((F.col(b) == i).cast("double") for b in at), F.lit(0.0))
+            return add(df.withColumns(at), {f"hash_{i}": hits(i) for i in range(self.n_features)}).drop(*at)
         out = df.withColumn("__b", self.buckets(state["cols"]))
-        if self.output == "sparse":
-            counts = F.transform(F.array_sort(F.array_distinct("__b")), lambda b: F.struct(b.cast("int").alias("i"), F.size(F.filter("__b", lambda x: x == b)).cast("double").alias("n")))
-            return out.withColumn("hash_features", F.map_from_entries(counts)).drop("__b")
-        hits = lambda i: F.size(F.filter("__b", lambda x: x == i)).cast("double")
-        return add(out, {f"hash_{i}": hits(i) for i in range(self.n_features)}).drop("__b")
+        counts = F.transform(F.array_sort(F.array_distinct("__b")), lambda b: F.struct(b.cast("int").alias("i"), F.size(F.filter("__b", lambda x: x == b)).cast("double").alias("n")))
+        return out.withColumn("hash_features", F.map_from_entries(counts)).drop("__b")
 
 
 def binary_target(df: DataFrame, label: str, positive_class=None, task: str | None = None) -> tuple[Column, str]:
@@ -114,8 +116,8 @@ class _Target(_Counted):
     def sums(self, df, cols):
         y, task = binary_target(df, self.label_col, self.positive_class, self.task)
         d = df.withColumn("__y", y)
-        prior = F.percentile("__y", F.lit(0.5)) if self.prior_strategy == "median" else F.avg("__y")
-        return {"prior": scalars(d, {"p": prior})["p"] or 0.0}, per_category(d, cols, {"s": F.sum("y"), "n": F.count("y")}, y=F.col("__y"))
+        prior = medians(d, {"p": F.col("__y").cast("double")})["p"] if self.prior_strategy == "median" else scalars(d, {"p": F.avg("__y")})["p"]
+        return {"prior": prior or 0.0}, per_category(d, cols, {"s": F.sum("y"), "n": F.count("y")}, y=F.col("__y"))
 
     def encoded(self, s: Column, n: Column, prior) -> Column:
         return (s + self.smoothing * prior) / (n + self.smoothing)

@@ -7,8 +7,9 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import functions as F
 
 from tessera.operators.aggregate import CategoricalNumericInteractions
-from tessera.operators.base import Operator, add, chosen, number, numeric_columns, quantiles, scalars
+from tessera.operators.base import Operator, add, chosen, number, numeric_columns
 from tessera.operators.numeric import distinct_edges, right_closed
+from tessera.operators.order import exact_quantiles
 
 
 class _Pairs(Operator):
@@ -102,7 +103,7 @@ class BinnedInteractions(Operator):
 
     def learn(self, df):
         cols = chosen(df, self.features_to_bin, numeric_columns(df))[: self.max_bins]
-        v = scalars(df, {c: quantiles(number(c), [i / self.n_bins for i in range(self.n_bins + 1)]) for c in cols})
+        v = exact_quantiles(df, {c: (number(c), [i / self.n_bins for i in range(self.n_bins + 1)]) for c in cols})
         edges = {c: distinct_edges(e) for c, e in v.items() if e}
         state, tables = self._inner(df, list(edges)).learn(self._binned(df, edges))
         return {"edges": edges, "inner": state}, tables

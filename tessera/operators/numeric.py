@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.errors import ConfigurationError, FeatureEngineeringError, InputValidationError
 from tessera.functions.power import best_power, box_cox, box_cox_inverse, yeo_johnson
-from tessera.operators.base import Operator, add, chosen, finite, number, numeric_columns, quantiles, scalars, skew_kurtosis
+from tessera.operators.base import Operator, add, chosen, finite, number, numeric_columns, scalars, skew_kurtosis
+from tessera.operators.order import before, exact_quantiles, in_ranges
 
 
 class SkewedPowerTransformer(Operator):
@@ -215,7 +216,7 @@ def distinct_edges(values: list[float]) -> list[float]:
 class BinningTransformer(Operator):
     """Bins by equal width, equal frequency, one-dimensional k-means, a decision tree or given edges."""
 
-    defaults = {"columns": None, "strategy": "equal_width", "n_bins": 5, "encode": "ordinal", "custom_bins": None, "label_col": None, "subsample": 200_000, "random_state": 42}
+    defaults = {"columns": None, "strategy": "equal_width", "n_bins": 5, "encode": "ordinal", "custom_bins": None, "label_col": None, "random_state": 42}
 
     def check(self):
         if self.strategy not in ("equal_width", "equal_frequency", "kmeans", "decision_tree", "custom"):
@@ -229,7 +230,7 @@ class BinningTransformer(Operator):
             return {"edges": {c: sorted(map(float, e)) for c, e in (self.custom_bins or {}).items() if c in cols}}, {}
         n = self.n_bins
         if self.strategy == "equal_frequency":
-            v = scalars(df, {c: quantiles(finite(c), [i / n for i in range(n + 1)]) for c in cols})
+            v = exact_quantiles(df, {c: (finite(c), [i / n for i in range(n + 1)]) for c in cols})
             return {"edges": {c: distinct_edges(e) for c, e in v.items() if e}}, {}
         lim = scalars(df, {**{(c, 0): F.min(finite(c)) for c in cols}, **{(c, 1): F.max(finite(c)) for c in cols}})
         wide = {c: [lim[c, 0] + (lim[c, 1] - lim[c, 0]) * i / n for i in range(n)] + [lim[c, 1]] if lim[c, 1] > lim[c, 0] else [lim[c, 0] - 0.5, lim[c, 0] + 0.5] for c in cols if lim[c, 0] is not None}
@@ -237,11 +238,9 @@ class BinningTransformer(Operator):
             return {"edges": wide}, {}
         from pyspark.ml.feature import VectorAssembler
 
-        total = df.count()
-        sample = df.sample(fraction=min(1.0, self.subsample / max(total, 1)), seed=self.random_state) if total > self.subsample else df
         edges = {}
         for c in wide:
-            part = sample.select(finite(c).alias("x"), *([F.col(self.label_col).alias("y")] if self.label_col else [])).filter("x IS NOT NULL")
+            part = df.select(finite(c).alias("x"), *([F.col(self.label_col).alias("y")] if self.label_col else [])).filter("x IS NOT NULL")
             data = VectorAssembler(inputCols=["x"], outputCol="features").transform(part)
             if self.strategy == "kmeans":
                 from pyspark.ml.clustering import KMeans
@@ -328,13 +327,12 @@ def spearman(df, a: str, b: str) -> tuple[float, int]:
     return float(r[0] or 0.0), r[1]
 
 
-def with_ranks(df, c: str, out: str, parts: int = 64):
-    """Average ranks of a column without a global window: range-partitioned value counts, and offsets of the partitions before."""
+def with_ranks(df, c: str, out: str, parts: int | None = None):
+    """Average ranks of a column without a global window: value counts, written in ranges, and offsets of the ranges before."""
     from pyspark.sql import Window
 
-    counts = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(parts, "v").withColumn("p", F.spark_partition_id())
-    totals = counts.groupBy("p").agg(F.sum("n").alias("t"))
-    before = totals.withColumn("o", F.coalesce(F.sum("t").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
+    counts = in_ranges(df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")), ["v"], "p", parts)
+    offsets = before(counts.groupBy("p").agg(F.sum("n").alias("t")), "p", {"t": "o"})
     own = Window.partitionBy("p").orderBy("v")
-    ranks = counts.join(F.broadcast(before.select("p", "o")), "p").select("v", (F.col("o") + F.sum("n").over(own) - F.col("n") + (F.col("n") + 1) / 2).alias(out))
+    ranks = counts.join(F.broadcast(offsets), "p").select("v", (F.col("o") + F.sum("n").over(own) - F.col("n") + (F.col("n") + 1) / 2).alias(out))
     return df.join(ranks, df[c].eqNullSafe(ranks["v"]), "left").drop("v")

@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 
 from tessera.errors import DataQualityError, InputValidationError, SchemaValidationError
 from tessera.operators.aggregate import correlation_matrix, value_counts
-from tessera.operators.base import is_datetime, is_numeric, is_string, number, numeric_columns, quantiles, scalars, skew_kurtosis, string_columns
+from tessera.operators.base import is_datetime, is_numeric, is_string, number, numeric_columns, scalars, skew_kurtosis, string_columns
+from tessera.operators.neighbors import in_cells
+from tessera.operators.order import before, exact_quantiles, in_ranges
+from tessera.sources.staging import stage
 
 LEAK_NAMES = ("target", "label", "outcome", "result")
 
@@ -80,7 +83,7 @@ class ColumnProfile:
 
 
 def profile_columns(df: DataFrame, target: str | None = None) -> list[ColumnProfile]:
-    """One aggregate for all statistics, and one for what lies outside of the fences that it gives."""
+    """One aggregate for all statistics, two for quartiles, and one for what lies outside of the fences that they give."""
     roles = column_roles(df, target)
     exprs: dict = {"n": F.count(F.lit(1))}
     nums = [c for c, r in roles.items() if r == "numeric"]
@@ -89,12 +92,13 @@ def profile_columns(df: DataFrame, target: str | None = None) -> list[ColumnProf
         exprs[c, "null"] = F.count(F.when(x[c].isNull() if c in x else F.col(c).isNull(), 1))
         if c in x:
             g1, g2 = skew_kurtosis(F.count(x[c]), F.skewness(x[c]), F.kurtosis(x[c]))
-            exprs |= {(c, "skew"): g1, (c, "kurt"): g2, (c, "q"): quantiles(x[c], [0.25, 0.75]), (c, "mean"): F.avg(x[c]), (c, "std"): F.stddev_samp(x[c]), (c, "min"): F.min(x[c]), (c, "max"): F.max(x[c])}
+            exprs |= {(c, "skew"): g1, (c, "kurt"): g2, (c, "mean"): F.avg(x[c]), (c, "std"): F.stddev_samp(x[c]), (c, "min"): F.min(x[c]), (c, "max"): F.max(x[c])}
         elif r != "datetime":
             exprs[c, "k"] = F.count_distinct(F.col(c).cast("string"))
     v = scalars(df, exprs)
     n = max(v["n"], 1)
-    fence = {c: (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])) for c in nums if (q := v[c, "q"]) and q[1] > q[0]}
+    quartiles = exact_quantiles(df, {c: (x[c], [0.25, 0.75]) for c in nums})
+    fence = {c: (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])) for c, q in quartiles.items() if q and q[1] > q[0]}
     out = scalars(df, {c: F.count(F.when((x[c] < a) | (x[c] > b), 1)) for c, (a, b) in fence.items()})
     get = lambda c, k: v.get((c, k))
     return [
@@ -127,8 +131,12 @@ def summarize_issues(profiles: list[ColumnProfile], balance: dict | None = None,
     return out
 
 
-def class_balance(df: DataFrame, target: str) -> dict:
-    return {r.value: r.share for r in value_counts(df, target).orderBy(F.desc("n")).limit(10_000).collect()}
+def class_balance(df: DataFrame, target: str, max_classes: int = 10_000) -> dict:
+    """The share of each class, largest first; over max_classes is an error, as that is no classification."""
+    rows = value_counts(df, target).orderBy(F.desc("n"), "value").limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise InputValidationError("too many classes", target=target, classes=max_classes)
+    return {r.value: r.share for r in rows}
 
 
 @dataclasses.dataclass
@@ -229,7 +237,7 @@ def estimate_leakage_risk(df: DataFrame, target: str) -> float:
 
 def duplicate_columns(df: DataFrame) -> list[tuple[str, str]]:
     """Pairs of equal columns (nulls equal): equal sums of hashes first, then a comparison of those pairs only."""
-    h = scalars(df, {c: F.sum(F.xxhash64(F.monotonically_increasing_id() * 0, F.col(c).cast("string")).cast("decimal(38,0)")) for c in df.columns})
+    h = scalars(df, {c: F.sum(F.xxhash64(F.col(c).cast("string")).cast("decimal(38,0)")) for c in df.columns})
     same = [(a, b) for i, a in enumerate(df.columns) for b in df.columns[i + 1 :] if h[a] == h[b] and df.schema[a].dataType == df.schema[b].dataType]
     v = scalars(df, {p: F.count(F.when(~F.col(p[0]).eqNullSafe(F.col(p[1])), 1)) for p in same})
     return [p for p in same if not v[p]]
@@ -326,15 +334,14 @@ def compute_psi(reference: DataFrame, current: DataFrame, column: str, buckets:
     return psi_of(psi_table(reference, current, right_closed(number(column), edges))).first()[0]
 
 
-def ks_table(reference: DataFrame, current: DataFrame, column: str, parts: int = 32) -> DataFrame:
-    """One row: the largest distance of the two distribution functions. Value counts are range-partitioned; offsets close the seams."""
+def ks_table(reference: DataFrame, current: DataFrame, column: str, parts: int | None = None) -> DataFrame:
+    """One row: the largest distance of the two distribution functions. Value counts are written in ranges; offsets close the seams."""
     tag = lambda d, a, b: d.select(number(column).alias("x"), F.lit(a).alias("a"), F.lit(b).alias("b")).filter("x IS NOT NULL")
     counts = tag(reference, 1, 0).unionByName(tag(current, 0, 1)).groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counts = counts.repartitionByRange(parts, "x").withColumn("p", F.spark_partition_id())
+    counts = in_ranges(counts, ["x"], "p", parts)
     sums = counts.groupBy("p").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
-    whole = Window.partitionBy(F.lit(1))
-    offs = sums.select("p", F.coalesce(F.sum("pa").over(w), F.lit(0)).alias("oa"), F.coalesce(F.sum("pb").over(w), F.lit(0)).alias("ob"), F.sum("pa").over(whole).alias("na"), F.sum("pb").over(whole).alias("nb"))
+    whole = Window.partitionBy(F.lit(1))  # one row per range
+    offs = before(sums, "p", {"pa": "oa", "pb": "ob"}).join(sums.select("p", F.sum("pa").over(whole).alias("na"), F.sum("pb").over(whole).alias("nb")), "p")
     own = Window.partitionBy("p").orderBy("x")
     f = counts.join(F.broadcast(offs), "p").select("na", "nb", F.abs(F.try_divide(F.col("oa") + F.sum("a").over(own), F.col("na")) - F.try_divide(F.col("ob") + F.sum("b").over(own), F.col("nb"))).alias("d"))
     return f.agg(F.coalesce(F.max(F.when((F.col("na") >= 2) & (F.col("nb") >= 2), F.col("d"))), F.lit(0.0)).alias("ks"))
@@ -383,52 +390,67 @@ def class_weight_advisory(ratio: float, threshold: float = 0.20) -> str | None:
 
 
 class SMOTE:
-    """New minority rows between a minority row and one of its k nearest among a bounded sample of neighbours."""
+    """New minority rows between a minority row and one of its k nearest, sought among all rows of its class.
 
-    def __init__(self, label_col: str, columns: list[str] | None = None, k_neighbors: int = 5, sampling_strategy: float | str = "auto", max_neighbor_rows: int = 5000, random_state: int = 42):
-        self.label_col, self.columns, self.k, self.strategy, self.max_rows, self.seed = label_col, columns, k_neighbors, sampling_strategy, max_neighbor_rows, random_state
+    Distances are over columns divided by their deviations, with 0 for null; of equally near rows those of smaller row
+    numbers come first. A row's partner and the place between them are hashes of its number, so that repeated rows get
+    different new ones.
+    """
 
-    def resample(self, df: DataFrame) -> DataFrame:
+    def __init__(self, label_col: str, columns: list[str] | None = None, k_neighbors: int = 5, sampling_strategy: float | str = "auto", random_state: int = 42, max_classes: int = 1000):
+        self.label_col, self.columns, self.k, self.strategy, self.seed, self.max_classes = label_col, columns, k_neighbors, sampling_strategy, random_state, max_classes
+
+    def nearest(self, part: DataFrame, n: int, cols: list[str], k: int) -> DataFrame:
+        """(id, rank, near): the k nearest other rows of part (id, x) for each."""
         import numpy as np
+        import pandas as pd
+
+        v = part.agg(*[F.stddev_pop(F.col("x")[i]) for i in range(len(cols))]).first()
+        spread = np.array([s if s else 1.0 for s in v])
+
+        def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            a, b = left["id"].to_numpy(), right["id"].to_numpy()
+            x, ref = (np.stack(d["x"].to_numpy()) / spread if len(d) else np.zeros((0, len(cols))) for d in (left, right))
+            out = []
+            for lo in range(0, len(a) if len(b) else 0, 64):
+                d = np.zeros((len(x[lo : lo + 64]), len(b)))
+                for j in range(len(cols)):
+                    d += (x[lo : lo + 64, j, None] - ref[None, :, j]) ** 2
+                d[a[lo : lo + 64, None] == b[None, :]] = np.inf
+                for i, row in enumerate(d):
+                    at = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(b) > k else np.arange(len(b))
+                    at = at[np.isfinite(row[at])]
+                    at = at[np.lexsort((b[at], row[at]))[:k]]
+                    out += [(a[lo + i], row[p], b[p]) for p in at]
+            return pd.DataFrame(out, columns=["id", "d", "near"]).astype({"id": "int64", "d": "float64", "near": "int64"})
+
+        found = in_cells(part.select("id", "x"), part.select("id", "x"), n, n, kernel, "id long, d double, near long")
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "near"))).filter(F.col("rank") <= k).select("id", "rank", "near")
 
+    def resample(self, df: DataFrame) -> DataFrame:
         cols = self.columns or numeric_columns(df, [self.label_col])
-        counts = [(r[0], r.n) for r in df.filter(F.col(self.label_col).isNotNull()).groupBy(self.label_col).agg(F.count(F.lit(1)).alias("n")).orderBy("n").limit(1000).collect()]
+        classes = df.filter(F.col(self.label_col).isNotNull()).groupBy(self.label_col).agg(F.count(F.lit(1)).alias("n"))
+        counts = [(r[0], r.n) for r in classes.orderBy("n", self.label_col).limit(self.max_classes + 1).collect()]
+        if len(counts) > self.max_classes:
+            raise InputValidationError("too many classes to resample", label=self.label_col, classes=self.max_classes)
         if len(counts) < 2:
             return df
         top = counts[-1][1] * (1.0 if self.strategy == "auto" else float(self.strategy))
-        out = df
+        out = df.withColumns({c: number(c) for c in cols})
+        unit = lambda *k: F.pmod(F.xxhash64(*k, F.lit(self.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         for value, n in counts[:-1]:
             k = min(self.k, n - 1)
             if k < 1 or n >= top:
                 continue
-            part = df.filter(F.col(self.label_col) == value)
-            ref = np.array([list(r) for r in part.select(*[F.coalesce(number(c), F.lit(0.0)) for c in cols]).orderBy(F.xxhash64(*cols, F.lit(self.seed)), *cols).limit(self.max_rows).collect()], float)
-            spread = np.where(ref.std(0) > 0, ref.std(0), 1.0)
-            shared = df.sparkSession.sparkContext.broadcast((ref, spread))
+            typed = df.filter(F.col(self.label_col) == value).withColumns({c: number(c) for c in cols})
+            part = stage(typed.select(F.monotonically_increasing_id().alias("id"), F.struct(*typed.columns).alias("row"), F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in cols]).alias("x")), "smote")
+            near = stage(self.nearest(part, n, cols, k).join(part.select(F.col("id").alias("near"), F.col("x").alias("y")), "near"), "smote-near")
             times = (top - n) / n
-
-            def run(parts, cols=cols, k=k, times=times, shared=shared):
-                ref, spread = shared.value
-                for pdf in parts:
-                    x = pdf[cols].to_numpy(float)
-                    x = np.where(np.isnan(x), 0.0, x)
-                    seeds = (np.abs(x * 1e6).astype(np.int64).sum(axis=1) + self.seed) % (2**32)
-                    rows = []
-                    for i in range(len(x)):
-                        r = np.random.default_rng(int(seeds[i]))
-                        m = int(times) + (r.random() < times - int(times))
-                        if m:
-                            d = (((ref - x[i]) / spread) ** 2).sum(axis=1)
-                            near = np.argsort(d, kind="stable")[1 : k + 1]
-                            for j in r.choice(near, m):
-                                rows.append((i, x[i] + r.random() * (ref[j] - x[i])))
-                    new = pdf.iloc[[i for i, _ in rows]].copy()
-                    if len(rows):
-                        new[cols] = np.stack([v for _, v in rows])
-                    yield new
-
-            typed = part.withColumns({c: number(c) for c in cols})
-            out = out.withColumns({c: number(c) for c in cols}).unionByName(typed.mapInPandas(run, typed.schema))
+            new = F.lit(int(times)) + (unit("id", F.lit(1)) < times - int(times)).cast("int")
+            each = part.withColumn("i", F.explode(F.when(new > 0, F.sequence(F.lit(1), new)).otherwise(F.array().cast("array<int>"))))
+            each = each.withColumn("rank", (F.pmod(F.xxhash64("id", "i", F.lit(self.seed)), F.lit(k)) + 1).cast("int")).withColumn("u", unit("i", "id"))
+            made = each.join(near, ["id", "rank"]).select("row", *[(F.col("x")[j] + F.col("u") * (F.col("y")[j] - F.col("x")[j])).alias(f"v{j}") for j in range(len(cols))])
+            out = out.unionByName(made.select(*[F.col(f"v{cols.index(c)}").alias(c) if c in cols else F.col(f"row.{c}").alias(c) for c in df.columns]))
         return out
 
 

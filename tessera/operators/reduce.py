@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.errors import ConfigurationError, MissingBackendError
 from tessera.operators.base import Operator, add, chosen, number, numeric_columns, scalars
+from tessera.operators.graph import connected_components
+from tessera.operators.neighbors import in_cells
+from tessera.operators.order import numbered
 from tessera.sources.staging import stage
 
 
@@ -30,11 +33,39 @@ def project(df: DataFrame, xs: list[Column], components: list[list[float]], pref
     return add(df, {f"{prefix}_{i}": dot(w) for i, w in enumerate(components)}).drop("__x")
 
 
+#: Over this many columns, products are added up as matrices: an aggregate of so many sums isn't compiled.
+WIDE = 16
+
+
+def _wide_moments(df: DataFrame, xs: list[Column]):
+    import numpy as np
+    import pandas as pd
+
+    n = len(xs)
+
+    def run(parts):
+        total, rows = np.zeros((n, n)), 0
+        for pdf in parts:
+            x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, n))
+            total, rows = total + x.T @ x, rows + len(x)
+        yield pd.DataFrame({"i": np.append(np.repeat(np.arange(n), n), -1), "j": np.append(np.tile(np.arange(n), n), -1), "v": np.append(total.ravel(), rows)})
+
+    m, rows = np.zeros((n, n)), 0
+    for r in df.select(F.array(*xs).alias("x")).mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # the size of the matrix
+        if r.i < 0:
+            rows = int(r.v)
+        else:
+            m[r.i, r.j] = r.v
+    return rows, (m + m.T) / 2
+
+
 def second_moments(df: DataFrame, xs: list[Column]):
     """Rows and the matrix of mean products, from one aggregate (RowMatrix would shuffle vectors through Python)."""
     import numpy as np
 
     n = len(xs)
+    if n > WIDE:
+        return _wide_moments(df, xs)
     d = df.select(*[x.alias(f"x{i}") for i, x in enumerate(xs)])
     v = scalars(d, {"n": F.count(F.lit(1)), **{(i, j): F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(n) for j in range(i, n)}})
     m = np.zeros((n, n))
@@ -178,14 +209,30 @@ def build_dimensionality_reducer(method: str = "auto", **kw) -> Operator:
 # --- clustering -------------------------------------------------------------
 
 
+def _within(left, right, reach: float, distances: bool = False):
+    """For blocks of left points: the first one's place, which right points lie within reach, and on request the distances."""
+    import numpy as np
+
+    if not len(left) or not len(right):
+        return
+    x, y = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
+    for lo in range(0, len(x), 64):
+        d = np.zeros((len(x[lo : lo + 64]), len(y)))
+        for j in range(x.shape[1]):
+            d += (x[lo : lo + 64, j, None] - y[None, :, j]) ** 2
+        d = np.sqrt(d)
+        yield (lo, d <= reach, d) if distances else (lo, d <= reach)
+
+
 class ClusteringFeatureExtractor(Operator):
     """Cluster numbers, distances, probabilities and outlier flags. State is fitted once: centres, mixtures or core points.
 
-    `hierarchical` is divisive (bisecting k-means) and named so in `info`. `dbscan` finds neighbours by an equi-join on
-    grid cells of width eps over at most three columns, counts them, and joins core points into components.
+    `hierarchical` with a distance_threshold is agglomerative, of single linkage; without one it is divisive (bisecting
+    k-means) and named so in `info`. Both agglomeration and `dbscan` seek neighbours in cells of bounded size and keep a
+    spanning forest of the links, of which components are made.
     """
 
-    defaults = {"columns": None, "method": "kmeans", "n_clusters": 5, "extract_cluster_id": True, "extract_distance": True, "extract_probabilities": False, "extract_outlier_flag": False, "scale_features": True, "eps": 0.5, "min_samples": 5, "random_state": 42, "feature_prefix": "cluster", "max_core_points": 200_000}
+    defaults = {"columns": None, "method": "kmeans", "n_clusters": 5, "extract_cluster_id": True, "extract_distance": True, "extract_probabilities": False, "extract_outlier_flag": False, "scale_features": True, "eps": 0.5, "min_samples": 5, "distance_threshold": None, "random_state": 42, "feature_prefix": "cluster"}
 
     def check(self):
         if self.method not in ("kmeans", "gmm", "dbscan", "hierarchical"):
@@ -198,6 +245,8 @@ class ClusteringFeatureExtractor(Operator):
         data = df.select(array_to_vector(F.array(*scaled(cols, scale))).alias("features"))
         if self.method == "dbscan":
             return self._dbscan(df, state)
+        if self.method == "hierarchical" and self.distance_threshold is not None:
+            return self._linkage(df, state)
         from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 
         if self.method == "gmm":
@@ -207,56 +256,127 @@ class ClusteringFeatureExtractor(Operator):
         return {**state, "centres": [x.tolist() for x in cls(k=self.n_clusters, seed=self.random_state).fit(data).clusterCenters()], "info": "k-means" if cls is KMeans else "divisive bisecting k-means"}, {}
 
     def _dbscan(self, df, state):
-        from pyspark.sql import Window
-
-        cols = state["columns"]
-        if len(cols) > 3:
-            raise ConfigurationError("grid neighbourhoods are for three columns at most; reduce first", columns=cols)
-        xs = scaled(cols, state["scale"])
-        # equal points are one weighted point
-        pts = df.select(*[x.alias(f"x{i}") for i, x in enumerate(xs)]).groupBy(*[f"x{i}" for i in range(len(cols))]).agg(F.count(F.lit(1)).alias("w"))
-        pts = pts.withColumn("id", F.xxhash64(*[f"x{i}" for i in range(len(cols))]))
-        pts = stage(pts, "points")
-        pairs = self._near(pts, pts, len(cols))
-        core = stage(pairs.groupBy("a").agg(F.sum("wb").alias("n")).filter(F.col("n") >= self.min_samples).select(F.col("a").alias("id")), "core")
-        if core.count() > self.max_core_points:
-            raise ConfigurationError("too many core points for a state table", limit=self.max_core_points)
-        label = core.withColumn("label", F.col("id"))
-        links = pairs.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b").select("a", "b")
-        links = stage(links, "links")
-        while True:
-            least = links.join(label, links.b == label.id).groupBy("a").agg(F.min("label").alias("m"))
-            new = label.join(least, label.id == least.a, "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
-            new = stage(new, "labels")
-            moved = new.join(label.withColumnRenamed("label", "old"), "id").filter("label != old").limit(1).count()
-            label = new
-            if not moved:
-                break
-        numbers = label.select("label").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("label")) - 1)  # one row per cluster
-        t = label.join(numbers, "label").join(pts, "id").select("cluster", *[f"x{i}" for i in range(len(cols))])
-        return state, {"core": t}
-
-    def _near(self, a: DataFrame, b: DataFrame, d: int) -> DataFrame:
-        eps = self.eps
-        cell = lambda i: F.floor(F.col(f"x{i}") / eps).cast("long")
-        left = a.select(F.col("id").alias("a"), *[F.col(f"x{i}").alias(f"a{i}") for i in range(d)], *[cell(i).alias(f"c{i}") for i in range(d)])
+        """Equal points are one weighted point. Core points are those with min_samples rows within eps; those within eps of each other share a cluster."""
+        d = len(state["columns"])
+        xs = scaled(state["columns"], state["scale"])
+        pts = df.select(F.array(*xs).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("w"))
+        pts = stage(pts.withColumn("id", F.monotonically_increasing_id()), "points")
+        n = pts.count()
+        near = stage(self._cells(pts, pts, n, n, d, self._counted, "id long, n long"), "near").groupBy("id").agg(F.sum("n").alias("n"))
+        core = stage(pts.join(near.filter(F.col("n") >= self.min_samples).select("id"), "id"), "core")
+        m = core.count()
+        edges = self._cells(core, core, m, m, d, self._forest, "id long, other long")
+        return state, {"core": self._numbered(core, edges)}
+
+    def _linkage(self, df, state):
+        """Agglomerative clusters of single linkage: points joined by steps of at most distance_threshold."""
+        d = len(state["columns"])
+        pts = stage(df.select(F.array(*scaled(state["columns"], state["scale"])).alias("x")).distinct().withColumn("id", F.monotonically_increasing_id()), "points")
+        n = pts.count()
+        return state, {"core": self._numbered(pts, self._cells(pts, pts, n, n, d, self._forest, "id long, other long"))}
+
+    def _numbered(self, core: DataFrame, edges: DataFrame) -> DataFrame:
+        """(cluster, x) of core points (id, x): clusters are numbered by their least id."""
+        roots = connected_components(edges, "id", "other")
+        core = stage(core.join(roots, core["id"] == roots["node"], "left").select("x", F.coalesce("root", "id").alias("root")), "core")
+        return stage(core.join(numbered(core.select("root").distinct(), ["root"], "k"), "root").select((F.col("k") - 1).cast("int").alias("cluster"), "x"), "core")
+
+    def _cells(self, a: DataFrame, b: DataFrame, n_a: int, n_b: int, d: int, kernel, schema: str) -> DataFrame:
+        """kernel over cells in which each point of a meets every point of b within eps: grid cells of width eps for up to three columns, else blocks of all points."""
+        if d > 3:
+            return in_cells(a, b, n_a, n_b, kernel, schema)
+        width = self._reach()
+        cell = lambda i: F.floor(F.col("x")[i] / width).cast("long")
+        left = a.withColumns({f"__c{i}": cell(i) for i in range(d)})
+        right = b.withColumns({f"__c{i}": cell(i) for i in range(d)})
         for i in range(d):
-            left = left.withColumn(f"c{i}", F.explode(F.array(F.col(f"c{i}") - 1, F.col(f"c{i}"), F.col(f"c{i}") + 1)))
-        right = b.select(F.col("id").alias("b"), F.col("w").alias("wb"), *[F.col(f"x{i}").alias(f"b{i}") for i in range(d)], *[cell(i).alias(f"c{i}") for i in range(d)])
-        dist = sum((F.pow(F.col(f"a{i}") - F.col(f"b{i}"), F.lit(2.0)) for i in range(d)), F.lit(0.0))
-        return left.join(right, [f"c{i}" for i in range(d)]).withColumn("d", F.sqrt(dist)).filter(F.col("d") <= eps).select("a", "b", "wb", "d")
+            right = right.withColumn(f"__c{i}", F.explode(F.array(F.col(f"__c{i}") - 1, F.col(f"__c{i}"), F.col(f"__c{i}") + 1)))
+        keys = [f"__c{i}" for i in range(d)]
+        # a crowded cell is split: blocks of its points each meet all blocks of the others
+        split = lambda f: f.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / 4096).cast("int").alias("__n"))
+        left, right = stage(left, "grid-left"), stage(right, "grid-right")
+        parts_a, parts_b = split(left).withColumnRenamed("__n", "__na"), split(right).withColumnRenamed("__n", "__nb")
+        parts = stage(parts_a.join(parts_b, keys), "grid-parts")
+        q = left.join(parts, keys).withColumn("__q", F.pmod(F.xxhash64("id"), F.col("__na")).cast("int")).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
+        c = right.join(parts.toDF(*parts.columns), keys).withColumn("__k", F.pmod(F.xxhash64("id"), F.col("__nb")).cast("int")).withColumn("__q", F.explode(F.sequence(F.lit(0), F.col("__na") - 1)))
+        by = [*keys, "__q", "__k"]
+        return q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(lambda left, right: kernel(left, right), schema)
+
+    def _reach(self) -> float:
+        return float(self.distance_threshold if self.method == "hierarchical" else self.eps)
+
+    @property
+    def _counted(self):
+        """Per left point, the weight of right points within reach."""
+        import numpy as np
+        import pandas as pd
+
+        reach, within = self._reach(), _within
+
+        def kernel(left, right):
+            n = np.zeros(len(left))
+            for lo, near in within(left, right, reach):
+                n[lo : lo + len(near)] = near @ right["w"].to_numpy(float)
+            return pd.DataFrame({"id": left["id"], "n": n.astype("int64")})
+
+        return kernel
+
+    @property
+    def _forest(self):
+        """Links within reach between points of a cell, as the edges of a spanning forest: one row per point at most, not one per pair."""
+        import numpy as np
+        import pandas as pd
+
+        reach, within = self._reach(), _within
+
+        def kernel(left, right):
+            ids = np.unique(np.concatenate([left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)]))
+            part = np.arange(len(ids))
+            a, b = np.searchsorted(ids, left["id"].to_numpy(np.int64)), np.searchsorted(ids, right["id"].to_numpy(np.int64))
+            out = []
+            for lo, near in within(left, right, reach):
+                for i, row in enumerate(near, lo):
+                    found, first = np.unique(part[b[row]], return_index=True)
+                    other = found != part[a[i]]
+                    if other.any():
+                        out += [(int(ids[a[i]]), int(ids[j])) for j in b[row][first[other]]]
+                        merged = np.append(found, part[a[i]])
+                        part[np.isin(part, merged)] = merged.min()
+            return pd.DataFrame(out, columns=["id", "other"]).astype("int64")
+
+        return kernel
+
+    @property
+    def _closest(self):
+        """Per left point, its least distance to a right point within reach and the least cluster there."""
+        import numpy as np
+        import pandas as pd
+
+        reach, within = self._reach(), _within
+
+        def kernel(left, right):
+            out, cluster, ids = [], right["cluster"].to_numpy(), left["id"].to_numpy()
+            for lo, near, dist in within(left, right, reach, True):
+                for i, row in enumerate(near):
+                    if row.any():
+                        best = dist[i][row].min()
+                        out.append((int(ids[lo + i]), float(best), int(cluster[row & (dist[i] == best)].min())))
+            return pd.DataFrame(out, columns=["id", "d", "cluster"]).astype({"id": "int64", "d": "float64", "cluster": "int32"})
+
+        return kernel
 
     def apply(self, df, state, tables):
         p, cols = self.feature_prefix, state["columns"]
         xs = scaled(cols, state["scale"])
         made: dict[str, Column] = {}
-        if self.method == "dbscan":
-            d = df.withColumn("__r", F.monotonically_increasing_id())
-            pts = d.select(F.col("__r").alias("id"), *[x.alias(f"x{i}") for i, x in enumerate(xs)])
-            core = tables["core"].withColumns({"id": F.col("cluster"), "w": F.lit(1)})
-            best = self._near(pts, core, len(cols)).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
-            out = d.join(best.select(F.col("a").alias("__r"), F.col("m.b").alias("__c"), F.col("m.d").alias("__d")), "__r", "left")
-            return add(out, {f"{p}_id": F.coalesce("__c", F.lit(-1)), f"{p}_is_outlier": F.col("__c").isNull().cast("int"), f"{p}_distance": F.col("__d")}).drop("__r", "__c", "__d")
+        if "core" in tables:  # distinct points are matched, so that no row numbers are needed
+            at = df.select(F.array(*xs).alias("x")).distinct()
+            pts = stage(at.withColumn("id", F.monotonically_increasing_id()), "points")
+            core = tables["core"].withColumn("id", F.xxhash64("x"))
+            best = self._cells(pts, core, pts.count(), core.count(), len(cols), self._closest, "id long, d double, cluster int").groupBy("id").agg(F.min(F.struct("d", "cluster")).alias("m"))
+            best = pts.join(best, "id").select(F.col("x").alias("__x"), F.col("m.cluster").alias("__c"), F.col("m.d").alias("__d"))
+            out = df.withColumn("__x", F.array(*xs)).join(best, "__x", "left")
+            return add(out, {f"{p}_id": F.coalesce("__c", F.lit(-1)), f"{p}_is_outlier": F.col("__c").isNull().cast("int"), f"{p}_distance": F.col("__d")}).drop("__x", "__c", "__d")
         df = df.withColumn("__x", F.array(*xs))
         dist = lambda centre: F.sqrt(F.aggregate(F.zip_with(F.col("__x"), F.array(*[F.lit(float(y)) for y in centre]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
         if self.method == "gmm":

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.errors import InputValidationError
 from tessera.operators.aggregate import correlation_matrix
-from tessera.operators.base import Operator, chosen, key, number, numeric_columns, quantiles, scalars, string_columns
+from tessera.operators.base import Operator, chosen, key, number, numeric_columns, scalars, string_columns
 from tessera.operators.encoders import WoEEncoder, binary_target
 from tessera.operators.numeric import distinct_edges, right_closed
+from tessera.operators.order import exact_quantiles, numbered
+from tessera.sources.staging import stage
 
 
 def prune_correlated(df: DataFrame, threshold: float = 0.95, columns: list[str] | None = None) -> list[str]:
@@ -35,23 +37,32 @@ def correlations(df: DataFrame, cols: list[str]):
 
 
 def compute_vif_drop(df: DataFrame, threshold: float = 10.0, columns: list[str] | None = None) -> list[str]:
-    """Drop the column of largest variance inflation until all are within threshold; one correlation matrix serves every step."""
+    """Drop the column of largest variance inflation until all are within threshold; one correlation matrix serves every step.
+
+    Inflation is 1 / (1 - R2) of a regression on the other columns, with 1 - R2 at least 1e-6; of equals, the first goes.
+    """
     import numpy as np
 
     cols = chosen(df, columns, numeric_columns(df))
     m, keep, dropped = correlations(df, cols), list(range(len(cols))), []
     while len(keep) > 1:
-        vif = np.diag(np.linalg.pinv(m[np.ix_(keep, keep)], rcond=1e-12))
-        singular = np.linalg.matrix_rank(m[np.ix_(keep, keep)]) < len(keep)
-        worst = int(vif.argmax())
-        if singular:  # a column that others determine has no finite inflation
-            worst = next((k for k in reversed(range(len(keep))) if np.linalg.matrix_rank(np.delete(np.delete(m[np.ix_(keep, keep)], k, 0), k, 1)) == np.linalg.matrix_rank(m[np.ix_(keep, keep)])), worst)
-        elif vif[worst] <= threshold:
+        vif = [variance_inflation(m[np.ix_(keep, keep)], k) for k in range(len(keep))]
+        worst = int(np.argmax(np.round(vif, 4)))
+        if vif[worst] <= threshold:
             break
         dropped.append(cols[keep.pop(worst)])
     return dropped
 
 
+def variance_inflation(m, k: int) -> float:
+    """Of variable k, from a correlation matrix. Directions without variance (up to 1e-10) are left out of the regression."""
+    import numpy as np
+
+    others = [i for i in range(len(m)) if i != k]
+    r2 = float(m[k, others] @ np.linalg.pinv(m[np.ix_(others, others)], rcond=1e-10, hermitian=True) @ m[others, k])
+    return 1.0 / max(1e-6, 1.0 - r2)
+
+
 class _Selector(Operator):
     """Keeps chosen columns, the label and `passthrough`."""
 
@@ -83,7 +94,7 @@ class MutualInfoSelector(_Selector):
     def scores(self, df, cols):
         y, task = binary_target(df, self.label_col, task=self.task) if self.task == "regression" else (F.col(self.label_col).cast("string"), self.task)
         lab = [self.label_col] if task == "regression" else []
-        e = scalars(df, {c: quantiles(number(c), [i / self.n_bins for i in range(self.n_bins + 1)]) for c in [*cols, *lab]})
+        e = exact_quantiles(df, {c: (number(c), [i / self.n_bins for i in range(self.n_bins + 1)]) for c in [*cols, *lab]})
         bins = {c: right_closed(number(c), distinct_edges(e[c])) if e[c] else F.lit(0) for c in [*cols, *lab]}
         target = bins[self.label_col] if lab else y
         return mutual_information(df, {c: bins[c] for c in cols}, target)
@@ -110,7 +121,7 @@ class WOEIVSelector(_Selector):
         if df.select(self.label_col).filter(F.col(self.label_col).isNotNull()).distinct().limit(3).count() != 2:
             raise InputValidationError("information values need a target of two values", label=self.label_col)
         nums = [c for c in cols if c in numeric_columns(df)]
-        e = scalars(df, {c: quantiles(number(c), [i / self.n_bins for i in range(self.n_bins + 1)]) for c in nums})
+        e = exact_quantiles(df, {c: (number(c), [i / self.n_bins for i in range(self.n_bins + 1)]) for c in nums})
         d = df.select(self.label_col, *[key(c).alias(c) for c in cols if c not in nums], *[F.coalesce(right_closed(number(c), distinct_edges(e[c])), F.lit(-1)).cast("string").alias(c) for c in nums if e[c]])
         return WoEEncoder(cols=[c for c in cols if c in d.columns], label_col=self.label_col, smoothing=self.smoothing).fit(d).state["iv"]
 
@@ -287,17 +298,15 @@ class BorutaSelector(_Selector):
     defaults = {"n_estimators": 30, "max_iter": 10, "alpha": 0.05, "task": "classification", "label_col": "y", "columns": None, "max_depth": 5, "random_state": 42}
 
     def learn(self, df):
-        from tessera.operators.domain import numbered
-
         cols = self.inputs(df)
-        d = df.select(*[F.coalesce(number(c), F.lit(0.0)).alias(c) for c in cols], F.col(self.label_col).alias("__y")).withColumn("__i", F.monotonically_increasing_id()).persist()
-        n, hits, status = d.count(), {c: 0 for c in cols}, {c: "tentative" for c in cols}
-        base = numbered(d, ["__i"], "__r").persist()
+        d = df.select(*[F.coalesce(number(c), F.lit(0.0)).alias(c) for c in cols], F.col(self.label_col).alias("__y")).withColumn("__i", F.monotonically_increasing_id())
+        hits, status = {c: 0 for c in cols}, {c: "tentative" for c in cols}
+        d = base = stage(numbered(d, ["__i"], "__r"), "boruta")
         for k in range(1, self.max_iter + 1):
             live = [c for c in cols if status[c] != "rejected"]
             if not live or all(status[c] == "confirmed" for c in live):
                 break
-            mixed = numbered(d.select(*live, F.xxhash64("__i", F.lit(self.random_state + k)).alias("__h")), ["__h"], "__r").select(F.col("__r"), *[F.col(c).alias(f"shadow_{c}") for c in live])
+            mixed = numbered(d.select(*live, F.xxhash64("__r", F.lit(self.random_state + k)).alias("__h")), ["__h"], "__r").select(F.col("__r"), *[F.col(c).alias(f"shadow_{c}") for c in live])
             both = base.select(*live, "__y", "__r").join(mixed, "__r")
             names = [*live, *[f"shadow_{c}" for c in live]]
             m = _forest(self.task, numTrees=self.n_estimators, maxDepth=self.max_depth, seed=self.random_state + k).fit(_vector(both, names, "__y", self.task))
@@ -312,7 +321,4 @@ class BorutaSelector(_Selector):
                     status[c] = "confirmed"
                 elif lower < self.alpha / 2 / len(cols):
                     status[c] = "rejected"
-        base.unpersist()
-        d.unpersist()
-        del n
         return {"selected": [c for c in cols if status[c] != "rejected"], "scores": {c: float(h) for c, h in hits.items()}, "status": status, "considered": cols}, {}

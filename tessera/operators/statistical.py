@@ -4,30 +4,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.errors import ConfigurationError
-from tessera.operators.base import Operator, add, chosen, number, numeric_columns, quantiles, scalars, skew_kurtosis
+from tessera.operators.base import Operator, add, chosen, number, numeric_columns, scalars, skew_kurtosis
 from tessera.operators.numeric import distinct_edges, right_closed
+from tessera.operators.order import exact_quantiles, medians
+from tessera.sources.staging import stage
 
 
 def row_statistic(stat: str, xs: list[Column]) -> Column:
-    values = F.array_compact(F.array(*xs))
-    n = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    """Sums, least and greatest over columns, which stay in generated code; only the median needs an array."""
+    n = sum((x.isNotNull().cast("int") for x in xs), F.lit(0))
+    total = sum((F.coalesce(x, F.lit(0.0)) for x in xs), F.lit(0.0))
     mean = F.try_divide(total, n)
-    power = lambda k: F.aggregate(values, F.lit(0.0), lambda a, x: a + F.pow(x - mean, F.lit(float(k))))
+    least, greatest = (f(*xs) if len(xs) > 1 else xs[0] if xs else F.lit(None).cast("double") for f in (F.least, F.greatest))
+
+    def power(k: int) -> Column:
+        out = F.lit(0.0)
+        for x in xs:
+            d = x - mean
+            p = d
+            for _ in range(k - 1):
+                p = p * d
+            out = out + F.coalesce(p, F.lit(0.0))
+        return out
+
     if stat == "mean":
         return mean
     if stat == "sum":
         return total
     if stat == "min":
-        return F.array_min(values)
+        return least
     if stat == "max":
-        return F.array_max(values)
+        return greatest
     if stat == "range":
-        return F.array_max(values) - F.array_min(values)
+        return greatest - least
     if stat == "std":
         return F.when(n > 1, F.sqrt(F.try_divide(power(2), n - 1)))
     if stat == "median":
-        s = F.array_sort(values)
+        s = F.sort_array(F.array_compact(F.array(*xs)))
         lo, hi = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
         return F.when(n > 0, (lo + hi) / 2)
     m2 = F.try_divide(power(2), n)
@@ -56,9 +69,9 @@ class RowStatisticsTransformer(Operator):
 
 
 def centre_and_mad(df, cols: list[str]) -> dict[str, list[float]]:
-    """Medians, then medians of distances from them: two jobs for all columns."""
-    m = scalars(df, {c: F.percentile(number(c), F.lit(0.5)) for c in cols})
-    d = scalars(df, {c: F.percentile(F.abs(number(c) - F.lit(m[c])), F.lit(0.5)) for c in cols if m[c] is not None})
+    """Medians, then medians of distances from them."""
+    m = medians(df, {c: number(c) for c in cols})
+    d = medians(df, {c: F.abs(number(c) - F.lit(m[c])) for c in cols if m[c] is not None})
     return {c: [m[c], d[c] or 1.0] for c in cols if m[c] is not None}
 
 
@@ -94,7 +107,7 @@ class OutlierDetector(Operator):
     def learn(self, df):
         cols = chosen(df, self.columns, numeric_columns(df))
         if self.method == "iqr":
-            v = scalars(df, {c: quantiles(number(c), [0.25, 0.75]) for c in cols})
+            v = exact_quantiles(df, {c: (number(c), [0.25, 0.75]) for c in cols})
             return {"fit": {c: [q[0] - self.k * (q[1] - q[0]), q[1] + self.k * (q[1] - q[0])] for c, q in v.items() if q}}, {}
         if self.method == "isolation_forest":
             return self._forest(df, cols)
@@ -107,7 +120,7 @@ class OutlierDetector(Operator):
         import numpy as np
 
         rng = np.random.default_rng(self.random_state)
-        m = scalars(df, {c: F.percentile(number(c), F.lit(0.5)) for c in cols})
+        m = medians(df, {c: number(c) for c in cols})
         rows = df.select(*[F.coalesce(number(c), F.lit(m[c] or 0.0)).alias(c) for c in cols]).orderBy(F.xxhash64(*cols, F.lit(self.random_state)), *cols).limit(self.sample_rows * 8).collect()
         x = np.array([list(r) for r in rows], float).reshape(-1, len(cols))
         size = min(self.sample_rows, len(x))
@@ -126,7 +139,7 @@ class OutlierDetector(Operator):
 
         trees = [tree(x[rng.choice(len(x), size, replace=False)], 0) for _ in range(self.n_trees if size > 1 else 0)]
         state = {"columns": cols, "median": m, "trees": trees, "norm": float(norm(size) or 1.0)}
-        cut = scalars(df.select(self._forest_score(state).alias("s")), {"q": F.percentile("s", F.lit(1 - self.contamination))})["q"] if trees else 1.0
+        cut = exact_quantiles(stage(df.select(self._forest_score(state).alias("s")), "forest-scores"), {"q": (F.col("s"), [1 - self.contamination])})["q"][0] if trees else 1.0
         return {**state, "cut": cut}, {}
 
     def _forest_score(self, state) -> Column:
@@ -178,7 +191,7 @@ class QuantileTransformer(Operator):
 
     def learn(self, df):
         cols = chosen(df, self.columns, numeric_columns(df))
-        v = scalars(df, {c: quantiles(number(c), [i / self.n_quantiles for i in range(self.n_quantiles + 1)]) for c in cols})
+        v = exact_quantiles(df, {c: (number(c), [i / self.n_quantiles for i in range(self.n_quantiles + 1)]) for c in cols})
         return {"edges": {c: distinct_edges(e) for c, e in v.items() if e}}, {}
 
     def apply(self, df, state, tables):

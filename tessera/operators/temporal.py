@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.operators.base import Operator, add, chosen, is_datetime, scalars
+from tessera.operators.order import exact_quantiles
 
 TWO_PI = 2 * math.pi
 
@@ -111,7 +112,7 @@ class HolidayFeatures(Operator):
 def time_series_split(df, time_col: str, row_id: str, n_splits: int = 5):
     """Add fold 0..n_splits: rows up to a fold train, the next fold tests. Cuts come from quantiles of time, not from a global sort."""
     t = epoch_days(F.col(time_col))
-    cuts = df.select(F.percentile(t, F.array(*[F.lit(i / (n_splits + 1)) for i in range(1, n_splits + 1)]))).first()[0] or []
+    cuts = exact_quantiles(df, {"t": (t.cast("double"), [i / (n_splits + 1) for i in range(1, n_splits + 1)])})["t"] or []
     fold = F.lit(0)
     for x in cuts:
         fold = fold + (t > x).cast("int")

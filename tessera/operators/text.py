@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.errors import ConfigurationError
+from tessera.errors import ConfigurationError, InputValidationError, MissingBackendError
 from tessera.operators.base import Operator, add, chosen, string_columns
+from tessera.sources.staging import stage
 
 #: A short English stop-word list (fixed values).
 STOPWORDS = (
@@ -138,12 +139,19 @@ class TextPreprocessor(Operator):
         return add(df, made)
 
 
+def with_row_numbers(df: DataFrame) -> DataFrame:
+    """df with __r, a number for each row. It is written, as two evaluations of a plan need not number rows alike."""
+    return stage(df.withColumn("__r", F.monotonically_increasing_id()), "rows")
+
+
 class _Hook(Operator):
-    """Outputs of an external model, a function DataFrame -> DataFrame; zeros without one."""
+    """Outputs of an external model, a function DataFrame -> DataFrame. Without one it is an error, or zeros if `without_backend` asks for them."""
 
     outputs: tuple[str, ...] = ()
 
     def apply(self, df, state, tables):
+        if not self.backend and self.without_backend != "zeros":
+            raise MissingBackendError(f"{type(self).__name__} needs a backend(df, column, names), or without_backend='zeros'")
         for c in chosen(df, self.columns, string_columns(df)):
             names = [f"{c}_{o}" for o in self.names()]
             df = self.backend(df, c, names) if self.backend else add(df, {n: F.lit(0.0) for n in names})
@@ -156,7 +164,7 @@ class _Hook(Operator):
 class SentimentAnalyzer(_Hook):
     """With a lexicon {word: score}, polarity is the mean score of scored words and subjectivity their share."""
 
-    defaults = {"columns": None, "method": "lexicon", "lexicon": None, "backend": None}
+    defaults = {"columns": None, "method": "lexicon", "lexicon": None, "backend": None, "without_backend": "error"}
 
     def names(self):
         return ["compound", "pos"] if self.method == "vader" else ["polarity", "subjectivity"]
@@ -166,7 +174,7 @@ class SentimentAnalyzer(_Hook):
             return super().apply(df, state, tables)
         table = df.sparkSession.createDataFrame(list(self.lexicon.items()), "w string, s double")
         for c in chosen(df, self.columns, string_columns(df)):
-            d = df.withColumn("__r", F.monotonically_increasing_id())
+            d = with_row_numbers(df)
             hits = d.select("__r", F.explode(tokens(F.lower(text(c)), r"[^\p{L}']+")).alias("w")).join(F.broadcast(table), "w", "left")
             s = hits.groupBy("__r").agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias(f"{c}_{self.names()[0]}"), (F.count("s") / F.count(F.lit(1))).alias(f"{c}_{self.names()[1]}"))
             df = d.join(s, "__r", "left").fillna(0.0, [f"{c}_{n}" for n in self.names()]).drop("__r")
@@ -174,14 +182,14 @@ class SentimentAnalyzer(_Hook):
 
 
 class SentenceEmbeddingFeatures(_Hook):
-    defaults = {"columns": None, "model_name": None, "dims": 384, "batch_size": 32, "max_length": 128, "backend": None}
+    defaults = {"columns": None, "model_name": None, "dims": 384, "batch_size": 32, "max_length": 128, "backend": None, "without_backend": "error"}
 
     def names(self):
         return [f"sent_emb_{i}" for i in range(self.dims)]
 
 
 class NERFeatureExtractor(_Hook):
-    defaults = {"columns": None, "model_name": None, "entity_types": ("PERSON", "ORG", "GPE", "DATE", "MONEY", "PRODUCT"), "backend": None}
+    defaults = {"columns": None, "model_name": None, "entity_types": ("PERSON", "ORG", "GPE", "DATE", "MONEY", "PRODUCT"), "backend": None, "without_backend": "error"}
 
     def names(self):
         return ["entity_count", *[f"{t.lower()}_count" for t in self.entity_types]]
@@ -211,7 +219,7 @@ class WordEmbeddingFeatures(Operator):
         names = [f"{self.column}_wemb_{i}" for i in range(self.dims)]
         if "vectors" not in tables:
             return add(df, {n: F.lit(0.0) for n in names})
-        d = df.withColumn("__r", F.monotonically_increasing_id())
+        d = with_row_numbers(df)
         words = d.select("__r", F.explode(tokens(F.lower(text(self.column)))).alias("word")).groupBy("__r", "word").agg(F.count(F.lit(1)).alias("n"))
         t = F.broadcast(tables["vectors"]) if state["rows"] <= 100_000 else tables["vectors"]
         hit = words.join(t, "word")
@@ -230,18 +238,18 @@ class TopicModelingFeatures(Operator):
         from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
 
         data = df.select(text(self.column).alias("t"))
-        self._model = Pipeline(stages=[
+        model = Pipeline(stages=[
             RegexTokenizer(inputCol="t", outputCol="w", pattern=r"\w\w+", gaps=False),
             StopWordsRemover(inputCol="w", outputCol="s", stopWords=list(STOPWORDS)),
             CountVectorizer(inputCol="s", outputCol="features", vocabSize=self.max_features, minDF=2),
             LDA(k=self.n_topics, maxIter=self.max_iter, seed=self.random_state),
         ]).fit(data)
-        return {}, {}
+        return {}, {"topics": model}
 
     def apply(self, df, state, tables):
         from pyspark.ml.functions import vector_to_array
 
-        out = self._model.transform(df.withColumn("t", text(self.column))).withColumn("__a", vector_to_array("topicDistribution"))
+        out = tables["topics"].transform(df.withColumn("t", text(self.column))).withColumn("__a", vector_to_array("topicDistribution"))
         return add(out, {f"{self.column}_topic_{i}": F.col("__a")[i] for i in range(self.n_topics)}).drop("t", "w", "s", "features", "topicDistribution", "__a")
 
 
@@ -292,7 +300,7 @@ class TfidfVectorizer(Operator):
         return {"n": n, "rows": self.max_features}, {"vocabulary": t}
 
     def apply(self, df, state, tables):
-        d = df.withColumn("__r", F.monotonically_increasing_id())
+        d = with_row_numbers(df)
         rows = self.with_words(d).select("__r", F.explode(self.terms()).alias("term"))
         if self.use_hashing:
             rows = rows.withColumn("term", F.pmod(F.hash("term"), F.lit(self.hashing_features)).cast("string"))
@@ -307,9 +315,75 @@ class TfidfVectorizer(Operator):
         return d.join(vec, "__r", "left").drop("__r")
 
 
+class TextSVD(Operator):
+    """Truncated SVD of a column of sparse maps (term: weight), by subspace iteration: each round is one pass that adds up a terms x components matrix.
+
+    The fitted state has one row per term, at most max_terms. Rows without a known term get zeros.
+    """
+
+    defaults = {"column": None, "n_components": 50, "n_iter": 5, "oversample": 10, "max_terms": 200_000, "prefix": None, "random_state": 42}
+
+    def learn(self, df):
+        import numpy as np
+        import pandas as pd
+
+        weights = stage(df.select(F.map_keys(self.column).alias("k"), F.map_values(self.column).alias("v")).filter(F.size("k") > 0), "svd-rows")
+        terms = [r[0] for r in weights.select(F.explode("k").alias("k")).distinct().orderBy("k").limit(self.max_terms + 1).collect()]
+        if len(terms) > self.max_terms:
+            raise InputValidationError("too many terms for an SVD", limit=self.max_terms)
+        width = min(self.n_components + self.oversample, max(1, len(terms)))
+        spark = df.sparkSession
+        at = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+
+        def passed(basis: np.ndarray) -> np.ndarray:
+            """A'A basis."""
+            shared = spark.sparkContext.broadcast(basis)
+
+            def run(parts):
+                total = np.zeros_like(shared.value)
+                for pdf in parts:
+                    for k, v in zip(pdf["k"], pdf["v"]):
+                        i, x = [at.value[t] for t in k], np.asarray(v, float)
+                        total[i] += np.outer(x, x @ shared.value[i])
+                used = np.flatnonzero(np.abs(total).sum(axis=1))
+                for lo in range(0, len(used), 5000):
+                    rows = used[lo : lo + 5000]
+                    yield pd.DataFrame({"i": np.repeat(rows, width), "j": np.tile(np.arange(width), len(rows)), "x": total[rows].ravel()})
+
+            out = np.zeros_like(basis)
+            for r in weights.mapInPandas(run, "i long, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():  # terms x components numbers
+                out[r.i, r.j] = r.x
+            shared.unpersist()
+            return out
+
+        q = np.linalg.qr(np.random.default_rng(self.random_state).normal(size=(len(terms), width)))[0] if terms else np.zeros((0, width))
+        for _ in range(self.n_iter if terms else 0):
+            q = np.linalg.qr(passed(q))[0]
+        b = q.T @ passed(q) if terms else np.zeros((width, width))
+        values, vectors = np.linalg.eigh((b + b.T) / 2)
+        order = np.argsort(-values)[: self.n_components]
+        comp = (q @ vectors[:, order]).T
+        if terms:
+            comp *= np.sign(comp[np.arange(len(comp)), np.abs(comp).argmax(axis=1)])[:, None]
+        rows = [(t, [float(x) for x in comp[:, i]]) for i, t in enumerate(terms)]
+        return {"rows": len(rows), "n": len(order), "singular": np.sqrt(np.maximum(values[order], 0)).tolist()}, {"terms": spark.createDataFrame(rows, "term string, components array<double>")}
+
+    def apply(self, df, state, tables):
+        n, prefix = state["n"], self.prefix or f"{self.column}_svd"
+        d = with_row_numbers(df)
+        each = d.select("__r", F.explode(self.column).alias("term", "x"))
+        t = F.broadcast(tables["terms"]) if state["rows"] <= 100_000 else tables["terms"]
+        sums = each.join(t, "term").groupBy("__r").agg(*[F.sum(F.col("x") * F.col("components")[i]).alias(f"{prefix}_{i}") for i in range(n)])
+        return d.join(sums, "__r", "left").fillna(0.0, [f"{prefix}_{i}" for i in range(n)]).drop("__r")
+
+
 def build_text_pipeline(column_name: str, max_features: int = 20_000, svd_components: int | None = None, use_hashing: bool = False, hashing_features: int = 16_384, char_ngrams: bool = False, ngram_range=(1, 2), remove_stopwords: bool = False, min_df: int = 1) -> list[tuple[str, Operator]]:
     v = TfidfVectorizer(column=column_name, max_features=max_features, ngram_range=ngram_range, char_ngrams=char_ngrams, remove_stopwords=remove_stopwords, min_df=min_df, use_hashing=use_hashing, hashing_features=hashing_features)
-    return [("tfidf", v)]
+    out: list[tuple[str, Operator]] = [("tfidf", v)]
+    if svd_components:
+        name = f"{column_name}_{v.output}"
+        out.append(("svd", TextSVD(column=name, n_components=svd_components)))
+    return out
 
 
 def build_comprehensive_text_pipeline(column_name: str, statistics: bool = True, readability: bool = True, topics: int = 0, tfidf: bool = True, **kw) -> list[tuple[str, Operator]]:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tessera.errors import InputValidationError
 from tessera.operators.aggregate import statistic
 from tessera.operators.base import Operator, add, chosen, number, numeric_columns
+from tessera.operators.order import in_ranges, medians
+from tessera.sources.staging import stage
 
 
 def _list(x) -> list:
@@ -174,15 +176,58 @@ def ema(df: DataFrame, value: str, out: str, span: int, order_by, group_by=None)
                 made.append(last)
             yield pdf.assign(**{out: pd.Series(made, index=pdf.index, dtype="float64")})
 
-    rows = df.repartition(*group) if group else df.repartition(1)
+    if not group:
+        return _ema_of_one(df, value, out, alpha, order)
+    rows = df.repartition(*group)
     return rows.sortWithinPartitions(*group, *order).mapInPandas(run, schema)
 
 
-def time_gaps(df: DataFrame, time_col: str, parts: int = 32) -> dict:
-    """Median, mean and largest gap in seconds, and whether gaps are regular. Times are range-partitioned; first and last of each part close the seams."""
-    t = df.select((F.unix_micros(F.col(time_col).cast("timestamp")) / 1e6).alias("t")).filter("t IS NOT NULL").repartitionByRange(parts, "t").withColumn("p", F.spark_partition_id())
+def _ema_of_one(df: DataFrame, value: str, out: str, alpha: float, order: list[str]) -> DataFrame:
+    """The mean over one whole table: rows are written in ranges of the order, each range runs from nothing, and what came before fades in.
+
+    With a value count m in a range so far, e = own + (1 - alpha)^m * (e before the range), where own starts at 0. The
+    e before a range follows from one pair (own, m) for each range.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    d = in_ranges(df, order, "__p")
+    schema = T.StructType([*d.schema.fields, T.StructField("__own", T.DoubleType()), T.StructField("__m", T.LongType())])
+
+    def run(parts):
+        seen, own, m = None, 0.0, 0
+        for pdf in parts:
+            made, counts = [], []
+            for p, x in zip(pdf["__p"].tolist(), pdf[value].astype(float).tolist()):
+                if p != seen:
+                    seen, own, m = p, 0.0, 0
+                if x == x:
+                    own, m = alpha * x + (1 - alpha) * own, m + 1
+                made.append(own)
+                counts.append(m)
+            yield pdf.assign(__own=made, __m=counts)
+
+    runs = stage(d.repartition("__p").sortWithinPartitions("__p", *order).mapInPandas(run, schema), "ema")
+    known = number(value).isNotNull()
+    ends = runs.groupBy("__p").agg(F.max_by("__own", "__m").alias("own"), F.max("__m").alias("m")).orderBy("__p").collect()  # one row per range
+    first = runs.filter(known).agg(F.min("__p")).first()[0]
+    start = runs.filter((F.col("__p") == first) & known).orderBy(*order).select(number(value)).first() if first is not None else None
+    carried, rows = start[0] if start else 0.0, []
+    for r in ends:  # the first value counts as the mean before it
+        rows.append((r["__p"], carried))
+        carried = r.own + (1 - alpha) ** r.m * carried
+    table = df.sparkSession.createDataFrame(rows or [(0, 0.0)], "__p int, __before double")
+    before_any = (F.col("__p") < F.lit(first)) | ((F.col("__p") == F.lit(first)) & (F.col("__m") == 0)) if first is not None else F.lit(True)
+    value_ = F.when(~before_any, F.col("__own") + F.pow(F.lit(1 - alpha), F.col("__m").cast("double")) * F.col("__before"))
+    return runs.join(F.broadcast(table), "__p").withColumn(out, value_).select(*df.columns, out)
+
+
+def time_gaps(df: DataFrame, time_col: str, parts: int | None = None) -> dict:
+    """Median, mean and largest gap in seconds, and whether gaps are regular. Times are written in ranges; first and last of each range close the seams."""
+    t = in_ranges(df.select((F.unix_micros(F.col(time_col).cast("timestamp")) / 1e6).alias("t")).filter("t IS NOT NULL"), ["t"], "p", parts)
     inner = t.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("p").orderBy("t"))).filter("gap IS NOT NULL").select("gap")
     ends = t.groupBy("p").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     seams = ends.withColumn("gap", F.col("a") - F.lag("b").over(Window.orderBy("a"))).filter("gap IS NOT NULL").select("gap")  # one row per part
-    r = inner.unionByName(seams).agg(F.percentile("gap", F.lit(0.5)), F.avg("gap"), F.max("gap"), F.stddev_samp("gap")).first()
-    return {"median": r[0], "mean": r[1], "max": r[2], "regular": bool(r[1]) and (r[3] or 0.0) < 0.1 * r[1]}
+    gaps = stage(inner.unionByName(seams), "gaps")
+    r = gaps.agg(F.avg("gap"), F.max("gap"), F.stddev_samp("gap")).first()
+    return {"median": medians(gaps, {"gap": F.col("gap")})["gap"], "mean": r[0], "max": r[1], "regular": bool(r[0]) and (r[2] or 0.0) < 0.1 * r[0]}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
-import os
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,9 @@ from tessera.operators.base import FittedModel, Operator
 from tessera.plans.config import Settings, config_to_dict
 from tessera.plans.explain import DecisionCategory as K
 from tessera.plans.explain import Explanation
+from tessera.sources.files import read_text, write_text
 from tessera.sources.readers import read_reference, sample_df
+from tessera.sources.staging import stage
 
 
 def plan(df: DataFrame, label: str, cfg: Settings) -> tuple[list[Operator], Explanation, quality.SchemaValidator | None]:
@@ -224,7 +225,10 @@ class AutoFeatureEngineer:
         for op in steps:
             model = op.fit(now)
             self.models.append(model)
+            wide = bool(model.tables)
             now = op.fit_transform(now) if isinstance(op, (encoders.OutOfFoldTargetEncoder, encoders.LeaveOneOutTargetEncoder, encoders.CatBoostEncoder)) else model.transform(now)
+            if wide:  # later fits read the joined rows, rather than run the joins again
+                now = stage(now, "fit-step")
         return now
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -250,18 +254,13 @@ class AutoFeatureEngineer:
     def export(self, out_dir: str) -> str:
         if self.models is None:
             raise PipelineNotFittedError("fit first")
-        os.makedirs(out_dir, exist_ok=True)
+        spark, sums = SparkSession.active(), {}
         for i, m in enumerate(self.models):
             m.save(f"{out_dir}/step_{i:03d}")
-        sums = {}
-        for i in range(len(self.models)):
-            with open(f"{out_dir}/step_{i:03d}/model.json", "rb") as f:
-                sums[f"step_{i:03d}"] = hashlib.sha256(f.read()).hexdigest()
-        with open(f"{out_dir}/metadata.json", "w") as f:
-            json.dump({"label": self.label, "columns": self.columns, "config": config_to_dict(self.cfg), "sha256": sums, "schema": self.validator.columns if self.validator else None}, f, indent=2, default=str)
-        for name, body in (("explanation.md", self.explanation_.to_markdown()), ("explanation.json", self.explanation_.to_json())):
-            with open(f"{out_dir}/{name}", "w") as f:
-                f.write(body)
+            sums[f"step_{i:03d}"] = hashlib.sha256(read_text(spark, f"{out_dir}/step_{i:03d}/model.json").encode()).hexdigest()
+        meta = {"label": self.label, "columns": self.columns, "config": config_to_dict(self.cfg), "sha256": sums, "schema": self.validator.columns if self.validator else None}
+        for name, body in (("metadata.json", json.dumps(meta, indent=2, default=str)), ("explanation.md", self.explanation_.to_markdown()), ("explanation.json", self.explanation_.to_json())):
+            write_text(spark, f"{out_dir}/{name}", body)
         return out_dir
 
     @staticmethod
@@ -270,9 +269,8 @@ class AutoFeatureEngineer:
         out = AutoFeatureEngineer(Settings(**meta["config"]))
         out.label, out.columns, out.models = meta["label"], meta["columns"], []
         for name, wanted in sorted(meta["sha256"].items()):
-            with open(f"{path}/{name}/model.json", "rb") as f:
-                if verify_checksum and hashlib.sha256(f.read()).hexdigest() != wanted:
-                    raise SecurityError("checksum differs", step=name)
+            if verify_checksum and hashlib.sha256(read_text(spark, f"{path}/{name}/model.json").encode()).hexdigest() != wanted:
+                raise SecurityError("checksum differs", step=name)
             out.models.append(FittedModel.load(spark, f"{path}/{name}", verify_checksum))
         if meta.get("schema"):
             out.validator = quality.SchemaValidator(strict=out.cfg.schema_strict)
@@ -281,8 +279,7 @@ class AutoFeatureEngineer:
 
 
 def load_pipeline_metadata(path: str) -> dict:
-    with open(f"{path}/metadata.json") as f:
-        return json.load(f)
+    return json.loads(read_text(SparkSession.active(), f"{path}/metadata.json"))
 
 
 @dataclasses.dataclass

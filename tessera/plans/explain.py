@@ -10,7 +10,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.base import number, numeric_columns, quantiles, scalars
+from tessera.operators.base import number, numeric_columns, scalars
+from tessera.operators.order import exact_quantiles, numbered
+from tessera.sources.staging import stage
 
 
 class DecisionCategory(enum.StrEnum):
@@ -72,7 +74,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def five_numbers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cols = columns or numeric_columns(df)
-    v = scalars(df, {c: quantiles(number(c), [0, 0.25, 0.5, 0.75, 1]) for c in cols})
+    v = exact_quantiles(df, {c: (number(c), [0, 0.25, 0.5, 0.75, 1]) for c in cols})
     return df.sparkSession.createDataFrame([(c, *map(float, q)) for c, q in v.items() if q], "column string, min double, q1 double, median double, q3 double, max double")
 
 
@@ -87,14 +89,40 @@ def missingness(df: DataFrame) -> DataFrame:
 
 def permutation_importance(model, df: DataFrame, columns: list[str], score, seed: int = 42) -> dict[str, float]:
     """How much a score falls if a column's values are dealt to other rows: each is joined to itself at hashed row numbers."""
-    from tessera.operators.domain import numbered
-
     base, out = score(model.transform(df)), {}
-    rows = numbered(df.withColumn("__h", F.monotonically_increasing_id()), ["__h"], "__r").drop("__h").persist()
+    rows = stage(numbered(df.withColumn("__h", F.monotonically_increasing_id()), ["__h"], "__r").drop("__h"), "permuted")
     for c in columns:
-        mixed = numbered(df.select(F.col(c).alias("__v"), F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)).alias("__h")), ["__h"], "__r").select("__r", "__v")
+        mixed = numbered(rows.select(F.col(c).alias("__v"), F.xxhash64("__r", F.lit(seed)).alias("__h")), ["__h"], "__r").select("__r", "__v")
         out[c] = base - score(model.transform(rows.join(mixed, "__r").withColumn(c, F.col("__v")).drop("__r", "__v")))
-    rows.unpersist()
+    return out
+
+
+def shapley_values(model, df: DataFrame, columns: list[str], row_id: str, prediction: str = "prediction", permutations: int = 16, seed: int = 42) -> DataFrame:
+    """(row_id, shap_<column>..., shap_base): sampled Shapley values of every row for any model, whose predictions they add up to.
+
+    Along each of `permutations` orders of the columns, a row takes over its values one by one from a background row; a
+    column's value is the mean change of the prediction at its step. All steps of all rows are predicted as one table.
+    The background rows, one for each order, are the documented bound of this estimate.
+    """
+    import random
+
+    r = random.Random(seed)
+    found = df.select(*columns).withColumn("__h", F.xxhash64(F.col(row_id) if row_id in columns else F.monotonically_increasing_id(), F.lit(seed))).orderBy("__h").limit(permutations).collect()
+    n = len(columns)
+    if not found:
+        return df.select(row_id, *[F.lit(None).cast("double").alias(f"shap_{c}") for c in columns], F.lit(None).cast("double").alias("shap_base"))
+    orders = [r.sample(range(n), n) for _ in range(permutations)]
+    place = [[order.index(j) for j in range(n)] for order in orders]
+    kind = {c: df.schema[c].dataType for c in columns}
+    steps = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")) for p in range(permutations) for s in range(n + 1)]))
+    each = df.withColumn("__step", steps)
+    at = lambda values: F.array(*values)[F.col("__step.p")]
+    mixed = each.withColumns({c: F.when(at([F.lit(q[j]) for q in place]) < F.col("__step.s"), F.col(c)).otherwise(at([F.lit(found[p % len(found)][c]).cast(kind[c]) for p in range(permutations)])) for j, c in enumerate(columns)})
+    scored = model.transform(mixed)
+    y = F.col(prediction).cast("double")
+    own = lambda j: at([F.lit(q[j]) for q in place])
+    change = [F.sum(F.when(F.col("__step.s") == own(j) + 1, y).when(F.col("__step.s") == own(j), -y).otherwise(0.0)) / permutations for j in range(n)]
+    out = scored.groupBy(row_id).agg(*[c.alias(f"shap_{name}") for c, name in zip(change, columns)], (F.sum(F.when(F.col("__step.s") == 0, y).otherwise(0.0)) / permutations).alias("shap_base"))
     return out
 
 

@@ -202,7 +202,7 @@ def finance_indicators(t):
     return out(op.fit_transform(events(t)))
 
 
-@q()
+@q("WITH RECURSIVE s AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), e AS (SELECT event_id, user_id, i, value AS fast, value AS slow, CAST(0 AS DOUBLE) AS line, CAST(0 AS DOUBLE) AS sig FROM s WHERE i = 1 UNION ALL SELECT event_id, user_id, i, fast, slow, fast - slow, 2 / 10.0 * (fast - slow) + (1 - 2 / 10.0) * sig FROM (SELECT s.event_id, s.user_id, s.i, 2 / 13.0 * s.value + (1 - 2 / 13.0) * e.fast AS fast, 2 / 27.0 * s.value + (1 - 2 / 27.0) * e.slow AS slow, e.sig FROM e JOIN s ON s.user_id = e.user_id AND s.i = e.i + 1)) SELECT event_id, fast AS ema_12, slow AS ema_26, line AS macd_line, sig AS macd_signal, line - sig AS macd_histogram FROM e", "ema_12 ema_26 macd_line macd_signal macd_histogram", 5)
 def finance_macd(t):
     op = do.FinanceTechnicalIndicators(indicators=("macd", "ema"), price_col="value", group_by=["user_id"], order_by=["ts", "event_id"])
     return out(op.fit_transform(events(t)))
@@ -484,9 +484,9 @@ def mode_impute(t):
     return cl.CategoricalImputer(["o_orderpriority"]).fit_transform(d)
 
 
-@q()
+@q("WITH d AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, nullif(l_tax, 0) AS l_tax FROM lineitem), a AS (SELECT DISTINCT l_quantity, l_extendedprice, l_discount FROM d WHERE l_tax IS NULL), n AS (SELECT a.*, min({'d': pow(d.l_quantity - a.l_quantity, 2) + pow(d.l_extendedprice - a.l_extendedprice, 2) + pow(d.l_discount - a.l_discount, 2), 'v': d.l_tax}, 5) AS near FROM a, d WHERE d.l_tax IS NOT NULL GROUP BY ALL) SELECT l_orderkey, l_linenumber, d.l_quantity, d.l_extendedprice, d.l_discount, coalesce(l_tax, list_avg(list_transform(near, lambda x: x.v))) AS l_tax FROM d LEFT JOIN n ON d.l_quantity = n.l_quantity AND d.l_extendedprice = n.l_extendedprice AND d.l_discount = n.l_discount", "l_quantity l_extendedprice l_discount l_tax")
 def knn_impute(t):
-    return cl.KNNImputer(NUMS, max_fit_rows=300).fit_transform(with_nulls(t))
+    return cl.KNNImputer(NUMS).fit_transform(with_nulls(t))
 
 
 @q()
@@ -644,7 +644,7 @@ def tfidf_idf(t):
     return tx.document_frequencies(t("documents").select("doc_id", "text"), "text", max_features=500, ngram_range=(1, 1), min_df=5)
 
 
-@q()
+@q(r"WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9_]+'), lambda x: length(x) > 1) AS w FROM documents), g AS (SELECT doc_id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM d), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), v AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 2000), x AS (SELECT doc_id, tf * idf AS x FROM tf JOIN v USING (term)), s AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS terms, max(x) / sqrt(sum(x * x)) AS largest FROM x GROUP BY 1) SELECT doc_id, terms, largest FROM documents LEFT JOIN s USING (doc_id)", "largest")
 def tfidf_vectors(t):
     d = tx.TfidfVectorizer("text", max_features=2000).fit_transform(t("documents").select("doc_id", "text")).drop("text")
     return d.select("doc_id", F.size("text_tfidf").alias("terms"), F.array_max(F.map_values("text_tfidf")).alias("largest"))
@@ -660,9 +660,13 @@ def word_embeddings(t):
     return tx.WordEmbeddingFeatures("text", dims=8, train=True).fit_transform(t("conversations").select("conv_id", "turn", "text")).drop("text")
 
 
-@q()
+#: A small polarity lexicon for the query.
+LEXICON = {"the": 0.1, "good": 0.7, "great": 0.8, "best": 1.0, "love": 0.9, "bad": -0.7, "worst": -1.0, "hate": -0.9, "idiot": -1.0, "stupid": -0.8, "please": 0.3, "thanks": 0.6}
+
+
+@q(r"WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}'']+'), lambda x: x <> '')) AS w FROM documents), l(w, s) AS (VALUES " + ", ".join(f"('{w}', {x})" for w, x in LEXICON.items()) + "), a AS (SELECT doc_id, avg(s) AS p, count(s) / CAST(count(*) AS DOUBLE) AS j FROM w LEFT JOIN l USING (w) GROUP BY 1) SELECT doc_id, coalesce(p, 0.0) AS text_polarity, coalesce(j, 0.0) AS text_subjectivity FROM documents LEFT JOIN a USING (doc_id)", "text_polarity text_subjectivity")
 def sentiment_lexicon(t):
-    return tx.SentimentAnalyzer(["text"], lexicon={"the": 0.5, "idiot": -1.0}).fit_transform(t("documents").select("doc_id", "text")).drop("text")
+    return tx.SentimentAnalyzer(["text"], lexicon=LEXICON).fit_transform(t("documents").select("doc_id", "text")).drop("text")
 
 
 # --- profiles, drift, selection ---------------------------------------------
@@ -711,7 +715,11 @@ def ks_numeric(t):
     return qc.ks_table(a, b, "value")
 
 
-@q()
+def _ks_sql(c):
+    return f"SELECT '{c}' AS column, 'ks' AS metric, max(abs(r - c)) AS value FROM (SELECT sum(r) OVER (ORDER BY x) / sum(r) OVER () AS r, sum(c) OVER (ORDER BY x) / sum(c) OVER () AS c FROM (SELECT {c} AS x, count(*) FILTER (old) AS r, count(*) FILTER (NOT old) AS c FROM h GROUP BY 1))"
+
+
+@q(f"WITH h AS (SELECT *, event_id < (SELECT quantile_cont(event_id, 0.5) FROM events) AS old FROM events), c AS (SELECT event_type, count(*) FILTER (old) AS r, count(*) FILTER (NOT old) AS c FROM h GROUP BY 1), s AS (SELECT greatest(r / sum(r) OVER (), 1e-10) AS r, greatest(c / sum(c) OVER (), 1e-10) AS c FROM c), v AS (SELECT 'event_type' AS column, 'psi' AS metric, abs(sum((c - r) * ln(c / r))) AS value FROM s UNION ALL {_ks_sql('value')} UNION ALL {_ks_sql('user_id')}) SELECT *, CASE WHEN value < CASE metric WHEN 'ks' THEN 0.05 ELSE 0.1 END THEN 'OK' WHEN value < CASE metric WHEN 'ks' THEN 0.1 ELSE 0.25 END THEN 'WARN' ELSE 'CRITICAL' END AS severity FROM v", "value")
 def drift_report(t):
     a, b = halves(t)
     return qc.DriftDetector().detect(a.select("value", "event_type", "user_id"), b.select("value", "event_type", "user_id"))
@@ -745,9 +753,14 @@ def mi_binned(t):
     return _scores(d, se.MutualInfoSelector(label_col="y", n_bins=5).fit(d).state["scores"])
 
 
-@q()
+def _vif_sql(a, b, c):
+    """1 / (1 - R2) of a on b and c, from three correlations."""
+    return f"1 / greatest(1e-6, 1 - (pow({a}{b}, 2) + pow({a}{c}, 2) - 2 * {a}{b} * {a}{c} * {b}{c}) / (1 - pow({b}{c}, 2)))"
+
+
+@q("WITH d AS (SELECT l_quantity AS q, l_extendedprice AS p, l_quantity * 900 + l_extendedprice AS s FROM lineitem), r AS (SELECT corr(q, p) AS qp, corr(q, p) AS pq, corr(q, s) AS qs, corr(q, s) AS sq, corr(p, s) AS ps, corr(p, s) AS sp FROM d), v AS (" + " UNION ALL ".join(f"SELECT {i} AS i, '{name}' AS dropped, round({_vif_sql(*k)}, 4) AS v FROM r" for i, (name, k) in enumerate({"l_quantity": "qps", "l_extendedprice": "pqs", "total": "sqp"}.items())) + "), f AS (SELECT dropped FROM v WHERE v > 10 ORDER BY v DESC, i LIMIT 1), left_over AS (SELECT CASE (SELECT dropped FROM f) WHEN 'l_quantity' THEN ps WHEN 'l_extendedprice' THEN qs ELSE qp END AS r FROM r) SELECT dropped FROM f UNION ALL SELECT (SELECT dropped FROM v WHERE dropped <> (SELECT dropped FROM f) ORDER BY i LIMIT 1) FROM left_over WHERE 1 / greatest(1e-6, 1 - r * r) > 10")
 def vif_drop(t):
-    d = t("lineitem").select("l_quantity", "l_discount", "l_tax", (F.col("l_quantity") + F.col("l_tax")).alias("total"))
+    d = t("lineitem").select("l_quantity", "l_extendedprice", (F.col("l_quantity") * 900 + F.col("l_extendedprice")).alias("total"))
     return d.sparkSession.createDataFrame([(c,) for c in se.compute_vif_drop(d)], "dropped string")
 
 
@@ -786,16 +799,17 @@ def sequential_selection(t):
     return _scores(d, se.SequentialFeatureSelector(n_features_to_select=1, label_col="y", cv=2).fit(d).state["scores"])
 
 
-@q()
+@q("WITH d AS (SELECT *, l_quantity * 2 AS target FROM lineitem), v AS (SELECT greatest(" + ", ".join(f"abs(corr({c}, target))" for c in NUMS) + ") AS r, greatest(" + ", ".join(f"count(DISTINCT {c})" for c in NUMS) + ") > 0.9 * count(*) AS wide FROM d) SELECT least(1.0, CASE WHEN r > 0.99 THEN 0.5 ELSE 0.0 END + CASE WHEN wide THEN 0.2 ELSE 0.0 END) AS risk FROM v", "risk")
 def leakage_risk(t):
     d = t("lineitem").select(*NUMS, (F.col("l_quantity") * 2).alias("target"))
     return d.sparkSession.createDataFrame([(qc.estimate_leakage_risk(d, "target"),)], "risk double")
 
 
-@q()
+@q("WITH d AS (SELECT lang, source, n_chars, nullif(n_chars, 0) AS filled, toxic FROM documents JOIN labels USING (doc_id)), n AS (SELECT count(*) AS n FROM d), x AS (SELECT *, CASE WHEN n_chars % 3 = 0 THEN NULL ELSE source END AS gaps FROM d), b AS (SELECT min(c) / CAST(sum(c) AS DOUBLE) AS share FROM (SELECT count(*) AS c FROM d WHERE toxic IS NOT NULL GROUP BY toxic)), f AS (SELECT quantile_cont(n_chars, 0.25) AS a, quantile_cont(n_chars, 0.75) AS b FROM d), i AS (SELECT 'HIGH_NULL' AS code, 'WARN' AS severity, 'gaps' AS col, avg(CAST(gaps IS NULL AS INTEGER)) AS share, 'missing' AS what FROM x HAVING avg(CAST(gaps IS NULL AS INTEGER)) > 0.3 UNION ALL SELECT 'NULLS', 'INFO', 'gaps', avg(CAST(gaps IS NULL AS INTEGER)), 'missing' FROM x HAVING avg(CAST(gaps IS NULL AS INTEGER)) > 0 AND avg(CAST(gaps IS NULL AS INTEGER)) <= 0.3 UNION ALL SELECT 'OUTLIERS', 'INFO', 'n_chars', avg(CAST(n_chars < a - 1.5 * (b - a) OR n_chars > b + 1.5 * (b - a) AS INTEGER)), 'outside of the fences' FROM d, f HAVING avg(CAST(n_chars < a - 1.5 * (b - a) OR n_chars > b + 1.5 * (b - a) AS INTEGER)) > 0.05) SELECT code, severity, col AS \"column\", printf('%.1f%% %s', share * 100, what) AS message FROM i UNION ALL SELECT 'IMBALANCE', 'WARN', NULL, printf('smallest class %.1f%%', share * 100) FROM b WHERE share < 0.2")
 def data_issues(t):
-    i = qc.analyze_dataset(t("documents").select("lang", "source", "n_chars").join(t("labels").select(F.col("toxic")).limit(0), F.lit(False), "left").withColumn("toxic", F.coalesce("toxic", (F.length("source") % 2).cast("int"))), "toxic")
-    return t("labels").sparkSession.createDataFrame([(x.code, x.severity, x.column, x.message) for x in i.issues], "code string, severity string, column string, message string")
+    d = t("documents").select("doc_id", "lang", "source", "n_chars").join(t("labels").select("doc_id", "toxic"), "doc_id").drop("doc_id")
+    i = qc.analyze_dataset(d.withColumn("gaps", F.when(F.col("n_chars") % 3 != 0, F.col("source"))), "toxic")
+    return d.sparkSession.createDataFrame([(x.code, x.severity, x.column, x.message) for x in i.issues], "code string, severity string, column string, message string")
 
 
 @q("WITH m AS (SELECT min(value) AS lo, (max(value) - min(value)) / 30 AS w FROM events), b AS (SELECT CAST(least(floor((value - lo) / w), 29) AS INTEGER) AS bin, lo, w FROM events, m) SELECT bin, any_value(lo + bin * w) AS lo, any_value(lo + (bin + 1) * w) AS hi, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY 1", "lo hi")
@@ -816,7 +830,8 @@ def top_counts(t):
 # --- reduction and clusters -------------------------------------------------
 
 
-def _vectors(t, n=8):
+def _vectors(t, n=64):
+    """All components as columns."""
     return t("embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
 
 
@@ -829,7 +844,7 @@ def pca(t):
 @q()
 def lda_reduce(t):
     d = _vectors(t).join(t("embeddings").select("vec_id", "label"), "vec_id")
-    return rd.DimensionalityReducer(columns=[f"e{i}" for i in range(8)], method="lda", n_components=2, label_col="label", keep_original=False).fit_transform(d)
+    return rd.DimensionalityReducer(columns=[f"e{i}" for i in range(64)], method="lda", n_components=2, label_col="label", keep_original=False).fit_transform(d)
 
 
 @q()
@@ -846,20 +861,45 @@ def kmeans(t):
 
 @q()
 def gmm(t):
-    d = _vectors(t, 3)
+    d = _vectors(t)
     return rd.ClusteringFeatureExtractor(d.columns[1:], "gmm", 3).fit_transform(d)
 
 
 @q()
 def hierarchical(t):
-    d = _vectors(t, 4)
+    d = _vectors(t)
     return rd.ClusteringFeatureExtractor(d.columns[1:], "hierarchical", 4).fit_transform(d)
 
 
 @q()
 def dbscan(t):
-    d = _vectors(t, 2)
-    return rd.ClusteringFeatureExtractor(d.columns[1:], "dbscan", eps=0.2, min_samples=5).fit_transform(d)
+    d = _vectors(t)
+    return rd.ClusteringFeatureExtractor(d.columns[1:], "dbscan", eps=6.0, min_samples=5).fit_transform(d).select("vec_id", "cluster_id", "cluster_is_outlier", "cluster_distance")
+
+
+@q()
+def single_linkage(t):
+    d = _vectors(t)
+    return rd.ClusteringFeatureExtractor(d.columns[1:], "hierarchical", distance_threshold=6.0).fit_transform(d).select("vec_id", "cluster_id")
+
+
+@q()
+def reduce_several(t):
+    """The first component of several methods side by side."""
+    d = _vectors(t)
+    return rd.MultiMethodDimensionalityReducer(d.columns[1:], ("pca", "svd"), 1, keep_original=False).fit_transform(d)
+
+
+@q()
+def reduce_adaptive(t):
+    d = _vectors(t).join(t("embeddings").select("vec_id", "label"), "vec_id")
+    return rd.AdaptiveDimensionalityReducer(columns=[f"e{i}" for i in range(64)], label_col="label", keep_original=False).fit_transform(d)
+
+
+@q()
+def cluster_several(t):
+    d = _vectors(t)
+    return rd.MultiMethodClusteringExtractor(d.columns[1:], ("kmeans", "dbscan"), n_clusters=3, eps=6.0).fit_transform(d).select("vec_id", "kmeans_id", "dbscan_id")
 
 
 @q()
@@ -867,6 +907,88 @@ def smote(t):
     return qc.SMOTE("y").resample(_quality(t).select("n_chars", "lines", "marks", "y"))
 
 
+# --- casts, checks and samples ----------------------------------------------
+
+
+@q("SELECT o_orderkey, TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS first, TRY_CAST(o_orderpriority AS DOUBLE) AS whole, CAST(o_totalprice AS DOUBLE) AS price FROM orders", "first whole price")
+def convert_numbers(t):
+    d = t("orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("first"), F.col("o_orderpriority").alias("whole"), F.col("o_totalprice").alias("price"))
+    return cl.NumericConverter(["first", "whole", "price"]).fit_transform(d)
+
+
+@q("SELECT doc_id, CAST(nullif(lang, 'en') IS NULL AS INTEGER) AS lang_missing, CAST(source IS NULL AS INTEGER) AS source_missing FROM documents")
+def missing_flags(t):
+    d = t("documents").select("doc_id", F.nullif(F.col("lang"), F.lit("en")).alias("lang"), "source")
+    return cl.CategoricalMissingIndicator(["lang", "source"]).fit_transform(d).drop("lang", "source")
+
+
+@q("SELECT p_partkey, TRY_CAST(substr(p_brand, 7) AS DOUBLE) AS brand FROM part", "brand")
+def ensure_numeric(t):
+    return cl.EnsureNumericOutput().fit_transform(t("part").select("p_partkey", F.substring("p_brand", 7, 10).alias("brand")))
+
+
+@q("SELECT 'lang' AS name, CASE WHEN count(DISTINCT lang) <= 10 THEN 'low' WHEN count(DISTINCT lang) <= 50 THEN 'mid' ELSE 'high' END AS role FROM documents UNION ALL SELECT 'source', CASE WHEN count(DISTINCT source) <= 10 THEN 'low' WHEN count(DISTINCT source) <= 50 THEN 'mid' ELSE 'high' END FROM documents UNION ALL SELECT 'text', 'text' UNION ALL SELECT 'n_chars', 'numeric'")
+def roles(t):
+    d = t("documents").select("lang", "source", "text", "n_chars")
+    return d.sparkSession.createDataFrame(list(qc.column_roles(d).items()), "name string, role string")
+
+
+@q("WITH h AS (SELECT *, event_id < (SELECT quantile_cont(event_id, 0.5) FROM events) AS old FROM events), f AS (SELECT min(value) AS lo, max(value) AS hi FROM h WHERE old) SELECT 'value: range' AS violation, count(*) FILTER (value * 1.5 < lo - 0.1 * (hi - lo) OR value * 1.5 > hi + 0.1 * (hi - lo)) AS n FROM h, f WHERE NOT old HAVING n > 0 UNION ALL SELECT 'event_type: category', count(*) FILTER (upper(event_type) NOT IN (SELECT event_type FROM h WHERE old)) AS n FROM h WHERE NOT old HAVING n > 0")
+def schema_violations(t):
+    """Values scaled and categories upper-cased, against the schema of the earlier half."""
+    a, b = halves(t)
+    v = qc.SchemaValidator().fit(a.select("value", "event_type"))
+    found = v.violations(b.select((F.col("value") * 1.5).alias("value"), F.upper("event_type").alias("event_type")))
+    return a.sparkSession.createDataFrame(list(found.items()), "violation string, n long")
+
+
+@q("SELECT 'l_quantity' AS a, 'copy' AS b FROM (SELECT count(*) FILTER (l_quantity IS DISTINCT FROM l_quantity + 0) AS n FROM lineitem) WHERE n = 0")
+def equal_columns(t):
+    d = t("lineitem").select("l_quantity", "l_discount", "l_tax", F.col("l_quantity").alias("copy"))
+    return d.sparkSession.createDataFrame(qc.duplicate_columns(d), "a string, b string")
+
+
+@q("WITH b AS (SELECT min(n) / CAST(sum(n) AS DOUBLE) AS r FROM (SELECT count(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY toxic)) SELECT round(r, 6) AS ratio, CASE WHEN r < 0.2 THEN printf('The smallest class is %.1f%% of the rows; consider class weights.', r * 100) END AS advice FROM b", "ratio")
+def class_weights(t):
+    r = float(qc.detect_minority_ratio(t("labels"), "toxic"))
+    return t("labels").sparkSession.createDataFrame([(r, qc.class_weight_advisory(r))], "ratio double, advice string")
+
+
+@q("SELECT 'VERY_HIGH_MISSING' AS code, 'WARN' AS severity, 'rare' AS column FROM (SELECT count(*) FILTER (o_orderkey % 100 = 0) AS k, count(*) AS n FROM orders) WHERE k < 0.05 * n")
+def data_quality(t):
+    d = t("orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 100 == 0, F.col("o_totalprice")).alias("rare"))
+    return d.sparkSession.createDataFrame([(i.code, i.severity, i.column) for i in qc.check_data_quality(d, "o_totalprice")], "code string, severity string, column string")
+
+
+@q("WITH q AS (SELECT event_type, user_id, value FROM events) SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT event_type) AS BIGINT) AS strata FROM q")
+def sample_strata(t):
+    """Every stratum keeps rows in a stratified sample, and a whole share keeps all."""
+    from tessera.sources.readers import sample_df
+
+    d = t("events").select("event_type", "user_id", "value")
+    whole = sample_df(d, frac=1.0)
+    part = sample_df(d, frac=0.2, stratify_by="event_type")
+    return whole.agg(F.count(F.lit(1)).alias("n_rows")).join(F.broadcast(part.agg(F.count_distinct("event_type").alias("strata"))))  # one row each
+
+
+@q("WITH d AS (SELECT doc_id, n_chars, quality AS y FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), s AS (SELECT CAST(count(*) AS BIGINT) AS n, min(c) / CAST(sum(c) AS DOUBLE) AS r FROM (SELECT y, count(*) AS c FROM d GROUP BY 1)), n AS (SELECT count(*) AS n FROM d) SELECT 'conservative' AS name, false AS interactions FROM n UNION ALL SELECT 'heuristic', n > 10000 FROM n UNION ALL SELECT 'aggressive', true FROM n")
+def strategies(t):
+    """The search agent's first strategies for a linear model, and whether they make interactions."""
+    from tessera.plans import agent
+
+    d = t("documents").select("doc_id", "n_chars", "lang").join(t("labels").select("doc_id", F.col("quality").alias("y")), "doc_id").filter("y IS NOT NULL")
+    found = agent.initial_strategies(qc.fingerprint(d, "y"), "linear")
+    return d.sparkSession.createDataFrame([(s.name, bool(s.overrides.get("interactions_enabled"))) for s in found], "name string, interactions boolean")
+
+
+@q("SELECT event_type AS name, 'psi' AS x FROM events WHERE false")
+def drift_summary(t):
+    """Columns whose drift is critical between the halves of the events: none."""
+    a, b = halves(t)
+    found = qc.summarize_drift_report(qc.DriftDetector().detect(a.select("value", "event_type"), b.select("value", "event_type")))
+    return a.sparkSession.createDataFrame([(c, "psi") for c in found["CRITICAL"]], "name string, x string")
+
+
 # --- end to end -------------------------------------------------------------
 
 

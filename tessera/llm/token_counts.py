@@ -6,8 +6,10 @@ most HEAD_ENTRIES that is broadcast; all others (the tail) leave the pass as
 (pre-token, frequency) lists, are dealt by pre-token in one shuffle, where the
 sorted stream counts each distinct pre-token of the corpus once and gives the
 product with each document's frequency, and are summed per document. Which
-pre-tokens are in the head comes from one in HEAD_SAMPLE documents (by hash of
-the text) and changes no result, only how many rows the shuffle carries.
+pre-tokens are in the head comes from one in HEAD_SAMPLE rows, copies of a text
+included, and changes no result, only how many rows the shuffle carries: a
+pre-token of the tail is rarer than each of HEAD_ENTRIES others, or was met once
+at most in the sampled rows, so that no task gets a large share of them.
 
 Nulls and edge cases: a null or empty text has 0 bytes and 0 tokens; a special
 string of the vocabulary is one token; documents of any length are counted
@@ -35,7 +37,7 @@ LIMIT = 512
 
 
 def head_pretokens(df: DataFrame, text: str, path: str, sample: int, entries: int) -> list[str]:
-    """The most frequent pre-tokens of one in `sample` texts: counted in tasks, then over tasks, and the top taken."""
+    """The most frequent pre-tokens of one in `sample` rows: counted in tasks, then over tasks, and the top taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, seen = bpe.load(path), Counter()
@@ -54,7 +56,7 @@ def head_pretokens(df: DataFrame, text: str, path: str, sample: int, entries: in
                     yield out()
         yield out()
 
-    part = df.select(F.col(text).cast("string").alias("t")).filter((F.length("t") > 0) & (F.pmod(F.xxhash64("t"), F.lit(sample)) == 0))
+    part = df.select(F.col(text).cast("string").alias("t")).filter(F.pmod(F.monotonically_increasing_id(), F.lit(sample)) == 0).filter(F.length("t") > 0)
     counted = part.mapInArrow(run, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).filter("n > 1")
     return [r.k for r in most_frequent(staged(counted, "head-counts"), "n", entries).select("k").collect()]
 

@@ -66,11 +66,13 @@ class RankedBPE:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a], vocab[b]] = k
             self.merged.append(vocab[a + b])
+        self.id_of = {bytes(to_byte[c] for c in token): i for token, i in vocab.items() if all(c in to_byte for c in token)}
         self.special = {x["content"]: x["id"] for x in data.get("added_tokens", [])}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes_of: list[bytes] = [b""] * size
         for token, i in vocab.items():
-            self.bytes_of[i] = bytes(to_byte[c] for c in token)
+            if all(c in to_byte for c in token):
+                self.bytes_of[i] = bytes(to_byte[c] for c in token)
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode()
         self.words = regex.compile(PATTERN)
@@ -79,22 +81,23 @@ class RankedBPE:
         self.special_bytes = {x: i.to_bytes(4, "little") for x, i in self.special.items()}
 
     def merge_short(self, word: bytes) -> list[int]:
-        rank, merged = self.rank, self.merged
-        part = [self.byte_id[b] for b in word]
+        """bounds: where parts begin, and the word's end; ranks[i]: of parts i and i + 1."""
+        rank, id_of = self.rank, self.id_of
         bounds = list(range(len(word) + 1))
-        ranks = [rank.get((part[i], part[i + 1]), NEVER) for i in range(len(part) - 1)]
+        part = lambda i: id_of[word[bounds[i] : bounds[i + 1]]]
+        ranks = [rank.get((self.byte_id[a], self.byte_id[b]), NEVER) for a, b in zip(word, word[1:])]
         while ranks:
             least = min(ranks)
             if least == NEVER:
                 break
             i = ranks.index(least)
-            part[i] = merged[least]
-            del bounds[i + 1], part[i + 1], ranks[i]
+            del bounds[i + 1], ranks[i]
+            own = self.merged[least]
             if i:
-                ranks[i - 1] = rank.get((part[i - 1], part[i]), NEVER)
+                ranks[i - 1] = rank.get((part(i - 1), own), NEVER)
             if i < len(ranks):
-                ranks[i] = rank.get((part[i], part[i + 1]), NEVER)
-        return part
+                ranks[i] = rank.get((own, part(i + 1)), NEVER)
+        return [part(i) for i in range(len(bounds) - 1)]
 
     def merge_long(self, word: bytes) -> list[int]:
         rank, n = self.rank, len(word)
@@ -176,7 +179,7 @@ def load(path: str) -> RankedBPE:
 
 
 def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids") -> DataFrame:
-    """Add a binary column of ids, little-endian unsigned 32-bit; `ids_array` turns it into integers."""
+    """Add (or replace) a binary column of ids, little-endian unsigned 32-bit; `ids_array` turns it into integers."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,13 +188,14 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str
             at = batch.schema.get_field_index(text)
             for part in slices(batch, at):
                 out = [bpe.encode(t) if t else b"" for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, ids])
+                kept = [k for k, name in enumerate(part.schema.names) if name != ids]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], pa.array(out, pa.binary())], [*[part.schema.names[k] for k in kept], ids])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType())]))
+    return df.mapInArrow(run, T.StructType([*[f for f in df.schema.fields if f.name != ids], T.StructField(ids, T.BinaryType())]))
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None, text: str = "decoded") -> DataFrame:
-    """Add the text that a binary column of ids stands for."""
+    """Add (or replace) the text that a binary column of ids stands for."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +204,10 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, text: str =
             at = batch.schema.get_field_index(ids)
             for part in slices(batch, at, 4_000_000):
                 out = [bpe.decode(x) if x else "" for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, text])
+                kept = [k for k, name in enumerate(part.schema.names) if name != text]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], pa.array(out, pa.string())], [*[part.schema.names[k] for k in kept], text])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
+    return df.mapInArrow(run, T.StructType([*[f for f in df.schema.fields if f.name != text], T.StructField(text, T.StringType())]))
 
 
 def ids_array(ids: str = "ids") -> Column:

@@ -5,27 +5,34 @@ rows are aggregated per slot, and a slot map (one shard number per slot, with a
 version) says which shard holds a slot. Rebalancing edits the map: moving a slot
 moves only its records. The law held is `bytes`: sizes of shards near equal.
 
-A record hashes by its id and the checksum of its text, so that an id that many
-rows share spreads; rows that repeat both share a slot. The place of a record in
-its shard is the number of rows in the shard's earlier slots plus its place in
-its own slot, so that numbering works on thousands of small groups.
-
-Nulls and edge cases: a null text has size 1 and checksum 0; a null id is a
-value like others; extra columns are ignored; an empty table gives no rows.
+Records of equal texts are a group and hash by their text, so that a group lies
+in one slot and thus in one shard. Only a group of more than 1 / GROUP_SHARE of
+a shard's bytes is dealt over the slots row by row: kept whole it would tilt the
+shards, and its rows would meet in one task. There are at most shards x
+GROUP_SHARE such groups. The place of a record in its shard is the number of
+rows in the shard's earlier slots plus its place in its own slot, so that
+numbering works on thousands of small groups.
+
+Nulls and edge cases: a null text has size 1 and checksum 0 and is a group of
+its own, apart from the empty text; a null id is a value like others; equal rows
+of a group that is dealt may change places from run to run; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import documents, staged
+from tessera.llm._common import documents, shared_dir, staged
 
 VIRTUAL_SLOTS = 4096
 SHARDS = 16
+GROUP_SHARE = 64
 
 
 @dataclasses.dataclass(frozen=True)
@@ -85,6 +92,12 @@ class SlotMap:
         """Append this version to the map's table."""
         self.to_df(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
+    @staticmethod
+    def exists(spark: SparkSession, path: str) -> bool:
+        context = spark.sparkContext
+        p = context._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(context._jsc.hadoopConfiguration()).exists(p)
+
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         d = spark.read.parquet(path)
@@ -117,16 +130,40 @@ def assign(records: DataFrame, slot_map: SlotMap, slot_rows: list[int], order: l
     return numbered.join(F.broadcast(places), "vslot").withColumn("slot", F.col("first") + F.col("at")).drop("first", "at")
 
 
-def shard(df: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", slot_map: SlotMap | None = None) -> DataFrame:
-    """One row per row of df: id, size, text_crc32, law, shard, slot, vslot. A given map is used as it is, else one is built."""
+def large_groups(records: DataFrame, n_shards: int, group_share: int = GROUP_SHARE) -> list[int]:
+    """Hashes of texts whose rows have more than 1 / group_share of a shard's bytes: n_shards * group_share of them at most."""
+    total = records.agg(F.sum("size")).first()[0] or 0
+    bytes_ = records.groupBy("text_hash").agg(F.sum("size").alias("b")).filter(F.col("b") * n_shards * group_share > F.lit(total))
+    return [r.text_hash for r in bytes_.collect()]
+
+
+def shard(df: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", slot_map: SlotMap | None = None, map_path: str | None = None, group_share: int = GROUP_SHARE) -> DataFrame:
+    """One row per row of df: id, size, text_crc32, law, shard, slot, vslot.
+
+    A given map is used as it is. With map_path the latest stored version is edited for these records, or a first one is
+    built, and the version used is stored there. Else a map is built and forgotten.
+    """
+    spark = df.sparkSession
     checksum = F.coalesce(F.crc32(text), F.lit(0)).cast("long")
-    records = df.select(F.col(id_col), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), checksum.alias("text_crc32"))
-    records = staged(records.withColumn("vslot", virtual_slot(F.col(id_col), F.col("text_crc32"))), "slots")
+    records = df.select(F.col(id_col), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), checksum.alias("text_crc32"), F.xxhash64(F.col(text)).alias("text_hash"))
+    records = staged(records, "records")
+    large = spark.createDataFrame([(h,) for h in large_groups(records, n_shards, group_share)], "text_hash long").withColumn("dealt", F.lit(True))
+    records = records.join(F.broadcast(large), "text_hash", "left")
+    place = F.when(F.col("dealt"), F.xxhash64("text_hash", F.col(id_col), F.monotonically_increasing_id())).otherwise(F.col("text_hash"))
+    records = staged(records.select(id_col, "size", "text_crc32", virtual_slot(place).alias("vslot")), "slots")
     slot_bytes, slot_rows = slot_totals(records)
+    if slot_map is None and map_path is not None and SlotMap.exists(spark, map_path):
+        old = SlotMap.load(spark, map_path)
+        slot_map = old.rebalance(slot_bytes, n_shards)
+        slot_map = old if slot_map.shard_of == old.shard_of else slot_map
     slot_map = slot_map or SlotMap.build(slot_bytes, n_shards)
+    if map_path is not None and not (SlotMap.exists(spark, map_path) and SlotMap.load(spark, map_path) == slot_map):
+        slot_map.save(spark, map_path)
     return assign(records, slot_map, slot_rows, [id_col, "text_crc32", "size"]).withColumn("law", F.lit("bytes"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard of 16, by bytes."""
-    return shard(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    """Every document's shard of 16, by bytes. The map's first version is stored in the shared folder and read again from there."""
+    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/slot-map-{uuid.uuid4().hex[:12]}"
+    out = shard(documents(spark, sf_dir), map_path=path)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")

@@ -28,8 +28,7 @@ MAX_FALSE_REJECTION = 0.02
 DELTA = 0.05
 #: Strata up to this many are joined by broadcast; more take a shuffle join.
 BROADCAST_STRATA = 20_000
-#: Rule values are integers in thousandths (or hundredths of a character), clipped here, so that a histogram stays small.
-MAX_VALUE = 20_000
+#: Rule values are whole thousandths, or hundredths of a character.
 RULES = ("symbols", "dup_lines", "repeats", "long_words", "short_words")
 
 
@@ -82,8 +81,8 @@ def base_failed() -> Column:
 def rule_values() -> dict[str, Column]:
     """Each rule's integer value; large is bad."""
     n = F.greatest(F.col("n_words"), F.lit(1))
-    share = lambda a, b: F.least(F.floor(1000 * a / F.greatest(b, F.lit(1))), F.lit(MAX_VALUE)).cast("int")
-    mean = F.least(F.floor(100 * F.col("word_chars") / n), F.lit(MAX_VALUE)).cast("int")
+    share = lambda a, b: F.floor(1000 * a / F.greatest(b, F.lit(1))).cast("long")
+    mean = F.floor(100 * F.col("word_chars") / n).cast("long")
     return {
         "symbols": share(F.col("n_symbols"), F.col("word_chars")),
         "dup_lines": share(F.col("n_dup_lines"), F.col("n_lines")),
@@ -171,12 +170,16 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", stratum: str = "lang", max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
-    """The rows of df that are kept, with the columns of df. Calibration reads the labelled rows only, so that no text is written."""
-    labelled = df.select(F.col(id_col).alias("__id"), _stratum(stratum), F.col(text).alias("__text")).join(_good_ids(labels, id_col), "__id", "left_semi")
+    """The rows of df that are kept, with the columns of df.
+
+    Rows that pass the base rules are written once with their counts; calibration then reads counts only, and no text is shuffled.
+    """
+    rows = df.select(F.struct(*df.columns).alias("__row"), F.col(id_col).alias("__id"), _stratum(stratum), F.col(text).alias("__text"))
+    passed = staged(_counted(rows).filter(~F.col("base_failed")).select("__row", "__id", "stratum", "base_failed", *RULES), "counted")
+    good = passed.select("__id", "stratum", *RULES).join(_good_ids(labels, id_col), "__id", "left_semi")
     strata = df.select(_stratum(stratum)).distinct()
-    cuts = staged(cutoffs(_counted(labelled).filter(~F.col("base_failed")), strata, max_false_rejection, delta), "cutoffs")
-    rows = df.select(F.struct(*df.columns).alias("__row"), _stratum(stratum), F.col(text).alias("__text"))
-    return _verdict(_counted(rows), cuts, strata.count()).filter("kept").select("__row.*")
+    cuts = staged(cutoffs(good, strata, max_false_rejection, delta), "cutoffs")
+    return _verdict(passed, cuts, strata.count()).filter("kept").select("__row.*")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -195,18 +198,18 @@ counts AS (SELECT wl.rid, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CA
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words FROM wl LEFT JOIN cov ON wl.rid = cov.rid),
 vals AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-    CAST(least(floor(1000.0 * n_symbols / greatest(word_chars, 1)), 20000) AS INTEGER) AS symbols,
-    CAST(least(floor(1000.0 * n_dup_lines / greatest(n_lines, 1)), 20000) AS INTEGER) AS dup_lines,
-    CAST(least(floor(1000.0 * n_repeat_words / greatest(n_words, 1)), 20000) AS INTEGER) AS repeats,
-    CAST(least(floor(100.0 * word_chars / greatest(n_words, 1)), 20000) AS INTEGER) AS long_words,
-    -CAST(least(floor(100.0 * word_chars / greatest(n_words, 1)), 20000) AS INTEGER) AS short_words FROM counts),
+    CAST(floor(1000.0 * n_symbols / greatest(word_chars, 1)) AS BIGINT) AS symbols,
+    CAST(floor(1000.0 * n_dup_lines / greatest(n_lines, 1)) AS BIGINT) AS dup_lines,
+    CAST(floor(1000.0 * n_repeat_words / greatest(n_words, 1)) AS BIGINT) AS repeats,
+    CAST(floor(100.0 * word_chars / greatest(n_words, 1)) AS BIGINT) AS long_words,
+    -CAST(floor(100.0 * word_chars / greatest(n_words, 1)) AS BIGINT) AS short_words FROM counts),
 good AS (SELECT * FROM vals WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
 long AS (UNPIVOT (SELECT stratum, symbols, dup_lines, repeats, long_words, short_words FROM good) ON symbols, dup_lines, repeats, long_words, short_words INTO NAME rule VALUE v),
 hist AS (SELECT stratum, rule, v, count(*) AS n FROM long GROUP BY ALL),
-sizes AS (SELECT stratum, CAST(sum(n) AS DOUBLE) AS n, (SELECT count(DISTINCT stratum) FROM vals) * 5 AS tests FROM hist WHERE rule = 'symbols' GROUP BY stratum),
-terms AS (SELECT stratum, tests, j, exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02 / 5) + (n - j) * ln(1 - 0.02 / 5)) AS p
-    FROM (SELECT *, unnest(generate_series(0, CAST(floor(n * 0.02 / 5) AS BIGINT))) AS j FROM sizes)),
-safe AS (SELECT stratum, max(j) AS k FROM (SELECT stratum, tests, j, sum(p) OVER (PARTITION BY stratum ORDER BY j) AS c FROM terms) WHERE c <= 0.05 / tests GROUP BY stratum),
+sizes AS (SELECT stratum, CAST(sum(n) AS DOUBLE) AS n, (SELECT count(DISTINCT stratum) FROM vals) * {rules} AS tests FROM hist WHERE rule = 'symbols' GROUP BY stratum),
+terms AS (SELECT stratum, tests, j, exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate} / {rules}) + (n - j) * ln(1 - {rate} / {rules})) AS p
+    FROM (SELECT *, unnest(generate_series(0, CAST(floor(n * {rate} / {rules}) AS BIGINT))) AS j FROM sizes)),
+safe AS (SELECT stratum, max(j) AS k FROM (SELECT stratum, tests, j, sum(p) OVER (PARTITION BY stratum ORDER BY j) AS c FROM terms) WHERE c <= {delta} / tests GROUP BY stratum),
 ranked AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY stratum, rule ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM hist),
 cuts AS (SELECT stratum, min(v) FILTER (rule = 'symbols') AS cut_symbols, min(v) FILTER (rule = 'dup_lines') AS cut_dup_lines, min(v) FILTER (rule = 'repeats') AS cut_repeats,
     min(v) FILTER (rule = 'long_words') AS cut_long_words, min(v) FILTER (rule = 'short_words') AS cut_short_words FROM ranked JOIN safe USING (stratum) WHERE above <= k GROUP BY stratum),
@@ -214,6 +217,8 @@ judged AS (SELECT v.*, c.* EXCLUDE (stratum), (NOT base_failed AND NOT coalesce(
     AND NOT coalesce(repeats > cut_repeats, false) AND NOT coalesce(long_words > cut_long_words, false) AND NOT coalesce(short_words > cut_short_words, false)) AS kept
     FROM vals v LEFT JOIN cuts c ON v.stratum = c.stratum)
 """
-SQL = "WITH " + _SQL_COUNTS.replace("{documents}", "documents") + """
+for _name, _value in {"documents": "documents", "rules": len(RULES), "rate": MAX_FALSE_REJECTION, "delta": DELTA}.items():
+    _SQL_COUNTS = _SQL_COUNTS.replace("{" + _name + "}", str(_value))
+SQL = "WITH " + _SQL_COUNTS + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cut_symbols, cut_dup_lines, cut_repeats, cut_long_words, cut_short_words FROM judged
 """

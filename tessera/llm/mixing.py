@@ -8,11 +8,15 @@ to the budget; the draw is a hash of the document's id and text, so it is the
 same in every run and for every partitioning.
 
 Cells up to DRIVER_CELLS are raked in numpy on the driver; more are raked as a
-staged table, by one aggregation per dimension and round.
+staged table, by one aggregation per dimension and round, to the same tolerance.
+
+A target names shares of values. What they leave of 1 goes to the values that
+aren't named, by their default shares; a dimension without a target has these
+for all its values.
 
 Nulls and edge cases: a null source or language is the value "und"; a null or
 empty text has no tokens, and its weight is its cell's; a cell without tokens
-has weight 1; targets of values that don't occur are spread over those that do;
+has weight 1; shares of values that don't occur are spread over those that do;
 empty tables give no rows; extra columns pass through where asked for.
 """
 
@@ -31,8 +35,8 @@ TEMPER = {"source": 0.7, "lang": 0.6, "topic": 0.8}
 BUDGET = 0.5
 ROUNDS = 200
 TOLERANCE = 1e-10
-#: Of the staged table, whose rounds cost jobs.
-TABLE_TOLERANCE = 1e-6
+#: Targets of the registered query.
+TARGETS = {"lang": {"en": 0.5, "de": 0.2}}
 DRIVER_CELLS = 200_000
 BROADCAST_CELLS = 200_000
 SEED = 17
@@ -66,6 +70,14 @@ def tempered(shares: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / total for k, v in raised.items()}
 
 
+def goal_shares(present: dict[str, float], named: dict[str, float] | None, power: float) -> dict[str, float]:
+    """Target shares of the values with tokens, before they are made to sum to 1."""
+    named = named or {}
+    rest = tempered({k: v for k, v in present.items() if k not in named}, power)
+    left = max(0.0, 1.0 - sum(named.values()))
+    return {k: named[k] if k in named else left * rest[k] for k in present}
+
+
 def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Fitted tokens per cell: shares of each dimension's values are those of targets (as far as a fit exists)."""
     total, fitted = tokens.sum(), tokens.astype(np.float64).copy()
@@ -114,9 +126,9 @@ def rake_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None, bu
         at = {v: k for k, v in enumerate(values)}
         c = np.array([at[r[d]] for r in rows], np.int64)
         shares = np.bincount(c, weights=tokens, minlength=len(values)) / max(tokens.sum(), 1.0)
-        wanted = (targets or {}).get(d) or tempered(dict(zip(values, shares.tolist())), TEMPER[d])
+        wanted = goal_shares(dict(zip(values, shares.tolist())), (targets or {}).get(d), TEMPER[d])
         codes.append(c)
-        goals.append(np.array([wanted.get(v, 0.0) for v in values]))
+        goals.append(np.array([wanted[v] for v in values]))
     fitted = rake(tokens, codes, goals) if rows else tokens
     weights = np.divide(fitted, tokens, out=np.ones_like(tokens), where=tokens > 0)
     rate = rate_for(tokens, weights, budget * tokens.sum()) if rows else 1.0
@@ -125,7 +137,7 @@ def rake_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None, bu
     return cells.sparkSession.createDataFrame(out, "source string, lang string, topic string, weight double, probability double")
 
 
-def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float, rounds: int = ROUNDS, tolerance: float = TABLE_TOLERANCE, keep_every: int = 1) -> DataFrame:
+def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE, keep_every: int = 1) -> DataFrame:
     """As rake_cells, for any number of cells: the cells stay a table, which is staged every few rounds."""
     spark = cells.sparkSession
     fit = staged(cells.withColumn("fitted", F.col("tokens").cast("double")), "rake")
@@ -133,10 +145,11 @@ def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, bu
     goals = {}
     for d in DIMENSIONS:
         share = fit.groupBy(d).agg(F.sum("tokens").alias("t")).filter("t > 0")
-        if targets and targets.get(d):
-            goal = share.join(spark.createDataFrame(list(targets[d].items()), f"{d} string, goal double"), d, "left").select(d, F.coalesce("goal", F.lit(0.0)).alias("goal"))
-        else:
-            goal = share.select(d, F.pow(F.col("t") / total, TEMPER[d]).alias("goal"))
+        given = (targets or {}).get(d) or {}
+        named = spark.createDataFrame(list(given.items()), f"{d} string, named double")
+        goal = share.join(F.broadcast(named), d, "left").withColumn("raised", F.when(F.col("named").isNull(), F.pow(F.col("t") / total, TEMPER[d])))
+        rest = goal.agg(F.sum("raised")).first()[0] or 1.0
+        goal = goal.select(d, F.coalesce("named", F.col("raised") * (max(0.0, 1.0 - sum(given.values())) / rest)).alias("goal"))
         whole = goal.agg(F.sum("goal")).first()[0] or 1.0
         goals[d] = staged(goal.withColumn("goal", F.col("goal") * (total / whole)), "rake-goal")
     for k in range(rounds):
@@ -155,21 +168,23 @@ def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, bu
     low, high = 0.0, 1.0
     while kept(high) < budget * total * (1 - 1e-12) and high < 1e12:
         low, high = high, high * 4
-    for _ in range(40):
+    for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if kept(mid) < budget * total else (low, mid)
     return fit.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"))
 
 
-def _drawn(df: DataFrame, targets, budget: float, id_col: str, text: str, topic_of, seed: int, driver_cells: int) -> DataFrame:
-    """The columns of df as a struct, __row, beside what is made here, so that no names clash."""
+def _drawn(df: DataFrame, carry: list[str], targets, budget: float, id_col: str, text: str, topic_of, seed: int, driver_cells: int) -> DataFrame:
+    """Some columns of df as a struct, __row, beside what is made here, so that no names clash. Rows without the text are staged, so that it is read once."""
     named = df.select(
-        F.struct(*df.columns).alias("__row"),
+        F.struct(*carry).alias("__row"),
         *[F.coalesce(F.col(c).cast("string"), F.lit("und")).alias(c) for c in ("source", "lang")],
         topic_of(F.col(text)).alias("topic"),
         word_count(F.col(text)).alias("n_tokens"),
         draw(F.col(id_col), F.crc32(text), seed=seed).alias("u"),
     )
+    if text not in carry:
+        named = staged(named, "mixing")
     cells = staged(cell_table(named), "cells")
     n = cells.count()
     fitted = rake_cells(cells, targets, budget) if n <= driver_cells else staged(rake_table(cells, targets, budget), "fitted")
@@ -180,15 +195,15 @@ def _drawn(df: DataFrame, targets, budget: float, id_col: str, text: str, topic_
 
 def mix(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text: str = "text", topic_of=topic, seed: int = SEED, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """One row per row of df: its id, source, lang, topic, n_tokens, weight, probability and sampled."""
-    out = _drawn(df, targets, budget, id_col, text, topic_of, seed, driver_cells)
+    out = _drawn(df, [id_col], targets, budget, id_col, text, topic_of, seed, driver_cells)
     return out.select(F.col(f"__row.{id_col}"), *DIMENSIONS, "n_tokens", "weight", "probability", "sampled")
 
 
 def sample(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text: str = "text", topic_of=topic, seed: int = SEED, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """The rows of df that the draw keeps, with the columns of df."""
-    return _drawn(df, targets, budget, id_col, text, topic_of, seed, driver_cells).filter("sampled").select("__row.*")
+    return _drawn(df, df.columns, targets, budget, id_col, text, topic_of, seed, driver_cells).filter("sampled").select("__row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weight, probability and draw of every document."""
-    return mix(documents(spark, sf_dir))
+    """Weight, probability and draw of every document, raked to TARGETS and default shares."""
+    return mix(documents(spark, sf_dir), TARGETS)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._common import documents, slices, staged
-from tessera.llm.components import connected_components
+from tessera.operators.graph import connected_components
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -379,6 +379,17 @@ def _links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return linked
 
 
+def _sets(texts: DataFrame) -> DataFrame:
+    """(key, s): the hashed shingles of each text (key, t), made once however many cells it goes to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["key", "s"])
+
+    return texts.select("key", "t").mapInArrow(run, "key binary, s binary")
+
+
 def _verify(cells: DataFrame, threshold: float) -> DataFrame:
     """For each set of a cell: the links it has there (counting copies), and a root within the cell for connectivity."""
 
@@ -387,14 +398,14 @@ def _verify(cells: DataFrame, threshold: float) -> DataFrame:
             group, x, y = (table.column(k).to_numpy() for k in range(3))
             start = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(group)]])
             block, keys, copies = table.column(3).to_numpy(), table.column(4).to_pylist(), table.column(5).to_numpy()
-            text = table.column(6)
+            sets = table.column(6)
             out_keys: list[bytes] = []
             out_links: list[int] = []
             out_roots: list[bytes] = []
             for lo, hi in zip(start[:-1].tolist(), start[1:].tolist()):
                 if hi - lo < 2:
                     continue
-                linked = _links([shingles(t.as_py()) for t in text[lo:hi]], threshold)
+                linked = _links([np.frombuffer(s.as_py(), np.uint64) for s in sets[lo:hi]], threshold)
                 if x[lo] != y[lo]:  # two blocks: pairs within each are another cell's
                     linked &= block[lo:hi, None] != block[None, lo:hi]
                 root = _parts(linked)
@@ -404,7 +415,7 @@ def _verify(cells: DataFrame, threshold: float) -> DataFrame:
                 out_roots += [own[r] for r in root.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.binary()), pa.array(out_links, pa.int64()), pa.array(out_roots, pa.binary())], ["key", "links", "root"])
 
-    ordered = cells.select("group", "x", "y", "block", "key", "copies", "t").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "key")
+    ordered = cells.select("group", "x", "y", "block", "key", "copies", "s").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "key")
     return ordered.mapInArrow(run, "key binary, links long, root binary")
 
 
@@ -421,7 +432,7 @@ def join(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
     texts = texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t"))
-    cells = members.join(texts, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = members.join(_sets(texts), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
     verified = staged(_verify(cells, threshold), "verified")
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
@@ -429,6 +440,7 @@ def join(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id
     info = reps.select("key", "least", "copies").join(links, "key", "left").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = info.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     info = info.join(named, "root").select("key", "root", "class_id", "class_size", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    info = staged(info, "texts")  # a plain side of the next join, of which a text with very many copies is then split
     out = signed.select("id", "key", F.col("tokens").isNotNull().alias("live")).join(info, "key", "left")
     return out.select(
         F.col("id").alias(id_col),

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from tessera.llm import attention_lm as lm
-from tessera.llm import bpe, chosen_path, components, language_id, licenses, mixing, quality, sharding, token_counts, topk
+from tessera.llm import bpe, chosen_path, language_id, licenses, mixing, quality, sharding, token_counts, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n_tokens int, row int, ids string, score string, stratum string, sampled string, tokens string"
 LONG = " ".join(f"word{i % 977}" for i in range(20_000))
@@ -92,6 +92,22 @@ def test_ids_as_array(docs, library):
     assert r.a == library.encode(r.text, add_special_tokens=False).ids
 
 
+def test_registered_token_queries_equal_the_library(spark, sf_dir, library):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    counted = entry.queries()["op2_token_counts"](spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in counted} == {i: (len(t.encode()), len(ids[i]), len(ids[i]) > 512) for i, t in texts.items()}
+    coded = entry.queries()["op7_bpe_encode_decode"](spark, sf_dir).collect()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {i: (len(x), sha(np.array(x, "<u4").tobytes()), sha(library.decode(x, skip_special_tokens=False).encode())) for i, x in ids.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in coded} == want and len(counted) == len(coded) == len(texts)
+
+
+def test_empty_tables_give_no_rows(docs, empty):
+    assert token_counts.count_tokens(empty).count() == 0 and licenses.scan(empty).count() == 0
+    assert lm.score(empty, lm.fit(empty, lm.word_counts(empty)), lm.word_counts(empty)).count() == 0
+
+
 @pytest.mark.parametrize("head", [0, 50, 1000])
 def test_token_counts(docs, library, head):
     out = token_counts.count_tokens(docs, head_entries=head, head_sample=1)
@@ -132,6 +148,53 @@ def test_licenses_on_edges(docs, duck):
     assert out.count() == len(TEXTS)
 
 
+def brute_force_labels(text, templates, threshold):
+    """Labels of blocks by comparison with every template: a line and the words that follow it."""
+    tokens, reach = licenses.template_tokens(templates), licenses.reaches(templates)
+    family = licenses.families(tokens, threshold)
+    words, out, at = licenses.template_words(text or ""), set(), 0
+    for line in (text or "").split("\n"):
+        n = len(licenses.template_words(line))
+        hits = {}
+        for k, t in tokens.items():
+            shared = len(set(t) & set(words[at : at + n + reach[k] - 1])) if n else 0
+            if shared >= threshold * len(t) - 1e-9:
+                hits[k] = shared / len(t)
+        out |= {k for k, x in hits.items() if x == max(y for j, y in hits.items() if family[j] == family[k] and reach[j] == reach[k])}
+        at += n
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_license_join_against_every_pair(spark, threshold):
+    r = random.Random(int(threshold * 10))
+    words = [f"w{i}" for i in range(40)]
+    templates = {f"t{k}": " ".join(r.choice(words) for _ in range(r.choice([1, 3, 6, 7, 20, 45]))) for k in range(12)} | {"blank": "..."}
+    texts = [None, "", "\n\n"]
+    for _ in range(80):
+        t = [r.choice(words + [f"x{i}" for i in range(200)]) for _ in range(r.randint(1, 60))]
+        for _ in range(r.randint(0, 2)):
+            own = licenses.template_words(r.choice(list(templates.values())))
+            own = [w for w in own if r.random() < 0.9]
+            at = r.randrange(len(t) + 1)
+            t[at:at] = own
+        texts.append("".join(w + r.choice("     \n") for w in t))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {x.doc_id: set(filter(None, x.labels.split(","))) for x in licenses.scan(d, templates, threshold, {}).collect()}
+    want = {i: brute_force_labels(t, templates, threshold) for i, t in enumerate(texts)}
+    assert got == want and sum(map(len, want.values())) > 20
+
+
+def test_wrapped_notices_and_siblings(spark):
+    t = licenses.TEMPLATES
+    wrap = lambda s, n: "\n".join(" ".join(s.split()[i : i + n]) for i in range(0, len(s.split()), n))
+    texts = [wrap(t["text:mit"], 9), "x y z " + wrap(t["text:apache-2.0"], 7), "Licensed under\nCC BY-SA\n4.0", "Licensed under the Apache License 2.0", wrap(t["template:bsd"], 6) + " provided", "Licensed under a licence"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {x.doc_id: x.labels for x in licenses.scan(d).collect()}
+    assert "text:mit" in got[0] and "text:apache-2.0" in got[1] and "template:apache-2.0" in got[1]
+    assert got[2] == "cc-by,template:cc-by-sa-4.0" and got[3] == "template:apache-2.0" and got[4] == "template:bsd" and got[5] == ""
+
+
 def test_repeats_cover_words(spark):
     t = ["a b c a b c", "a b c d a b c", "x x x x x", "a b", "a a a b", "l one\nl one\n\n \nl one"]
     d = spark.createDataFrame(list(enumerate(t)), "i int, text string")
@@ -186,6 +249,38 @@ def test_top_k_with_ties_and_bad_vectors(spark):
     assert topk.top_k(d.limit(0), q.limit(0)).count() == 0
 
 
+def test_top_k_of_components_that_overflow(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(100, [2e15, 1.0, -3e14, 0.5]), (101, [1e300, 0.0, 0.0, 1.0]), (102, [-1e300, 2.0, 0.0, 0.0]), (103, [1e16, 1e16, 0.0, 1.0]), (200, [-1.0, 0.5, 0.25, 3.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(d, d.filter("vec_id % 50 = 0"), 5, tree_rows=16, query_block=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = {i: topk._whole_numbers(v, 1024) for i, v in rows}
+    for q in (i for i in whole if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        assert sorted(got[q]) == [(n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best, 1)]
+
+
+def test_regions_leave_far_trees_alone(spark, monkeypatch):
+    """Crowded clusters far apart: most regions are excluded by their radii, and the result is that of all pairs."""
+    rng = np.random.default_rng(2)
+    v = (rng.normal(size=(12, 5)) * 8)[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 5)) * 0.05
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    met, search = [], topk._search
+    monkeypatch.setattr(topk, "TREE_ROWS", 50)
+    monkeypatch.setattr(topk, "_search", lambda pages, asked, *a: met.append((pages.select("tree").distinct().count(), asked.count())) or search(pages, asked, *a))
+    got = {}
+    for r in topk.top_k(d, d.filter("vec_id % 50 = 0"), 7, tree_rows=50).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    w = np.floor(1024 * v).astype(np.int64)
+    for q in range(0, 1500, 50):
+        best = sorted((-int(w[q] @ w[i]), i) for i in range(1500) if i != q)[:7]
+        assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    trees, pairs = met[1]
+    assert trees >= 30 and pairs < 0.5 * 30 * trees
+
+
 # --- near duplicates ---------------------------------------------------------
 
 
@@ -202,12 +297,12 @@ def classes(texts, threshold=0.8):
     return root, [len(links[i]) for i in range(len(g))]
 
 
-def check_join(spark, texts, **kw):
+def check_join(spark, texts, threshold=0.8):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted((r.doc_id, r.class_id, r.n_links) for r in chosen_path.join(d, **kw).collect())
-    root, n = classes(texts)
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in chosen_path.join(d, threshold).collect())
+    root, n = classes(texts, threshold)
     assert got == [(i, root[i], n[i]) for i in range(len(texts))]
-    kept = [r.doc_id for r in chosen_path.keep_one(d).collect()]
+    kept = [r.doc_id for r in chosen_path.keep_one(d, threshold=threshold).collect()]
     wordless = {i for i, t in enumerate(texts) if not (t or "").split()}
     assert sorted(kept) == sorted({r for r in root} | wordless)
 
@@ -226,6 +321,21 @@ def test_join_against_brute_force(spark):
     check_join(spark, texts)
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_join_at_other_thresholds_with_split_buckets(spark, monkeypatch, threshold):
+    """Pairs just over the threshold among many quotes of the same passages, in buckets that are split down to the last depth."""
+    monkeypatch.setattr(chosen_path, "BUCKET", 12)
+    monkeypatch.setattr(chosen_path, "CELL_SETS", 12)
+    r, texts = random.Random(11), []
+    own = lambda n: [f"u{r.random()}" for _ in range(n)]
+    for p in range(10):
+        passage = [f"p{p}w{i}" for i in range(60)]
+        texts += [" ".join([*passage, *own(70)]) for _ in range(14)]
+        shared = int(60 * (1 - threshold) / (2 * threshold) * 0.8)
+        texts += [" ".join([*passage, *own(shared)]) for _ in range(2)]
+    check_join(spark, texts, threshold)
+
+
 def test_join_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "BUCKET", 20)
     monkeypatch.setattr(chosen_path, "BLOCK_SETS", 30)
@@ -285,12 +395,6 @@ def test_join_on_edges(spark, docs, empty):
     assert Counter(r.text for r in kept.collect())[LONG] == 1 and Counter(r.text for r in kept.collect())[near(1)] == 1
 
 
-def test_components_of_a_path(spark):
-    e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
-    got = {r.node: r.root for r in components.connected_components(e, "a", "b").collect()}
-    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
-
-
 # --- sharding ----------------------------------------------------------------
 
 
@@ -299,12 +403,38 @@ def test_shards(spark, sf_dir, docs, empty):
     assert len(out) == out.doc_id.nunique()
     for _, g in out.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    loads, shards_of = Counter(), {}
+    for r in out.itertuples():
+        assert r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) and r.size == len((texts[r.doc_id] or "").encode()) + 1
+        loads[r.shard] += r.size
+        shards_of.setdefault(texts[r.doc_id], set()).add(r.shard)
+    largest = max(out.groupby("vslot")["size"].sum())
+    assert max(loads.values()) - min(loads.values()) <= largest
+    small = {t for t in texts.values() if sum(len(t.encode()) + 1 for x in texts.values() if x == t) * 16 * sharding.GROUP_SHARE <= sum(loads.values())}
+    assert all(len(shards_of[t]) == 1 for t in small)
     d = docs.select("doc_id", "text")
     got = sharding.shard(d, 4).collect()
     assert Counter((r["size"], r.text_crc32) for r in got) == Counter((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in TEXTS)
     assert sharding.shard(empty, 4).count() == 0
 
 
+def test_a_hot_text_is_dealt_and_the_map_is_edited(spark, tmp_path):
+    rows = [(i % 3, "hot text " * 5) for i in range(4000)] + [(i, f"text {i % 400} " * (1 + i % 7)) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "maps")
+    out = sharding.shard(d, 8, map_path=path).toPandas()
+    loads = out.groupby("shard")["size"].sum()
+    assert len(loads) == 8 and loads.max() < 1.02 * loads.mean() and out.groupby(["text_crc32"]).shard.nunique().max() == 8
+    assert (out[out.text_crc32 != zlib.crc32(("hot text " * 5).encode())].groupby("text_crc32").shard.nunique() == 1).mean() > 0.9
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    again = sharding.shard(d.filter("doc_id < 2500"), 8, map_path=path)
+    assert again.count() == d.filter("doc_id < 2500").count()
+    first, last = sharding.SlotMap.load(spark, path, 1), sharding.SlotMap.load(spark, path)
+    assert last.version >= 1 and sum(a != b for a, b in zip(first.shard_of, last.shard_of)) < 1000
+
+
 def test_slot_map_versions(spark, tmp_path):
     r = random.Random(2)
     size = [r.randint(1, 1000) for _ in range(512)]
@@ -343,11 +473,52 @@ def test_raking_on_driver_and_as_a_table(spark):
     r = random.Random(5)
     rows = [(f"s{i}", f"l{j}", f"t{k}", r.randint(0, 900), 1) for i in range(3) for j in range(2) for k in range(2)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, n long")
-    both = [{(x.source, x.lang, x.topic): x.probability for x in f(cells, None, 0.4).collect()} for f in (mixing.rake_cells, mixing.rake_table)]
-    assert both[0] == pytest.approx(both[1], abs=1e-4)
+    both = [{(x.source, x.lang, x.topic): x.probability for x in f(cells, {"lang": {"l0": 0.7, "none": 0.1}}, 0.4).collect()} for f in (mixing.rake_cells, mixing.rake_table)]
+    assert both[0] == pytest.approx(both[1], abs=1e-8)
     assert sum(p * t for (*_, t, _), p in zip(rows, [both[0][x[:3]] for x in rows])) == pytest.approx(0.4 * sum(x[3] for x in rows))
 
 
+def test_op3_query_against_loops(spark, sf_dir):
+    """Every row of the registered query: cells, raking and the draw in plain Python."""
+    rows = {r.doc_id: r for r in entry.queries()["op3_mixing"](spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert rows.keys() == {d.doc_id for d in docs}
+    cells = Counter()
+    for d in docs:
+        r = rows[d.doc_id]
+        assert (r.source, r.lang) == (d.source or "und", d.lang or "und") and r.n_tokens == len([w for w in (d.text or "").encode().split()])
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    total = sum(cells.values())
+    goals = []
+    for k, name in enumerate(mixing.DIMENSIONS):
+        now = Counter()
+        for c, n in cells.items():
+            now[c[k]] += n / total
+        named = mixing.TARGETS.get(name, {})
+        raised = {v: x ** mixing.TEMPER[name] for v, x in now.items() if v not in named}
+        left = 1 - sum(named.values())
+        goal = {v: named.get(v, left * raised.get(v, 0) / (sum(raised.values()) or 1)) for v in now}
+        goals.append({v: x / sum(goal.values()) * total for v, x in goal.items()})
+    fitted = {c: float(n) for c, n in cells.items()}
+    for _ in range(400):
+        for k, goal in enumerate(goals):
+            now = Counter()
+            for c, n in fitted.items():
+                now[c[k]] += n
+            fitted = {c: n * goal[c[k]] / now[c[k]] for c, n in fitted.items()}
+    weight = {c: fitted[c] / cells[c] for c in cells}
+    lo, hi = 0.0, 1e6
+    for _ in range(200):
+        rate = (lo + hi) / 2
+        lo, hi = (rate, hi) if sum(min(1, rate * weight[c]) * cells[c] for c in cells) < mixing.BUDGET * total else (lo, rate)
+    for d in docs:
+        r = rows[d.doc_id]
+        w = weight[r.source, r.lang, r.topic]
+        u = zlib.crc32(f"{mixing.SEED}:{d.doc_id}:{zlib.crc32((d.text or '').encode())}".encode()) / 2**32
+        assert r.weight == pytest.approx(w, rel=1e-6) and r.probability == pytest.approx(min(1, lo * w), rel=1e-6)
+        assert r.sampled == (u < r.probability)
+
+
 def test_mixing_rows(spark, sf_dir, docs, empty):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     a = {r.doc_id: (r.probability, r.sampled) for r in mixing.mix(d).collect()}
@@ -512,7 +683,7 @@ def test_the_network_sees_every_window_of_distinct_texts(spark, monkeypatch):
     seen = []
     trained = lm._trained_apart
     workers = []
-    monkeypatch.setattr(lm, "_trained_apart", lambda *a: workers.append(a[0].select("worker").distinct().count()) or seen.append((out := trained(*a))[1]) or out)
+    monkeypatch.setattr(lm, "_trained_apart", lambda *a: workers.append(a[0].rdd.getNumPartitions()) or seen.append((out := trained(*a))[1]) or out)
     model = lm.fit(d, lm.word_counts(d))
     ids = lm.Subwords(model.path)
     inputs, first, target, live, _ = lm.windows([ids.ids(lm.words_of(t)) for t in sorted(set(texts))], model.vocabulary)
@@ -523,6 +694,42 @@ def test_the_network_sees_every_window_of_distinct_texts(spark, monkeypatch):
     assert loss[1] < loss[0]
 
 
+def test_held_out_score_beats_the_word_model(spark):
+    """On held-out texts of sf0.01, of the registered query; and single texts against a forward pass written out for one place after the other."""
+    rows = entry.queries()["op10_attention_lm"](spark, "/root/testdata/sf0.01").toPandas()
+    held = rows[rows.held_out]
+    assert len(held) > 100 and held.score.sum() > 1.02 * held.base_score.sum()
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    counts = lm.staged(lm.word_counts(d), "t")
+    model = lm.fit(d, counts)
+    w, v, sub = {k: x.astype(np.float64) for k, x in model.network.w.items()}, model.vocabulary, lm.Subwords(model.path)
+    got = {r.doc_id: r.score for r in lm.score(d, model, counts).collect()}
+    for r in d.limit(4).collect():
+        ids = sub.ids(lm.words_of(r.text))
+        before, total = [0, *v.input_of[ids[:-1]].tolist()], 0.0
+        for at, i in enumerate(ids.tolist()):
+            begin = at // lm.STRIDE * lm.STRIDE - lm.CONTEXT
+            see = range(max(0, begin), at + 1)
+            x = np.stack([w["embed"][before[k]] + w["place"][k - begin] for k in see])
+            q = x[-1] @ w["q"] / math.sqrt(lm.WIDTH)
+            a = np.exp(x @ w["k"] @ q)
+            h = x[-1] + (a / a.sum()) @ (x @ w["v"]) @ w["o"]
+            f = h + np.maximum(h @ w["up"] + w["bias"], 0) @ w["down"]
+            g, m = divmod(int(v.class_of[i]), lm.MEMBERS)
+            groups, members = f @ w["group"] + w["group_bias"], f @ w["member"][g] + w["member_bias"][g]
+            total += groups[g] - np.log(np.exp(groups).sum()) + members[m] - np.log(np.exp(members).sum()) + v.log_share[i]
+        assert got[r.doc_id] == pytest.approx(total / math.log(10), rel=1e-4)
+
+
+def test_words_of_other_texts_only_are_in_the_head(spark):
+    d = spark.createDataFrame([(i, "rare word here" if i % 2 else "often " * 50) for i in range(40)], "doc_id long, text string")
+    counts = lm.staged(lm.word_counts(d, train=F.col("doc_id") % 2 == 1), "t")
+    assert {bytes(r.word).decode(): (r.c, r.n) for r in counts.collect()} == {"rare": (20, 20), "word": (20, 20), "here": (20, 20), "often": (0, 1000)}
+    model = lm.fit(d.filter("doc_id % 2 = 1"), counts, head=1)
+    assert model.head == {b"often": 0} and model.n_distinct == 4 and model.n_tokens == 80
+    assert {r.n_known for r in lm.score(d, model, counts).collect()} == {1, 4}
+
+
 def test_no_training_texts(spark, docs):
     counts = lm.staged(lm.word_counts(docs.limit(0)), "t")
     out = lm.score(docs, lm.fit(docs.limit(0), counts), counts).collect()
@@ -569,5 +776,5 @@ def test_pipeline_on_edges(spark, docs, empty, tmp_path):
 
 def test_extra_columns_clash_with_nothing(docs):
     model = language_id.fit(docs.select(F.lit("ein kleiner Hund").alias("text"), F.lit("de").alias("lang")).unionByName(docs.select(F.lit("a small dog").alias("text"), F.lit("en").alias("lang"))))
-    for out in (licenses.scan(docs), quality.judge(docs, docs.select("doc_id", F.lit(1).alias("quality"))), sharding.shard(docs), mixing.mix(docs), chosen_path.join(docs), language_id.predict(docs, model), token_counts.count_tokens(docs)):
+    for out in (licenses.scan(docs), quality.judge(docs, docs.select("doc_id", F.lit(1).alias("quality"))), sharding.shard(docs), mixing.mix(docs), chosen_path.join(docs), language_id.predict(docs, model), token_counts.count_tokens(docs), bpe.decode(bpe.encode(docs.withColumn("decoded", F.lit(1)))), lm.score(docs, lm.fit(docs.limit(0), lm.word_counts(docs.limit(0))), lm.word_counts(docs))):
         assert out.count() == len(TEXTS)

@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
-columns of documents.
+columns of documents, further ones included.
+
+Nulls and edge cases: an empty table passes all stages and stays empty; repeated
+rows are judged alike, and one of them is left by near_duplicates; rows with a
+null id take part like others. What each stage does with null, empty and very
+long texts and with ties stands with it. No stage cuts a text.
 """
 
 from __future__ import annotations
@@ -18,12 +23,21 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or a cutoff calibrated on labelled good documents, go."""
+    """Documents that fail the base rules, or a cutoff calibrated on labelled good documents, go.
+
+    A null or empty text has no words, fails the base rules and goes. A value equal to its cutoff stays. Documents whose
+    language is null are a stratum of their own. Without labels only the base rules apply.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a clear language go; lang becomes the predicted one."""
+    """Documents without a clear language go; lang becomes the predicted one.
+
+    The model learns from the stage's own documents with a language, as this relabels them rather than measures itself. A
+    null text, or one without letters, has no language and goes; so do all, if no document has a language to learn from.
+    Of equally likely languages the first in alphabetical order is taken.
+    """
     model = language_id.fit(docs)
     rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.struct(*docs.columns).alias("__row"))
     found = language_id.predict(rows, model, "__id", "__text", carry=["__row"])
@@ -32,17 +46,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents linked by shingle similarity, the one with the least id stays."""
+    """Of each class of documents linked by shingle similarity, the one with the least id stays.
+
+    Null texts and texts without words link with nothing and stay. If several rows have the least id, one of them stays;
+    if all ids of a class are null, one of its rows.
+    """
     return chosen_path.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by raked weights of sources, languages and topics."""
+    """A sample by raked weights of sources, languages and topics.
+
+    Null sources and languages are the value "und". A document without words is kept by its cell's probability. The draw
+    is a hash of id and text, so that repeated rows are kept or dropped together, in every run alike.
+    """
     return mixing.sample(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, decoded again; digests of both."""
+    """Token ids of each document, decoded again; digests of both. A null text is encoded as an empty one: no ids."""
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
     return bpe.with_digests(bpe.decode(encoded))
 

@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.errors import InputValidationError
 from tessera.operators import quality
 from tessera.operators.base import number, numeric_columns
 from tessera.operators.selection import _linear, prune_correlated
@@ -217,15 +218,53 @@ class FeatureAgent:
 
 
 class Advisor:
-    """Settings from a callable (for example a language model behind an API) or from the heuristic rules."""
+    """Settings from a client (for example a language model behind an API), or from the heuristic rules without one.
 
-    def __init__(self, recommend=None, family: str = "tree"):
-        self.recommend, self.family = recommend, family
+    The client is a callable that gets the request (a summary of the table and the settings it may change) and returns
+    settings as a dict, or a text that holds them as JSON. A reply that can't be read is asked for again up to `retries`
+    times; then, or if the client fails, it is an error, or the heuristic rules if fall_back is set.
+    """
+
+    def __init__(self, recommend=None, family: str = "tree", retries: int = 1, fall_back: bool = False):
+        self.recommend, self.family, self.retries, self.fall_back = recommend, family, retries, fall_back
+
+    @staticmethod
+    def request(fp: quality.DatasetFingerprint, cfg: Settings) -> dict:
+        return {"task": "Choose settings for feature engineering. Reply with one JSON object of the settings to change.", "table": dataclasses.asdict(fp), "settings": cfg.model_dump()}
+
+    @staticmethod
+    def parse(reply: dict | str) -> dict:
+        """The known settings of a reply: of a text, of its first JSON object."""
+        if isinstance(reply, str):
+            decoder, found = json.JSONDecoder(), None
+            for at in (i for i, c in enumerate(reply) if c == "{"):
+                try:
+                    found = decoder.raw_decode(reply, at)[0]
+                    break
+                except json.JSONDecodeError:
+                    continue
+            reply = found
+        if not isinstance(reply, dict):
+            raise InputValidationError("no settings in the reply")
+        return {k: v for k, v in reply.items() if k in Settings.model_fields}
+
+    def strategy(self, fp: quality.DatasetFingerprint, cfg: Settings) -> FeatureStrategy:
+        if not self.recommend:
+            return heuristic_strategy(fp, self.family)
+        failure: Exception | None = None
+        for _ in range(1 + self.retries):
+            try:
+                s = FeatureStrategy("advised", self.parse(self.recommend(self.request(fp, cfg))))
+                apply_strategy(cfg, s)
+                return s
+            except Exception as e:  # whatever the client raises, or settings refuse
+                failure = e
+        if not self.fall_back:
+            raise failure
+        return heuristic_strategy(fp, self.family)
 
     def __call__(self, df: DataFrame, label: str, cfg: Settings) -> Settings:
-        fp = quality.fingerprint(df, label)
-        s = FeatureStrategy("advised", self.recommend(dataclasses.asdict(fp))) if self.recommend else heuristic_strategy(fp, self.family)
-        return apply_strategy(cfg, s)
+        return apply_strategy(cfg, self.strategy(quality.fingerprint(df, label), cfg))
 
 
 class FeatureEngineeringPlanner:

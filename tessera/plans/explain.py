@@ -130,12 +130,84 @@ def importance_ranking(importances: dict[str, float]) -> list[tuple[str, float]]
     return sorted(importances.items(), key=lambda x: (-abs(x[1]), x[0]))
 
 
-def html_report(title: str, sections: dict[str, list[dict] | str]) -> str:
-    """A page of tables; values are escaped."""
+@dataclasses.dataclass
+class Figure:
+    """A drawing in SVG, as a section of a report."""
+
+    svg: str
+
+
+def _svg(width: float, height: float, parts: list[str]) -> Figure:
+    return Figure(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}" font-family="sans-serif" font-size="11">' + "".join(parts) + "</svg>")
+
+
+def draw_bars(rows: list[tuple[str, float]], width: float = 420) -> Figure:
+    """Labelled horizontal bars: counts of values, or shares of missing ones."""
+    top, parts = max((abs(v) for _, v in rows), default=0) or 1, []
+    for i, (name, v) in enumerate(rows):
+        parts.append(f'<text x="0" y="{i * 16 + 11}">{html.escape(str(name)[:24])}</text><rect x="150" y="{i * 16 + 2}" width="{(width - 210) * abs(v) / top:.1f}" height="11" fill="#4878a8"/><text x="{155 + (width - 210) * abs(v) / top:.1f}" y="{i * 16 + 11}">{v:g}</text>')
+    return _svg(width, 16 * len(rows) + 4, parts)
+
+
+def draw_histogram(rows: list[tuple[float, float, int]], width: float = 420, height: float = 140) -> Figure:
+    """Bars over (lo, hi, n)."""
+    rows = sorted(rows)
+    if not rows:
+        return _svg(width, height, [])
+    lo, hi, top = rows[0][0], max(r[1] for r in rows), max(r[2] for r in rows)
+    x = lambda v: width * (v - lo) / ((hi - lo) or 1)
+    parts = [f'<rect x="{x(a):.1f}" y="{(height - 20) * (1 - n / top):.1f}" width="{max(1.0, x(b) - x(a) - 1):.1f}" height="{(height - 20) * n / top:.1f}" fill="#4878a8"/>' for a, b, n in rows]
+    return _svg(width, height, [*parts, f'<text x="0" y="{height - 5}">{lo:g}</text><text x="{width}" y="{height - 5}" text-anchor="end">{hi:g}</text>'])
+
+
+def draw_boxes(rows: list[tuple[str, float, float, float, float, float]], width: float = 420) -> Figure:
+    """A box for each (name, min, q1, median, q3, max), each on its own scale."""
+    parts = []
+    for i, (name, a, q1, m, q3, b) in enumerate(rows):
+        x = lambda v, a=a, b=b: 150 + (width - 160) * (v - a) / ((b - a) or 1)
+        y = i * 22 + 4
+        parts.append(f'<text x="0" y="{y + 11}">{html.escape(str(name)[:24])}</text><line x1="{x(a):.1f}" x2="{x(b):.1f}" y1="{y + 7}" y2="{y + 7}" stroke="#333"/><rect x="{x(q1):.1f}" y="{y}" width="{max(1.0, x(q3) - x(q1)):.1f}" height="14" fill="#a8c4e0" stroke="#333"/><line x1="{x(m):.1f}" x2="{x(m):.1f}" y1="{y}" y2="{y + 14}" stroke="#333" stroke-width="2"/>')
+    return _svg(width, 22 * len(rows) + 4, parts)
+
+
+def draw_correlations(rows: list[tuple[str, str, float]]) -> Figure:
+    """A square for each pair of columns, red for positive and blue for negative correlations."""
+    names = sorted({x for a, b, _ in rows for x in (a, b)})
+    value = {**{(a, b): r for a, b, r in rows}, **{(b, a): r for a, b, r in rows}, **{(c, c): 1.0 for c in names}}
+    parts = []
+    for i, a in enumerate(names):
+        parts.append(f'<text x="0" y="{i * 18 + 13}">{html.escape(a[:18])}</text>')
+        for j, b in enumerate(names):
+            r = value.get((a, b)) or 0.0
+            fade = int(255 * (1 - min(1.0, abs(r))))
+            parts.append(f'<rect x="{120 + j * 18}" y="{i * 18}" width="17" height="17" fill="rgb({255 if r > 0 else fade},{fade},{fade if r > 0 else 255})"><title>{html.escape(a)}, {html.escape(b)}: {r:.3f}</title></rect>')
+    return _svg(130 + 18 * len(names), 18 * len(names) + 4, parts)
+
+
+def figures(df: DataFrame, most_numeric: int = 6, most_counts: int = 6) -> dict[str, Figure]:
+    """Missing shares, boxes, histograms, counts and correlations: Spark makes the tables, this draws them. The first few columns of each kind are drawn."""
+    from tessera.operators.aggregate import correlation_matrix
+    from tessera.operators.base import string_columns
+
+    nums, texts = numeric_columns(df)[:most_numeric], string_columns(df)[:most_counts]
+    out = {"Missing": draw_bars([(r["column"], r.missing_rate) for r in missingness(df).collect()])}
+    if nums:
+        out["Boxes"] = draw_boxes([tuple(r) for r in five_numbers(df, nums).collect()])
+    out |= {f"Histogram of {c}": draw_histogram([(r.lo, r.hi, r.n) for r in histogram(df, c).collect()]) for c in nums}
+    out |= {f"Values of {c}": draw_bars([(r.value, r.n) for r in top_counts(df, c).collect()]) for c in texts}
+    if len(nums) > 1:
+        out["Correlations"] = draw_correlations([tuple(r) for r in correlation_matrix(df.select(*nums)).collect()])
+    return out
+
+
+def html_report(title: str, sections: dict[str, list[dict] | str | Figure]) -> str:
+    """A page of tables and figures; values are escaped."""
     out = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><style>body{{font-family:sans-serif;margin:2em}}td,th{{padding:2px 8px;border-bottom:1px solid #ccc;text-align:left}}</style><h1>{html.escape(title)}</h1>"]
     for name, body in sections.items():
         out.append(f"<h2>{html.escape(name)}</h2>")
-        if isinstance(body, str):
+        if isinstance(body, Figure):
+            out.append(body.svg)
+        elif isinstance(body, str):
             out.append(f"<p>{html.escape(body)}</p>")
         elif body:
             cols = list(body[0])
@@ -144,12 +216,14 @@ def html_report(title: str, sections: dict[str, list[dict] | str]) -> str:
 
 
 class ReportBuilder:
-    def build(self, insights, out_path: str) -> str:
+    def build(self, insights, out_path: str, df: DataFrame | None = None) -> str:
+        """The report of a table's insights; with the table itself, figures too."""
         page = html_report("Data report", {
             "Summary": f"{insights.n_rows} rows, {insights.task}",
             "Issues": [dataclasses.asdict(i) for i in insights.issues],
             "Columns": [dataclasses.asdict(p) for p in insights.profiles],
             "Correlations": [{"a": a, "b": b, "r": r} for a, b, r in insights.correlations],
+            **(figures(df) if df is not None else {}),
         })
         with open(out_path, "w", encoding="utf-8") as f:
             f.write(page)

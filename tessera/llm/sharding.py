@@ -32,7 +32,7 @@ from tessera.llm._common import documents, shared_dir, staged
 
 VIRTUAL_SLOTS = 4096
 SHARDS = 16
-GROUP_SHARE = 64
+GROUP_SHARE = 16
 
 
 @dataclasses.dataclass(frozen=True)

@@ -113,12 +113,12 @@ class BinnedInteractions(Operator):
 
 
 class FormulaFeatures(Operator):
-    """Named SQL formulas."""
+    """Named formulas: SQL text, or functions of the table that give a column (a user's Python or pandas function among them; these can't be saved)."""
 
     defaults = {"formulas": None}
 
     def apply(self, df, state, tables):
-        return add(df, {name: F.expr(e) for name, e in (self.formulas or {}).items()})
+        return add(df, {name: e(df) if callable(e) else F.expr(e) for name, e in (self.formulas or {}).items()})
 
 
 def build_interaction_pipeline(arithmetic: bool = True, polynomial: bool = False, ratios: bool = True, products: bool = False, categorical_numeric: bool = True, binned: bool = False, formulas: dict | None = None) -> list[tuple[str, Operator]]:

@@ -75,15 +75,71 @@ def second_moments(df: DataFrame, xs: list[Column]):
     return v["n"], m
 
 
+def affinities(d2, perplexity: float):
+    """Rows of weights exp(-d2 / scale) that sum to 1, each with a scale that gives it this perplexity (by bisection)."""
+    import numpy as np
+
+    d2 = d2 - d2.min(axis=1, keepdims=True)
+    lo, hi, beta = np.zeros(len(d2)), np.full(len(d2), np.inf), np.ones(len(d2))
+    goal = np.log(perplexity)
+    for _ in range(60):
+        p = np.exp(-d2 * beta[:, None])
+        total = p.sum(axis=1)
+        entropy = np.log(total) + beta * (d2 * p).sum(axis=1) / total
+        wide = entropy > goal
+        lo, hi = np.where(wide, beta, lo), np.where(wide, hi, beta)
+        beta = np.where(np.isinf(hi), beta * 2, (lo + hi) / 2)
+    p = np.exp(-d2 * beta[:, None])
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def embed_neighbours(x, n_components: int, perplexity: float, rounds: int = 500):
+    """A t-distributed neighbour embedding of few rows: gradient descent on the divergence of all pairs' similarities, from the first principal components."""
+    import numpy as np
+
+    n = len(x)
+    squares = lambda a: np.maximum(0.0, (a**2).sum(1)[:, None] + (a**2).sum(1)[None] - 2 * a @ a.T)
+    d2 = squares(x)
+    np.fill_diagonal(d2, np.inf)
+    with np.errstate(invalid="ignore"):
+        p = affinities(np.where(np.isinf(d2), d2[np.isfinite(d2)].max(initial=0.0) * 1e3 + 1e3, d2), perplexity)
+    np.fill_diagonal(p, 0.0)
+    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    y = np.zeros((n, n_components))
+    k = min(n_components, len(s))
+    y[:, :k] = u[:, :k] * s[:k]
+    y *= 1e-4 / (y[:, 0].std() or 1.0)
+    step, gain = np.zeros_like(y), np.ones_like(y)
+    rate = max(50.0, n / 12)
+    for r in range(rounds):
+        q = 1.0 / (1.0 + squares(y))
+        np.fill_diagonal(q, 0.0)
+        w = (p * (12.0 if r < 125 else 1.0) - np.maximum(q / q.sum(), 1e-12)) * q
+        grad = 4 * (w.sum(1)[:, None] * y - w @ y)
+        gain = np.maximum(0.01, np.where(np.sign(grad) != np.sign(step), gain + 0.2, gain * 0.8))
+        step = (0.5 if r < 125 else 0.8) * step - rate * gain * grad
+        y = y + step
+        y -= y.mean(0)
+    return y
+
+
 class DimensionalityReducer(Operator):
-    """pca, svd (no centring) or lda (supervised) as projections; tsne, umap and autoencoder need a backend of their own."""
+    """pca, svd (no centring) or lda (supervised) as projections; tsne; umap and autoencoder need a backend of their own.
+
+    tsne embeds at most sample_rows rows (those of least hash), the documented bound of this method, whose cost is that of
+    all pairs. The embedding is kept: rows are placed at the mean of the sampled rows near them, weighted as the method
+    weights neighbours, at fit and later alike.
+    """
 
-    defaults = {"columns": None, "method": "pca", "n_components": None, "variance": None, "whiten": False, "keep_original": True, "scale_features": True, "label_col": None, "feature_prefix": "reduced", "backend": None, "random_state": 42}
+    defaults = {"columns": None, "method": "pca", "n_components": None, "variance": None, "whiten": False, "keep_original": True, "scale_features": True, "label_col": None, "feature_prefix": "reduced", "backend": None, "perplexity": 30.0, "sample_rows": 2000, "random_state": 42}
 
     def check(self):
         if self.method not in ("pca", "svd", "lda", "tsne", "umap", "autoencoder"):
             raise ConfigurationError("unknown method", method=self.method)
-        if self.method in ("tsne", "umap", "autoencoder") and self.backend is None:
+        if self.method == "tsne" and (self.n_components or 2) > 3:
+            raise ConfigurationError("tsne has three components at most", n_components=self.n_components)
+        if self.method in ("umap", "autoencoder") and self.backend is None:
             raise MissingBackendError(f"{self.method} is not distributed; pass backend(df, columns, n_components)", method=self.method)
 
     def learn(self, df):
@@ -97,6 +153,12 @@ class DimensionalityReducer(Operator):
         want = self.n_components or min(10, max(1, len(cols) // 2))
         if self.method == "lda":
             return self._lda(df, state, want), {}
+        if self.method == "tsne":
+            rows = df.select(F.array(*scaled(cols, scale)).alias("x")).distinct().orderBy(F.xxhash64("x", F.lit(self.random_state)), "x").limit(self.sample_rows)
+            x = np.array([r.x for r in rows.collect()], float).reshape(-1, len(cols))
+            perplexity = max(1.0, min(self.perplexity, (len(x) - 1) / 3))
+            y = embed_neighbours(x, self.n_components or 2, perplexity) if len(x) > 3 else np.zeros((len(x), self.n_components or 2))
+            return {**state, "perplexity": perplexity, "n": y.shape[1]}, {"sample": df.sparkSession.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)], "x array<double>, y array<double>")}
         n, m = second_moments(df, scaled(cols, scale, centre=self.method == "pca"))
         values, vectors = np.linalg.eigh(m / max(n - (self.method == "pca"), 1))
         order = np.argsort(-values)
@@ -110,6 +172,29 @@ class DimensionalityReducer(Operator):
             comp = comp / np.sqrt(np.maximum(values[: len(comp)], 1e-12))[:, None]
         return {**state, "components": comp.tolist(), "explained": share[: len(comp)].tolist()}, {}
 
+    def _placed(self, df, state, sample):
+        import numpy as np
+        import pandas as pd
+
+        rows = sample.collect()  # at most sample_rows
+        x, y = np.array([r.x for r in rows], float), np.array([r.y for r in rows], float).reshape(len(rows), -1)
+        perplexity = state["perplexity"]
+
+        def place(points):
+            out = []
+            z = np.stack(points.to_numpy()) if len(points) else np.zeros((0, x.shape[1]))
+            for lo in range(0, len(z), 256):
+                d2 = np.maximum(0.0, (z[lo : lo + 256] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * z[lo : lo + 256] @ x.T)
+                same = d2 <= 1e-9
+                w = np.where(same.any(1, keepdims=True), same, affinities(d2, perplexity))
+                out += list((w / w.sum(1, keepdims=True)) @ y)
+            return pd.Series(out)
+
+        place.__annotations__ = {"points": pd.Series, "return": pd.Series}  # real types: text annotations aren't resolved here
+        placed = F.pandas_udf(place, "array<double>")(F.array(*scaled(state["columns"], state["scale"]))) if rows else F.array(*[F.lit(0.0)] * state["n"])
+        d = df.withColumn("__y", placed)
+        return add(d, {f"{self.feature_prefix}_{i}": F.col("__y")[i] for i in range(state["n"])}).drop("__y")
+
     def _lda(self, df, state, want):
         import numpy as np
 
@@ -134,6 +219,8 @@ class DimensionalityReducer(Operator):
         cols = state["columns"]
         if self.backend is not None:
             out = self.backend(df, cols, self.n_components)
+        elif self.method == "tsne":
+            out = self._placed(df, state, tables["sample"])
         else:
             out = project(df, scaled(cols, state["scale"], centre=self.method != "svd"), state["components"], self.feature_prefix)
         return out if self.keep_original else out.drop(*cols)
@@ -160,16 +247,20 @@ class MultiMethodDimensionalityReducer(Operator):
 
     def learn(self, df):
         cols = chosen(df, self.columns, numeric_columns(df, [self.label_col] if self.label_col else None))
-        out, skipped = {}, {}
+        out, tables, skipped = {}, {}, {}
         for m in self.methods:
             try:
-                out[m] = DimensionalityReducer(columns=cols, method=m, n_components=self.n_components, label_col=self.label_col, scale_features=self.scale_features).learn(df)[0]
+                out[m], t = DimensionalityReducer(columns=cols, method=m, n_components=self.n_components, label_col=self.label_col, scale_features=self.scale_features).learn(df)
+                tables |= {f"{m}_{k}": v for k, v in t.items()}
             except MissingBackendError as e:
                 skipped[m] = str(e)
-        return {"columns": cols, "methods": out, "skipped": skipped}, {}
+        return {"columns": cols, "methods": out, "skipped": skipped}, tables
 
     def apply(self, df, state, tables):
         for m, s in state["methods"].items():
+            if m == "tsne":
+                df = DimensionalityReducer(method=m, n_components=s["n"], feature_prefix=m)._placed(df, s, tables["tsne_sample"])
+                continue
             df = project(df, scaled(s["columns"], s["scale"], centre=m != "svd"), s["components"], m)
         return df if self.keep_original else df.drop(*state["columns"])
 

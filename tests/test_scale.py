@@ -208,3 +208,24 @@ def test_shapley_values_add_up(spark):
     base = got.shap_base.iloc[0]
     assert (got.shap_a + got.shap_b + got.shap_c + base).to_numpy() == pytest.approx((2 * got.a - got.b + 1).to_numpy())
     assert np.ptp((got.shap_a - 2 * got.a).to_numpy()) == pytest.approx(0, abs=1e-9) and got.shap_c.abs().max() == pytest.approx(0, abs=1e-9)
+
+
+def test_neighbour_embedding_keeps_groups_apart(spark):
+    rng = np.random.default_rng(12)
+    group = rng.integers(0, 3, 180)
+    x = (rng.normal(size=(3, 6)) * 12)[group] + rng.normal(size=(180, 6))
+    cols = [f"x{i}" for i in range(6)]
+    d = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"{c} double" for c in cols))
+    m = rd.DimensionalityReducer(columns=cols, method="tsne", sample_rows=120, keep_original=False).fit(d)
+    y = m.transform(d).orderBy("id").toPandas()[["reduced_0", "reduced_1"]].to_numpy()
+    nearest = np.array([np.argsort(((y - p) ** 2).sum(1))[1] for p in y])
+    assert (group[nearest] == group).mean() > 0.95
+    p = rd.affinities(((x[:, None] - x[None]) ** 2).sum(-1), 10.0)
+    assert np.exp(-(p * np.log(np.maximum(p, 1e-300))).sum(1)) == pytest.approx(10.0, rel=1e-3)
+
+
+def test_formulas_of_functions(spark):
+    from tessera.operators import interactions as it
+
+    out = it.FormulaFeatures(formulas={"a": "id + 1", "b": lambda df: df["id"] * 2}).fit_transform(spark.range(3)).collect()
+    assert [(r.a, r.b) for r in out] == [(1, 0), (2, 2), (3, 4)]

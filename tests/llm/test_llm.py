@@ -1,5 +1,6 @@
 """The text operators: against brute force, the tokenizers library and SQL; and on nulls, ties, repeats, empty tables and clashing names."""
 
+import cProfile
 import glob
 import hashlib
 import math
@@ -631,6 +632,36 @@ def test_gradients():
         assert g[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-4)
 
 
+def test_a_training_step_is_a_few_large_products():
+    """Adam written out for each weight ends where the step on all weights at once does, and a step makes few calls."""
+    rng = np.random.default_rng(4)
+    n = lm.CONTEXT + lm.STRIDE
+    args = rng.integers(0, lm.INPUTS, (96, n)), rng.random(96) < 0.2, rng.integers(0, lm.GROUPS * lm.MEMBERS, (96, lm.STRIDE)), rng.random((96, lm.STRIDE)) < 0.8
+    net, plain = lm.Network(), lm.Network()
+    calls = cProfile.Profile()
+    calls.enable()
+    losses = net.train(*args, epochs=2)
+    calls.disable()
+    assert len(losses) == 4 and sum(x.callcount for x in calls.getstats()) < 4 * 400
+    r, step, m = np.random.default_rng(lm.SEED), 0, {k: [0.0, 0.0] for k in plain.w}
+    for _ in range(2):
+        order = r.permutation(96)
+        for lo in (0, 48):
+            loss, g = plain.gradients(*[a[order[lo : lo + 48]] for a in args])
+            assert loss == pytest.approx(losses[step], rel=1e-5)
+            step += 1
+            for k, d in g.items():
+                m[k] = [0.9 * m[k][0] + 0.1 * d, 0.99 * m[k][1] + 0.01 * d * d]
+                plain.w[k] = plain.w[k] - (4e-3 * (1 - 0.95 * step / 4) * (m[k][0] / (1 - 0.9**step)) / (np.sqrt(m[k][1] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    assert all(np.allclose(net.w[k], plain.w[k], atol=2e-5) for k in plain.w)
+
+
+def test_tasks_of_a_worker_cut_a_word_once():
+    path = bpe.vocabulary_path()
+    lm.subwords(path).ids([b"oncecutword"])
+    assert b"oncecutword" in lm.subwords(path).cache
+
+
 def test_sizes_of_the_network():
     assert (lm.WIDTH, lm.HIDDEN, lm.CONTEXT, lm.STRIDE) == (32, 64, 16, 32)
 

@@ -39,10 +39,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Of equally likely languages the first in alphabetical order is taken.
     """
     model = language_id.fit(docs)
-    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.struct(*docs.columns).alias("__row"))
-    found = language_id.predict(rows, model, "__id", "__text", carry=["__row"])
+    others = F.struct(*[c for c in docs.columns if c != "text"])
+    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), others.alias("__row"))
+    found = language_id.predict(rows, model, "__id", "__text", carry=["__text", "__row"])  # a text is sent once
     found = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"__row.{c}").alias(c) for c in docs.columns])
+    own = {"lang": F.col("lang_pred"), "text": F.col("__text")}
+    return found.select(*[own.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, decoded again; digests of both. A null text is encoded as an empty one: no ids."""
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
-    return bpe.with_digests(bpe.decode(encoded))
+    return bpe.with_digests(bpe.encode_decode(docs.select("doc_id", "lang", "source", "text")))
 
 
 STAGES = [

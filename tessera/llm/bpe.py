@@ -210,6 +210,27 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, text: str =
     return df.mapInArrow(run, T.StructType([*[f for f in df.schema.fields if f.name != text], T.StructField(text, T.StringType())]))
 
 
+def encode_decode(df: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Replace the text by its ids, as `encode` gives them, and by what they stand for, as `decode` does.
+
+    Rows go through one Python worker, so that a task holds one batch of them and one vocabulary, and only slices of a batch come back.
+    """
+    path = path or vocabulary_path()
+    kept = [f for f in df.schema.fields if f.name not in (text, ids, decoded)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        names = [*[f.name for f in kept], ids, decoded]
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for part in slices(batch, at):
+                out = [bpe.encode(t) if t else b"" for t in part.column(at).to_pylist()]
+                again = [bpe.decode(x) if x else "" for x in out]
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(out, pa.binary()), pa.array(again, pa.string())], names)
+
+    return df.select(*[f.name for f in kept], text).mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())]))
+
+
 def ids_array(ids: str = "ids") -> Column:
     """The ids of a binary column as an array of longs, in DataFrame functions."""
     h = F.hex(F.col(ids))
@@ -230,5 +251,4 @@ def with_digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> D
 
 def op7_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:
     """Encode every document and decode the ids again; digests of both."""
-    encoded = encode(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
-    return with_digests(decode(encoded))
+    return with_digests(encode_decode(documents(spark, sf_dir).select("doc_id", "text")))

@@ -479,9 +479,15 @@ def _found(m: Model, text: str, size: int) -> tuple[int, float, list[tuple[int,
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", spans: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """One row per row of df: id, lang_pred, score, the columns of `carry`, and with `spans` the stretches of words in one language: (start, end, lang), in characters."""
+    """One row per row of df: id, lang_pred, score, the columns of `carry`, and with `spans` the stretches of words in one language: (start, end, lang), in characters.
+
+    If the text is among `carry`, the one copy that is read comes back.
+    """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages x BUCKETS numbers
+    carry = carry or []
+    beside = [c for c in carry if c != text or not isinstance(df.schema[c].dataType, T.StringType)]
+    carried_at = [2 + beside.index(c) if c in beside else 1 for c in carry]
     budget = max(50_000, SLICE_CELLS // max(1, len(model.languages)))
 
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
@@ -491,7 +497,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
         out = [part.column(0), pa.array([names[best]], pa.string()), pa.array([score], pa.float64())]
         if spans:
             out.append(pa.array([[{"start": a, "end": b, "lang": names[y]} for a, b, y in found]], span))
-        return pa.RecordBatch.from_arrays([*out, *part.columns[2:]], [x.name for x in schema])
+        return pa.RecordBatch.from_arrays([*out, *[part.column(k) for k in carried_at]], [x.name for x in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -524,13 +530,13 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
                         cut = [lo, *(np.flatnonzero(np.diff(each[lo:hi])) + lo + 1).tolist(), hi]
                         found.append([{"start": int(w.starts[a] - w.text_start[d]), "end": int(w.ends[b - 1] - w.text_start[d]), "lang": names[each[a]]} for a, b in zip(cut, cut[1:])])
                     out.append(pa.array(found, span))
-                yield pa.RecordBatch.from_arrays([*out, *part.columns[2:]], [x.name for x in schema])
+                yield pa.RecordBatch.from_arrays([*out, *[part.column(k) for k in carried_at]], [x.name for x in schema])
 
     fields = [T.StructField("id", df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if spans:
         fields.append(T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))))
-    schema = T.StructType([*fields, *[df.schema[c] for c in carry or []]])
-    out = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"), *(carry or [])).mapInArrow(run, schema)
+    schema = T.StructType([*fields, *[df.schema[c] for c in carry]])
+    out = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"), *beside).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
 
 

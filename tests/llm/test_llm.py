@@ -798,6 +798,35 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
         now = out
 
 
+def test_language_stage_sends_a_text_once(spark, docs, monkeypatch):
+    """Beside the predicted text, its row held a second copy of it in each batch."""
+    d = docs.filter("text IS NOT NULL").drop("lang").withColumn("lang", F.when(F.col("text").contains("Fuchs"), "de").otherwise("en")).select(*docs.columns)
+    predict, sent = language_id.predict, []
+    with monkeypatch.context() as m:
+        m.setattr(language_id, "predict", lambda rows, *a, **b: sent.append(rows) or predict(rows, *a, **b))
+        out = corpus_pipeline.identify_language(spark, d, "")
+    got = sorted(out.drop("lang").collect(), key=repr)
+    assert sent[0].schema.simpleString().count("text:") == 1
+    model = language_id.fit(d)
+    kept = language_id.predict(d, model, carry=["text", "key"])
+    assert kept.columns == ["doc_id", "lang_pred", "score", "text", "key"]
+    want = [(r.doc_id, r.text) for r in kept.filter("lang_pred != 'und' AND score >= 0.5").collect()]
+    assert out.columns == d.columns and got and sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text)) for r in got)
+    assert {repr(tuple(r)) for r in got} <= {repr(tuple(r)) for r in d.drop("lang").collect()}
+
+
+def test_encoding_holds_one_batch_and_one_vocabulary_a_task(spark, docs, empty, capsys):
+    """Two workers a task, each with its batch and vocabulary, took an executor's memory."""
+    out = corpus_pipeline.encode(spark, docs, "")
+    out.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    apart = bpe.with_digests(bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")))
+    assert out.columns == apart.columns and sorted(map(repr, out.collect())) == sorted(map(repr, apart.collect()))
+    assert corpus_pipeline.encode(spark, empty, "").collect() == []
+    clash = bpe.encode_decode(docs.withColumn("decoded", F.lit(1)))
+    assert [c for c in clash.columns if c in ("text", "ids", "decoded")] == ["ids", "decoded"] and clash.count() == len(TEXTS)
+
+
 def test_pipeline_on_edges(spark, docs, empty, tmp_path):
     labels = spark.createDataFrame([(5, 1, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
     for i, d in enumerate((docs, empty)):

@@ -27,6 +27,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -288,32 +289,40 @@ def _cells(rows: DataFrame) -> DataFrame:
 
 
 def _round(reps: DataFrame, first: int, last: int, threshold: float, least: int) -> tuple[list[DataFrame], DataFrame | None, int]:
-    """Edges from runs number first to last - 1; keys of buckets that had to be split, and the deepest level reached."""
-    rows, edges, split, depth = _starts(reps, first, last), [], None, START
+    """Edges from runs number first to last - 1; keys of buckets that had to be split, and the deepest level reached.
+
+    A step that deals rows by a key costs as many tasks as there are partitions, however few the rows. So sizes are counted
+    once a level, links to pivots are read off the rows beside them, and one step compares the buckets of all levels.
+    """
+    rows, edges, cells, split, depth = _starts(reps, first, last), [], [], None, START
     while True:
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("pivot")).filter("size > 1")
-        pivots = reps.select(F.col("key").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
-        large = staged(sizes.filter(F.col("size") > BUCKET).join(pivots, "pivot"), "large")
+        sizes = staged(sizes, "sizes")
         shared = rows.join(sizes.filter(F.col("size") <= BUCKET).select("path"), "path")
         shared = shared if "tokens" in rows.columns else shared.join(reps.select("key", "tokens"), "key")
-        edges.append(staged(_brute_force(shared, least), "small-buckets"))
+        cells.append(shared.select("path", "key", "tokens"))
+        large = sizes.filter(F.col("size") > BUCKET)
         if large.isEmpty():
-            return edges, split, depth
-        shared = rows.join(large, "path")
+            break
+        pivots = reps.select(F.col("key").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
+        shared = rows.join(staged(large.join(pivots, "pivot"), "large"), "path")
         shared = shared if "tokens" in rows.columns else shared.join(reps.select("key", "tokens"), "key")
         shared = staged(_beside_pivot(shared, least), "beside-pivot")
-        linked = shared.filter(F.col("near") & (F.col("key") != F.col("pivot"))).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
-        edges.append(staged(linked.distinct(), "pivot-links"))
+        edges.append(shared.filter(F.col("near") & (F.col("key") != F.col("pivot"))).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
         rest = shared.groupBy("path").agg(F.count(F.when(~F.col("near"), 1)).alias("rest"))
         shared = shared.join(staged(rest.filter("rest > 0"), "rest"), "path")
         done = F.lit(True) if depth >= MAX_DEPTH else F.col("rest") <= CELL_SETS
-        edges.append(staged(_brute_force(_cells(shared.filter(done)), least), "cells"))
-        larger = shared.filter(~done)
-        if depth >= MAX_DEPTH or larger.isEmpty():
-            return edges, split, depth
-        split = staged(larger.select("key").distinct(), "split") if split is None else split
-        rows = staged(_deeper(larger, threshold).dropDuplicates(["path", "key"]), "paths")
+        cells.append(_cells(shared.filter(done)))
+        if depth >= MAX_DEPTH:
+            break
+        larger = staged(_deeper(shared.filter(~done), threshold), "paths")  # a set is on a path once, as a path says which it came from
+        if larger.isEmpty():
+            break
+        rows = larger
+        split = rows.select("key") if split is None else split
         depth += STEP
+    edges.append(staged(_brute_force(functools.reduce(DataFrame.unionByName, cells), least), "buckets"))
+    return edges, split, depth
 
 
 def candidate_edges(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -332,10 +341,7 @@ def candidate_edges(reps: DataFrame, threshold: float = THRESHOLD, recall: float
         if pool is reps and split is not None:
             pool = staged(reps.join(split, "key", "left_semi").select("key", "tokens"), "pool")
         goal = max(goal, runs_for(threshold, recall, depth))
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return out
+    return functools.reduce(DataFrame.unionByName, edges)
 
 
 def _shared_counts(sets: list[np.ndarray], rare: int = 16, width: int = 2048) -> np.ndarray:
@@ -437,9 +443,11 @@ def join(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id
     verified = staged(_verify(cells, threshold), "verified")
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     classes = connected_components(verified.select("key", "root"), "key", "root").withColumnRenamed("node", "key")
-    info = reps.select("key", "least", "copies").join(links, "key", "left").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = info.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    info = info.join(named, "root").select("key", "root", "class_id", "class_size", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    linked = staged(links.join(classes, "key").join(reps.select("key", "least", "copies"), "key"), "linked")  # texts with a link
+    named = staged(linked.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "classes")
+    linked = linked.join(named, "root").select("key", "root", "class_id", "class_size", "links")
+    info = reps.select("key", "least", "copies").join(linked, "key", "left")
+    info = info.select("key", F.coalesce("root", "key").alias("root"), F.coalesce("class_id", F.when(F.col("root").isNull(), F.col("least"))).alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     info = staged(info, "texts")  # a plain side of the next join, of which a text with very many copies is then split
     out = signed.select("id", "key", F.col("tokens").isNotNull().alias("live")).join(info, "key", "left")
     return out.select(

@@ -19,6 +19,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tessera.llm import attention_lm as lm
 from tessera.llm import bpe, chosen_path, language_id, licenses, mixing, quality, sharding, token_counts, topk
+from tessera.operators import graph
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n_tokens int, row int, ids string, score string, stratum string, sampled string, tokens string"
 LONG = " ".join(f"word{i % 977}" for i in range(20_000))
@@ -388,6 +389,20 @@ def test_split_buckets_get_the_runs_of_their_depth(spark, monkeypatch):
     assert deepest > chosen_path.START and max(last for _, last, _ in rounds) >= chosen_path.runs_for(chosen_path.THRESHOLD, chosen_path.RECALL, deepest)
 
 
+def test_a_join_deals_rows_a_few_times_a_level(spark, monkeypatch):
+    """Each table that is dealt by a key costs as many tasks as there are partitions, however few its rows: at most five a level, one a round, ten more."""
+    names, levels = [], []
+    one, staged = chosen_path._round, chosen_path.staged
+    monkeypatch.setattr(chosen_path, "BUCKET", 5)
+    monkeypatch.setattr(chosen_path, "CELL_SETS", 5)
+    monkeypatch.setattr(chosen_path, "staged", lambda df, name: names.append(name) or staged(df, name))
+    monkeypatch.setattr(graph, "stage", lambda df, name: names.append(name) or staged(df, name))
+    monkeypatch.setattr(chosen_path, "_round", lambda *a: levels.append(((out := one(*a))[2] - chosen_path.START) // chosen_path.STEP + 1) or out)
+    words = " ".join(f"p{i}" for i in range(40))
+    check_join(spark, [f"{words} " + " ".join(f"u{n}x{i}" for i in range(45)) for n in range(30)] + [near(i) for i in range(12)])
+    assert max(levels) > 1 and len(names) <= 5 * sum(levels) + len(levels) + 10
+
+
 def test_join_on_edges(spark, docs, empty):
     out = chosen_path.join(docs)
     assert out.count() == len(TEXTS)

@@ -17,6 +17,7 @@ from tessera.operators import selection as se
 from tessera.operators import text as tx
 from tessera.operators import windows as wn
 from tessera.operators.base import FittedModel
+from tessera.operators import graph
 from tessera.operators.graph import connected_components
 from tessera.operators.order import exact_quantiles, numbered
 from tessera.plans import explain as xp
@@ -60,6 +61,23 @@ def test_components_of_a_star_and_a_path(spark):
     assert got == {**{i: 0 for i in range(61)}, **{i: 1000 for i in range(1000, 1600)}, **{i: 4000 for i in [*range(4000, 4300), 5000]}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("kind", ["long", "binary", "string"])
+def test_components_in_one_task_equal_those_of_rounds(spark, monkeypatch, kind):
+    """Few edges are one staged table and one task, not a dozen tables dealt over all partitions."""
+    r = random.Random(6)
+    pairs = [(r.randrange(700), r.randrange(700)) for _ in range(420)] + [(5, 5), (800 + 1, 800), (900, None)] + [(i, i + 1) for i in range(1000, 1200)]
+    e = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    e = e.select(*[(F.unhex(F.lpad(F.hex(c), 4, "0")) if kind == "binary" else F.col(c).cast(kind)).alias(c) for c in "ab"])
+    names, stage = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name: names.append(name) or stage(df, name))
+    one = sorted(tuple(x) for x in graph.connected_components(e, "a", "b").collect())
+    assert len(names) == 1
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    assert one == sorted(tuple(x) for x in graph.connected_components(e, "a", "b").collect()) and len(names) > 4
+    assert len({root for _, root in one}) > 50 and len(one) == len({node for node, _ in one})
+    assert graph.connected_components(e.limit(0), "a", "b").collect() == []
+
+
 def test_nearest_donors_among_all_rows(spark):
     r = random.Random(1)
     rows = [[None if r.random() < 0.2 else float(r.randint(0, 30)) for _ in range(3)] for _ in range(400)] + [[None] * 3, [1.0, None, 2.0]]

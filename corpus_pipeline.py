@@ -18,10 +18,20 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, chosen_path, language_id, mixing, quality
 from tessera.llm._common import documents, staged
 
+#: Most rows of a batch between Spark and its Python workers, which both hold whole batches of texts, at several times their size.
+BATCH_ROWS = 1000
 #: Documents whose best language has less than this mean probability are rejected, as are those without letters.
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches have at most BATCH_ROWS rows. What they hold is not cut, and results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:  # without a limit, if not over 0
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or a cutoff calibrated on labelled good documents, go.
 
@@ -38,6 +48,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     null text, or one without letters, has no language and goes; so do all, if no document has a language to learn from.
     Of equally likely languages the first in alphabetical order is taken.
     """
+    in_small_batches(spark)
     model = language_id.fit(docs)
     others = F.struct(*[c for c in docs.columns if c != "text"])
     rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), others.alias("__row"))
@@ -53,6 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null texts and texts without words link with nothing and stay. If several rows have the least id, one of them stays;
     if all ids of a class are null, one of its rows.
     """
+    in_small_batches(spark)
     return chosen_path.keep_one(docs)
 
 
@@ -67,6 +79,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, decoded again; digests of both. A null text is encoded as an empty one: no ids."""
+    in_small_batches(spark)
     return bpe.with_digests(bpe.encode_decode(docs.select("doc_id", "lang", "source", "text")))
 
 

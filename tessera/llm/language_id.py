@@ -54,7 +54,7 @@ CHUNK = 32
 SEQUENCE = 32
 SEQUENCES = 4000
 EPOCHS = 4
-SLICE_CELLS = 3_000_000
+SLICE_CELLS = 800_000
 BLOCK_CHARS = 500_000
 UNKNOWN = "und"
 

@@ -6,11 +6,13 @@ import hashlib
 import math
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -842,6 +844,43 @@ def test_encoding_holds_one_batch_and_one_vocabulary_a_task(spark, docs, empty,
     assert [c for c in clash.columns if c in ("text", "ids", "decoded")] == ["ids", "decoded"] and clash.count() == len(TEXTS)
 
 
+def test_the_pipeline_hands_few_texts_at_a_time_to_workers(spark, docs, monkeypatch):
+    """Batches of 10000 texts, held on both sides, took an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(language_id, "fit", lambda d: language_id.Model(["de"], (np.arange(1, dtype=np.uint64), np.ones((1, 1), np.float32))))
+    monkeypatch.setattr(chosen_path, "keep_one", lambda d: d)
+    sizes = lambda: [r.n for r in spark.range(0, 2500, 1, 1).mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long").collect()]
+    try:
+        for stage in (corpus_pipeline.identify_language, corpus_pipeline.near_duplicates, corpus_pipeline.encode):
+            for given, most in (("10000", 1000), ("0", 1000), ("400", 400)):
+                spark.conf.set(key, given)
+                stage(spark, docs, "")
+                assert max(sizes()) == most and sum(sizes()) == 2500
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_predicting_languages_holds_a_slice(spark, monkeypatch):
+    """Two workers with slices of 750,000 characters took some 200 MB more of an executor."""
+    model = language_id.Model(["de", "en", "es", "fr"], (np.arange(3, dtype=np.uint64), np.ones((3, 4), np.float32)))
+    df, runs = spark.createDataFrame([(1, "x")], "doc_id long, text string"), []
+    real = type(df).mapInArrow
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda d, f, *a, **b: runs.append(f) or real(d, f, *a, **b))
+        language_id.predict(df, model)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(600)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(600)), "t": texts})
+    language_id.character_tables()
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in runs[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 600 and sum(map(len, texts)) > 1_000_000 and peak < 60e6
+
+
 def test_pipeline_on_edges(spark, docs, empty, tmp_path):
     labels = spark.createDataFrame([(5, 1, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
     for i, d in enumerate((docs, empty)):

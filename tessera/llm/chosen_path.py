@@ -165,8 +165,12 @@ def _matrix(tokens: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(tokens.to_pylist()), np.uint32).reshape(-1, SIZE)
 
 
-def _starts(reps: DataFrame, first: int, last: int) -> DataFrame:
-    """(path, key) of START tokens in runs number first to last - 1."""
+def _starts(reps: DataFrame, first: int, last: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(path, key) of START tokens in runs number first to last - 1; of a bounded table of wanted paths alone, (path, key, tokens)."""
+    known = None
+    if wanted is not None:
+        paths = wanted.select("path").toArrow().column("path").to_numpy()
+        known = reps.sparkSession.sparkContext.broadcast(np.sort(paths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +179,21 @@ def _starts(reps: DataFrame, first: int, last: int) -> DataFrame:
                 path = walk(np.full(len(m), r), m, START)
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0)], ["path", "key"])
 
-    return reps.select("key", "tokens").mapInArrow(run, "path long, key binary")
+    def on_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, have, paths, rows = _matrix(batch.column(1)), known.value, [], []
+            for r in mix(np.arange(first + 1, last + 1, dtype=np.uint64)) if len(have) else ():
+                path = walk(np.full(len(m), r), m, START).view(np.int64)
+                at = np.flatnonzero(have[np.minimum(np.searchsorted(have, path), len(have) - 1)] == path)
+                paths.append(path[at])
+                rows.append(at)
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths)), batch.column(0).take(take), batch.column(1).take(take)], ["path", "key", "tokens"])
+
+    if known is None:
+        return reps.select("key", "tokens").mapInArrow(run, "path long, key binary")
+    return reps.select("key", "tokens").mapInArrow(on_known, "path long, key binary, tokens binary")
 
 
 def _deeper(rows: DataFrame, threshold: float) -> DataFrame:
@@ -298,15 +316,17 @@ def _round(reps: DataFrame, first: int, last: int, threshold: float, least: int)
     while True:
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("pivot")).filter("size > 1")
         sizes = staged(sizes, "sizes")
-        shared = rows.join(sizes.filter(F.col("size") <= BUCKET).select("path"), "path")
-        shared = shared if "tokens" in rows.columns else shared.join(reps.select("key", "tokens"), "key")
+        small, large = sizes.filter(F.col("size") <= BUCKET).select("path"), sizes.filter(F.col("size") > BUCKET)
+        few = depth == START and sizes.count() <= BROADCAST_KEYS  # where a set's tokens are, its paths are picked: nothing is dealt
+        shared = _starts(reps, first, last, small) if few else rows.join(small, "path")
+        shared = shared if "tokens" in shared.columns else shared.join(reps.select("key", "tokens"), "key")
         cells.append(shared.select("path", "key", "tokens"))
-        large = sizes.filter(F.col("size") > BUCKET)
         if large.isEmpty():
             break
         pivots = reps.select(F.col("key").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
-        shared = rows.join(staged(large.join(pivots, "pivot"), "large"), "path")
-        shared = shared if "tokens" in rows.columns else shared.join(reps.select("key", "tokens"), "key")
+        pivots = staged((F.broadcast(large) if few else large).join(pivots, "pivot"), "large")
+        shared = (_starts(reps, first, last, large) if few else rows).join(pivots, "path")
+        shared = shared if "tokens" in shared.columns else shared.join(reps.select("key", "tokens"), "key")
         shared = staged(_beside_pivot(shared, least), "beside-pivot")
         edges.append(shared.filter(F.col("near") & (F.col("key") != F.col("pivot"))).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
         rest = shared.groupBy("path").agg(F.count(F.when(~F.col("near"), 1)).alias("rest"))

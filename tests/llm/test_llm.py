@@ -405,6 +405,26 @@ def test_a_join_deals_rows_a_few_times_a_level(spark, monkeypatch):
     assert max(levels) > 1 and len(names) <= 5 * sum(levels) + len(levels) + 10
 
 
+def test_sets_on_few_paths_are_not_dealt_to_meet_their_tokens(spark, monkeypatch):
+    """Joins on the path and on the key dealt all starts and all samples once more, of which few are in a bucket."""
+    plans, staged = {}, chosen_path.staged
+    monkeypatch.setattr(chosen_path, "staged", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and staged(df, name))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = spark.createDataFrame([(i, f"{near(i // 3)} {' '.join(f't{i % 3}' for _ in range(i % 3))}") for i in range(36)], "doc_id long, text string")
+        reps = staged(chosen_path._sign(d, "doc_id", "text").filter("tokens IS NOT NULL").select("key", "tokens"), "reps")
+        found = [set(map(tuple, chosen_path.candidate_edges(reps).collect()))]
+        assert plans["buckets"].count("Exchange hashpartitioning") == 1
+        for most, bucket in ((0, 200), (500_000, 2), (0, 2)):  # joins, and buckets beside their pivots, picked and joined
+            monkeypatch.setattr(chosen_path, "BROADCAST_KEYS", most)
+            monkeypatch.setattr(chosen_path, "BUCKET", bucket)
+            found.append(set(map(tuple, chosen_path.candidate_edges(reps).collect())))
+        assert found[0] and found[0] == found[1] and found[2] and found[2] == found[3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_join_on_edges(spark, docs, empty):
     out = chosen_path.join(docs)
     assert out.count() == len(TEXTS)

@@ -81,6 +81,24 @@ def test_short_and_long_merges_agree():
         assert b.merge_short(w) == b.merge_long(w)
 
 
+def test_stretches_share_pretokens_and_columns_are_decoded_at_once(library, monkeypatch):
+    b, r = bpe.RankedBPE(bpe.vocabulary_path()), random.Random(6)
+    merged = []
+    merge = b.merge
+    monkeypatch.setattr(b, "merge", lambda w: merged.append(w) or merge(w))
+    b.encode("a zyxwv, zyxwv. zyxwv; (zyxwv)")
+    assert merged.count(b" zyxwv") == 1  # once for each of three stretches before
+    texts = ["".join(r.choice([" ", " ", "  ", "\n", "\u3000", "\x1c", "\x85", "the", "ß€", ",", "7", "'s", "<|endoftext|>"]) for _ in range(r.randrange(12))) for _ in range(3000)]
+    ids = [b.encode(t) for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(b, "decode", None)
+    assert b.decode_all(pa.array([*ids, None], pa.binary())).to_pylist() == [*texts, ""]
+    assert b.decode_all(pa.array([None, b""], pa.binary()).slice(1)).to_pylist() == [""] and len(b.decode_all(pa.array([], pa.binary()))) == 0
+    euro = [x.to_bytes(4, "little") for x in (b.byte_id[v] for v in "€".encode())]
+    parts = [euro[0] + euro[1], euro[2], b"".join(euro)]  # two rows that are a character together, but not each
+    assert b.decode_all(pa.array(parts, pa.binary())).to_pylist() == [library.decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False) for x in parts]
+
+
 def test_encode_decode_rows(docs, library):
     out = bpe.with_digests(bpe.decode(bpe.encode(docs.select("doc_id", "text"))))
     assert out.count() == len(TEXTS)

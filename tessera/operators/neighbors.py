@@ -2,19 +2,23 @@
 
 Queries and candidates are dealt into blocks by hash. A cell holds one block of
 each, so a task holds no more than that whatever the tables' sizes; what cells
-return per query is merged afterwards.
+return per query is merged afterwards. Pairs of one table with itself are taken
+once: a cell holds two of its blocks, in one order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 QUERY_ROWS = 1024
 CANDIDATE_ROWS = 16_384
+#: Rows of a block of a table that meets itself, and so many blocks if there are rows enough, so that all cores have pairs.
+PAIR_ROWS, PAIR_BLOCKS = 32_768, 14
 
 
 def in_cells(queries: DataFrame, candidates: DataFrame, n_queries: int, n_candidates: int, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS) -> DataFrame:
@@ -29,3 +33,72 @@ def in_cells(queries: DataFrame, candidates: DataFrame, n_queries: int, n_candid
         return kernel(left.drop(columns=["__q", "__c"]), right.drop(columns=["__q", "__c"]))
 
     return q.groupBy("__q", "__c").cogroup(c.groupBy("__q", "__c")).applyInPandas(run, schema)
+
+
+def in_pairs(points: DataFrame, n: int, kernel: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame], schema: str) -> DataFrame:
+    """kernel(rows, other rows) for every two blocks of a table with ids, once, and kernel(rows, None) for a block with itself.
+
+    A row is sent once for each block: the rows that move are n x blocks, the memory that of two blocks.
+    """
+    blocks = max(1, -(-n // PAIR_ROWS), min(PAIR_BLOCKS, -(-n // QUERY_ROWS)))
+    p = points.withColumn("__b", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(blocks)).cast("int")).withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    p = p.withColumn("__cell", F.least("__b", "__o") * blocks + F.greatest("__b", "__o"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first, last = divmod(int(rows["__cell"].iloc[0]), blocks)
+        of = lambda b: rows[rows["__b"] == b].drop(columns=["__b", "__o", "__cell"]).reset_index(drop=True)
+        return kernel(of(first), None if first == last else of(last))
+
+    return p.groupBy("__cell").applyInPandas(run, schema)
+
+
+def _distances(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    d = np.zeros(len(i))
+    for k in range(x.shape[1]):
+        d += (x[i, k] - y[j, k]) ** 2
+    return np.sqrt(d)
+
+
+def within(x: np.ndarray, y: np.ndarray, reach: float, closest: bool = False):
+    """Pairs (rows of x, rows of y, distances or None) within reach, part by part; with `closest` at least each row's nearest ones of a part, with distances.
+
+    Products of matrices tell most pairs apart; those nearer to the reach than the products' error are measured as they are.
+    """
+    fine_x, fine_y = np.flatnonzero(np.isfinite(x).all(1)), np.flatnonzero(np.isfinite(y).all(1))  # no others are within reach of anything
+    x, y = x[fine_x], y[fine_y]
+    x2, y2 = (x * x).sum(1), (y * y).sum(1)
+    single = {}
+    for ro in range(0, len(y), 8192):
+        b, b2 = y[ro : ro + 8192], y2[ro : ro + 8192]
+        for lo in range(0, len(x), 256):
+            a, a2 = x[lo : lo + 256], x2[lo : lo + 256]
+            top = a2.max() + b2.max()
+            if not top < 1e300:
+                i, j = np.divmod(np.arange(len(a) * len(b)), len(b))
+                d = _distances(a, b, i, j)
+                ok = d <= reach
+                yield fine_x[lo + i[ok]], fine_y[ro + j[ok]], d[ok]
+                continue
+            error = (x.shape[1] + 6) * top * 2.0**-22
+            kind = np.float32 if top < 1e30 and error < reach * reach / 8 else np.float64
+            if kind is np.float64:
+                error = (x.shape[1] + 6) * top * 2.0**-50
+            if (kind, ro) not in single:
+                single = {(kind, ro): np.column_stack([b, np.ones(len(b)), -b2 / 2]).astype(kind).T}
+            near = np.column_stack([a, -a2 / 2, np.ones(len(a))]).astype(kind) @ single[kind, ro]  # less half the squared distance
+            low = -(reach * reach) / 2 - error
+            if closest:
+                low = np.maximum(low, near.max(axis=1, keepdims=True) - 2 * error)
+            at = np.flatnonzero(near >= low)
+            if not len(at):
+                continue
+            i, j = np.divmod(at, len(b))
+            if closest:
+                d = _distances(a, b, i, j)
+                ok = d <= reach
+                yield fine_x[lo + i[ok]], fine_y[ro + j[ok]], d[ok]
+                continue
+            open_ = np.flatnonzero(near.ravel()[at] < -(reach * reach) / 2 + error)
+            ok = np.ones(len(at), bool)
+            ok[open_] = _distances(a, b, i[open_], j[open_]) <= reach
+            yield fine_x[lo + i[ok]], fine_y[ro + j[ok]], None

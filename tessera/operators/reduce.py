@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.errors import ConfigurationError, MissingBackendError
 from tessera.operators.base import Operator, add, chosen, number, numeric_columns, scalars
-from tessera.operators.graph import connected_components
-from tessera.operators.neighbors import in_cells
+from tessera.operators.graph import _roots, connected_components
+from tessera.operators.neighbors import CANDIDATE_ROWS, QUERY_ROWS, in_cells, in_pairs, within
 from tessera.operators.order import numbered
 from tessera.sources.staging import stage
 
@@ -300,19 +300,20 @@ def build_dimensionality_reducer(method: str = "auto", **kw) -> Operator:
 # --- clustering -------------------------------------------------------------
 
 
-def _within(left, right, reach: float, distances: bool = False):
-    """For blocks of left points: the first one's place, which right points lie within reach, and on request the distances."""
+def _points(rows):
     import numpy as np
 
-    if not len(left) or not len(right):
-        return
-    x, y = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
-    for lo in range(0, len(x), 64):
-        d = np.zeros((len(x[lo : lo + 64]), len(y)))
-        for j in range(x.shape[1]):
-            d += (x[lo : lo + 64, j, None] - y[None, :, j]) ** 2
-        d = np.sqrt(d)
-        yield (lo, d <= reach, d) if distances else (lo, d <= reach)
+    return np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, 1))
+
+
+def _joined(part, held):
+    """part (the least place of each place's set) after the sets of these pairs were joined."""
+    import numpy as np
+
+    if not held:
+        return part
+    u, v = (np.concatenate(x) for x in zip(*held))
+    return _roots(u, v, len(part))[part]
 
 
 class ClusteringFeatureExtractor(Operator):
@@ -353,10 +354,10 @@ class ClusteringFeatureExtractor(Operator):
         pts = df.select(F.array(*xs).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("w"))
         pts = stage(pts.withColumn("id", F.monotonically_increasing_id()), "points")
         n = pts.count()
-        near = stage(self._cells(pts, pts, n, n, d, self._counted, "id long, n long"), "near").groupBy("id").agg(F.sum("n").alias("n"))
+        near = stage(self._cells(pts, None, n, n, d, self._counted, "id long, n long"), "near").groupBy("id").agg(F.sum("n").alias("n"))
         core = stage(pts.join(near.filter(F.col("n") >= self.min_samples).select("id"), "id"), "core")
         m = core.count()
-        edges = self._cells(core, core, m, m, d, self._forest, "id long, other long")
+        edges = self._cells(core, None, m, m, d, self._forest, "id long, other long")
         return state, {"core": self._numbered(core, edges)}
 
     def _linkage(self, df, state):
@@ -364,7 +365,7 @@ class ClusteringFeatureExtractor(Operator):
         d = len(state["columns"])
         pts = stage(df.select(F.array(*scaled(state["columns"], state["scale"])).alias("x")).distinct().withColumn("id", F.monotonically_increasing_id()), "points")
         n = pts.count()
-        return state, {"core": self._numbered(pts, self._cells(pts, pts, n, n, d, self._forest, "id long, other long"))}
+        return state, {"core": self._numbered(pts, self._cells(pts, None, n, n, d, self._forest, "id long, other long"))}
 
     def _numbered(self, core: DataFrame, edges: DataFrame) -> DataFrame:
         """(cluster, x) of core points (id, x): clusters are numbered by their least id."""
@@ -372,10 +373,16 @@ class ClusteringFeatureExtractor(Operator):
         core = stage(core.join(roots, core["id"] == roots["node"], "left").select("x", F.coalesce("root", "id").alias("root")), "core")
         return stage(core.join(numbered(core.select("root").distinct(), ["root"], "k"), "root").select((F.col("k") - 1).cast("int").alias("cluster"), "x"), "core")
 
-    def _cells(self, a: DataFrame, b: DataFrame, n_a: int, n_b: int, d: int, kernel, schema: str) -> DataFrame:
-        """kernel over cells in which each point of a meets every point of b within eps: grid cells of width eps for up to three columns, else blocks of all points."""
+    def _cells(self, a: DataFrame, b: DataFrame | None, n_a: int, n_b: int, d: int, kernel, schema: str) -> DataFrame:
+        """kernel over cells in which each point of a meets every point of b (None: of a) within eps: grid cells of width eps for up to three columns, else blocks of all points.
+
+        Blocks of one table meet once, and kernel(left, right, True) is of both sides.
+        """
+        if d > 3 and b is None:
+            return in_pairs(a, n_a, lambda left, right: kernel(left, left) if right is None else kernel(left, right, True), schema)
         if d > 3:
-            return in_cells(a, b, n_a, n_b, kernel, schema)
+            return in_cells(a, b, n_a, n_b, lambda left, right: kernel(left, right), schema, query_rows=min(CANDIDATE_ROWS, max(QUERY_ROWS, n_a // 64)))
+        b = a if b is None else b
         width = self._reach()
         cell = lambda i: F.floor(F.col("x")[i] / width).cast("long")
         left = a.withColumns({f"__c{i}": cell(i) for i in range(d)})
@@ -398,42 +405,47 @@ class ClusteringFeatureExtractor(Operator):
 
     @property
     def _counted(self):
-        """Per left point, the weight of right points within reach."""
+        """Per left point, the weight of right points within reach; of both sides, also the other way."""
         import numpy as np
         import pandas as pd
 
-        reach, within = self._reach(), _within
+        reach = self._reach()
 
-        def kernel(left, right):
-            n = np.zeros(len(left))
-            for lo, near in within(left, right, reach):
-                n[lo : lo + len(near)] = near @ right["w"].to_numpy(float)
-            return pd.DataFrame({"id": left["id"], "n": n.astype("int64")})
+        def kernel(left, right, both=False):
+            n, m = np.zeros(len(left)), np.zeros(len(right))
+            of_left, of_right = left["w"].to_numpy(float), right["w"].to_numpy(float)
+            for i, j, _ in within(_points(left), _points(right), reach):
+                n += np.bincount(i, of_right[j], len(n))
+                if both:
+                    m += np.bincount(j, of_left[i], len(m))
+            ids, n = (np.append(left["id"], right["id"]), np.append(n, m)) if both else (left["id"].to_numpy(), n)
+            return pd.DataFrame({"id": ids[n > 0], "n": n[n > 0].astype("int64")})
 
         return kernel
 
     @property
     def _forest(self):
-        """Links within reach between points of a cell, as the edges of a spanning forest: one row per point at most, not one per pair."""
+        """Links within reach between points of a cell, as edges to the least point of each linked set: one row per point at most, not one per pair."""
         import numpy as np
         import pandas as pd
 
-        reach, within = self._reach(), _within
+        reach = self._reach()
 
-        def kernel(left, right):
+        def kernel(left, right, both=False):
             ids = np.unique(np.concatenate([left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)]))
             part = np.arange(len(ids))
             a, b = np.searchsorted(ids, left["id"].to_numpy(np.int64)), np.searchsorted(ids, right["id"].to_numpy(np.int64))
-            out = []
-            for lo, near in within(left, right, reach):
-                for i, row in enumerate(near, lo):
-                    found, first = np.unique(part[b[row]], return_index=True)
-                    other = found != part[a[i]]
-                    if other.any():
-                        out += [(int(ids[a[i]]), int(ids[j])) for j in b[row][first[other]]]
-                        merged = np.append(found, part[a[i]])
-                        part[np.isin(part, merged)] = merged.min()
-            return pd.DataFrame(out, columns=["id", "other"]).astype("int64")
+            held, n = [], 0
+            for i, j, _ in within(_points(left), _points(right), reach):
+                u, v = part[a[i]], part[b[j]]
+                new = u != v
+                held.append((u[new], v[new]))
+                n += len(held[-1][0])
+                if n > 500_000:
+                    part, held, n = _joined(part, held), [], 0
+            part = _joined(part, held)
+            at = np.flatnonzero(part != np.arange(len(part)))
+            return pd.DataFrame({"id": ids[at], "other": ids[part[at]]})
 
         return kernel
 
@@ -443,16 +455,16 @@ class ClusteringFeatureExtractor(Operator):
         import numpy as np
         import pandas as pd
 
-        reach, within = self._reach(), _within
+        reach = self._reach()
 
         def kernel(left, right):
-            out, cluster, ids = [], right["cluster"].to_numpy(), left["id"].to_numpy()
-            for lo, near, dist in within(left, right, reach, True):
-                for i, row in enumerate(near):
-                    if row.any():
-                        best = dist[i][row].min()
-                        out.append((int(ids[lo + i]), float(best), int(cluster[row & (dist[i] == best)].min())))
-            return pd.DataFrame(out, columns=["id", "d", "cluster"]).astype({"id": "int64", "d": "float64", "cluster": "int32"})
+            found, cluster, ids = [], right["cluster"].to_numpy(), left["id"].to_numpy()
+            for i, j, d in within(_points(left), _points(right), reach, closest=True):
+                order = np.lexsort((cluster[j], d, i))
+                first = order[np.unique(i[order], return_index=True)[1]]
+                found.append(pd.DataFrame({"id": ids[i[first]], "d": d[first], "cluster": cluster[j[first]]}))
+            out = pd.concat(found) if found else pd.DataFrame({"id": [], "d": [], "cluster": []})
+            return out.astype({"id": "int64", "d": "float64", "cluster": "int32"})
 
         return kernel
 
@@ -462,10 +474,14 @@ class ClusteringFeatureExtractor(Operator):
         made: dict[str, Column] = {}
         if "core" in tables:  # distinct points are matched, so that no row numbers are needed
             at = df.select(F.array(*xs).alias("x")).distinct()
-            pts = stage(at.withColumn("id", F.monotonically_increasing_id()), "points")
+            # a core point is its own nearest one: only the others are sought
+            own = tables["core"].filter(F.forall("x", lambda v: F.abs(v) < float("inf"))).select("x", F.col("cluster").alias("own"))
+            pts = stage(at.join(own, "x", "left").withColumn("id", F.monotonically_increasing_id()), "points")
+            rest = pts.filter("own IS NULL").drop("own")
             core = tables["core"].withColumn("id", F.xxhash64("x"))
-            best = self._cells(pts, core, pts.count(), core.count(), len(cols), self._closest, "id long, d double, cluster int").groupBy("id").agg(F.min(F.struct("d", "cluster")).alias("m"))
-            best = pts.join(best, "id").select(F.col("x").alias("__x"), F.col("m.cluster").alias("__c"), F.col("m.d").alias("__d"))
+            best = self._cells(rest, core, rest.count(), core.count(), len(cols), self._closest, "id long, d double, cluster int").groupBy("id").agg(F.min(F.struct("d", "cluster")).alias("m"))
+            best = rest.join(best, "id").select("x", F.col("m.cluster").alias("c"), F.col("m.d").alias("d"))
+            best = best.unionByName(pts.filter("own IS NOT NULL").select("x", F.col("own").alias("c"), F.lit(0.0).alias("d"))).toDF("__x", "__c", "__d")
             out = df.withColumn("__x", F.array(*xs)).join(best, "__x", "left")
             return add(out, {f"{p}_id": F.coalesce("__c", F.lit(-1)), f"{p}_is_outlier": F.col("__c").isNull().cast("int"), f"{p}_distance": F.col("__d")}).drop("__x", "__c", "__d")
         df = df.withColumn("__x", F.array(*xs))

@@ -1,6 +1,7 @@
 """Primitives that must hold on large or skewed tables: numbering, exact quantiles, neighbours, components, clusters, running means."""
 
 import random
+from collections import Counter
 import statistics
 
 import numpy as np
@@ -146,6 +147,41 @@ def test_density_and_single_linkage_clusters(spark, width):
     assert {frozenset(g.id) for _, g in got.groupby("cluster_id")} == parts(range(len(x)))
 
 
+def test_blocks_of_a_table_meet_once(spark, monkeypatch):
+    from tessera.operators import neighbors as nb
+
+    monkeypatch.setattr(nb, "QUERY_ROWS", 20)
+    d = spark.range(200)
+    seen = nb.in_pairs(d, 200, lambda a, b: pd.DataFrame({"u": np.repeat(a["id"], len(b if b is not None else a)), "v": np.tile(a["id"] if b is None else b["id"], len(a))}), "u long, v long").collect()
+    pairs = Counter(frozenset((r.u, r.v)) for r in seen if r.u != r.v)
+    assert len(pairs) == 200 * 199 // 2
+    assert sum(r.u == r.v for r in seen) == 200
+    assert len(seen) < 0.6 * 200 * 200  # as pairs of one order, but within blocks
+
+
+def test_distances_at_the_reach_are_measured():
+    from tessera.operators.neighbors import within
+
+    rng = np.random.default_rng(13)
+    for size, far in ((1.0, 0.0), (1.0, 1e5), (1e-4, 3.0), (1e154, 0.0)):
+        x = rng.normal(size=(700, 6)) * size + far
+        x[300:600] = x[:300]
+        x[5, 2], x[6, 1] = np.nan, np.inf
+        d = np.zeros((len(x), len(x)))
+        with np.errstate(invalid="ignore", over="ignore"):
+            for k in range(6):
+                d += (x[:, k, None] - x[None, :, k]) ** 2
+            d = np.sqrt(d)
+        reach = float(np.nanquantile(d[np.isfinite(d)], 0.05, method="lower"))  # some distance itself
+        want = {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= reach))}
+        with np.errstate(over="ignore"):
+            got = [(int(a), int(b)) for i, j, _ in within(x, x, reach) for a, b in zip(i, j)]
+            near = [(int(a), int(b), float(c)) for i, j, e in within(x, x, reach, closest=True) for a, b, c in zip(i, j, e)]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert all((a, b) in want and c == d[a, b] for a, b, c in near)
+        assert {a for a, _ in want} == {a for a, _, c in near if c == np.nanmin(d[a])}
+
+
 def test_wide_components_are_those_of_the_matrix(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 24)) @ rng.normal(size=(24, 24))

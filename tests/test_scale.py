@@ -1,5 +1,6 @@
 """Primitives that must hold on large or skewed tables: numbering, exact quantiles, neighbours, components, clusters, running means."""
 
+import math
 import random
 from collections import Counter
 import statistics
@@ -147,6 +148,33 @@ def test_density_and_single_linkage_clusters(spark, width):
     assert {frozenset(g.id) for _, g in got.groupby("cluster_id")} == parts(range(len(x)))
 
 
+def test_nearest_rows_are_sought_where_they_are(spark, monkeypatch):
+    from tessera.operators import neighbors as nb
+
+    monkeypatch.setattr(nb, "CELL_ROWS", 60)
+    monkeypatch.setattr(nb, "LEAF", 8)
+    r, k = random.Random(14), 4
+    rows = [[r.choice([r.randint(0, 40), r.random() * 40]) * 1.0 for _ in range(4)] for _ in range(500)]
+    rows = [[None if r.random() < (0.3 if c == 3 else 0.02) else v for c, v in enumerate(x)] for x in rows]
+    rows += rows[:100] + [[None, None, None, float(i)] for i in range(3)] + [[5.0, None, None, None]] * 2
+    d = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "id long, a double, b double, c double, e double")
+    sent = []
+    route = nb.Cells.route
+    monkeypatch.setattr(nb.Cells, "route", lambda self, *a: sent.append((route(self, *a), self)) or sent[-1][0])
+    got = {x.id: x[1:] for x in cl.KNNImputer(["a", "b", "c", "e"], n_neighbors=k).fit_transform(d).collect()}
+    for i, x in enumerate(rows):
+        for j in (j for j in range(4) if x[j] is None):
+            near = []
+            for y in rows:
+                both = [c for c in range(4) if x[c] is not None and y[c] is not None]
+                if y[j] is not None:
+                    near.append((sum((y[c] - x[c]) ** 2 for c in both) * 4 / len(both) if both else math.inf, y[j]))
+            assert got[i][j] == pytest.approx(statistics.fmean(v for _, v in sorted(near)[:k]))
+    (home, cells), (others, _) = sent
+    plain = others.filter("c3 IS NULL AND c0 IS NOT NULL AND c1 IS NOT NULL AND c2 IS NOT NULL")
+    assert cells.cells > 5 and plain.filter(~F.col("cell").isin(cells.mixed)).count() < 0.6 * cells.cells * plain.select("id").distinct().count()
+
+
 def test_blocks_of_a_table_meet_once(spark, monkeypatch):
     from tessera.operators import neighbors as nb
 

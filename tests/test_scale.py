@@ -311,3 +311,18 @@ def test_formulas_of_functions(spark):
 
     out = it.FormulaFeatures(formulas={"a": "id + 1", "b": lambda df: df["id"] * 2}).fit_transform(spark.range(3)).collect()
     assert [(r.a, r.b) for r in out] == [(1, 0), (2, 2), (3, 4)]
+
+
+def test_word_vectors_are_trained_side_by_side(spark, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+
+    parts, fit = [], Word2Vec.fit
+    monkeypatch.setattr(Word2Vec, "fit", lambda self, d: parts.append(self.getNumPartitions()) or fit(self, d))
+    monkeypatch.setattr(tx, "WORDS_A_TASK", 150)
+    d = spark.createDataFrame([(i, f"stars planets moon w{i}" if i % 2 else f"bread butter oven w{i}") for i in range(100)], "id long, t string")
+    m = tx.WordEmbeddingFeatures("t", dims=4, train=True).fit(d)
+    assert parts == [3]  # 400 words
+    assert {r.word for r in m.tables["vectors"].collect()} == {w for r in d.collect() for w in r.t.split()}
+    monkeypatch.setattr(tx, "WORDS_A_TASK", 1000)
+    tx.WordEmbeddingFeatures("t", dims=4, train=True).fit(d)
+    assert parts == [3, 1]

@@ -243,18 +243,22 @@ class TopicModelingFeatures(Operator):
     defaults = {"column": None, "n_topics": 10, "max_features": 5000, "max_iter": 10, "random_state": 42}
 
     def learn(self, df):
-        from pyspark.ml import Pipeline
+        from pyspark import StorageLevel
+        from pyspark.ml import Pipeline, PipelineModel
         from pyspark.ml.clustering import LDA
         from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
 
         data = df.select(text(self.column).alias("t"))
-        model = Pipeline(stages=[
+        counted = Pipeline(stages=[
             RegexTokenizer(inputCol="t", outputCol="w", pattern=r"\w\w+", gaps=False),
             StopWordsRemover(inputCol="w", outputCol="s", stopWords=list(STOPWORDS)),
             CountVectorizer(inputCol="s", outputCol="features", vocabSize=self.max_features, minDF=2),
-            LDA(k=self.n_topics, maxIter=self.max_iter, seed=self.random_state),
         ]).fit(data)
-        return {}, {"topics": model}
+        # every round samples the rows: their counts are made once, in the partitions of the table
+        rows = counted.transform(data).select("features").persist(StorageLevel.DISK_ONLY)
+        topics = LDA(k=self.n_topics, maxIter=self.max_iter, seed=self.random_state).fit(rows)
+        rows.unpersist()
+        return {}, {"topics": PipelineModel([*counted.stages, topics])}
 
     def apply(self, df, state, tables):
         from pyspark.ml.functions import vector_to_array

@@ -326,3 +326,13 @@ def test_word_vectors_are_trained_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(tx, "WORDS_A_TASK", 1000)
     tx.WordEmbeddingFeatures("t", dims=4, train=True).fit(d)
     assert parts == [3, 1]
+
+
+def test_topics_are_fitted_on_counts_made_once(spark, monkeypatch):
+    from pyspark.ml.clustering import LDA
+
+    held, fit = [], LDA.fit
+    monkeypatch.setattr(LDA, "fit", lambda self, d: held.append((d.columns, d.storageLevel.useDisk)) or fit(self, d))
+    d = spark.createDataFrame([(i, "stars planets moon orbit" if i % 2 else "bread butter flour oven") for i in range(40)], "id long, t string")
+    tx.TopicModelingFeatures("t", 2, 50, 5).fit(d)
+    assert held == [(["features"], True)]
